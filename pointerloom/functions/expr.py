@@ -22,11 +22,10 @@ NAN = r"(?i)^[+-]?nan$"
 INFINITY = r"(?i)^([+-]?)(inf|infinity)$"
 
 
-def clip01(value: Column) -> Column:
+def clip01(value: Column, can_be_nan: bool = True) -> Column:
     """Clip to [0, 1]; NaN stays NaN."""
-    return F.when(F.isnan(value), value).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    )
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return F.when(F.isnan(value), value).otherwise(clipped) if can_be_nan else clipped
 
 
 def plain_zero(value: Column) -> Column:
@@ -50,22 +49,20 @@ def exceeds(value: Column, limit: float) -> Column:
     return (value > F.lit(limit)) & ~F.isnan(value)
 
 
-def angle_bin(angle: Column) -> Column:
-    """Bin 0..7 of an angle on [-pi, pi]; NULL for NaN and NULL."""
-    passed = F.lit(0)
-    for edge in INNER_EDGES:
-        passed = passed + F.when(angle >= F.lit(edge), 1).otherwise(0)
-    return F.when(~F.isnan(angle), passed)
+def angle_bin(angle: str) -> Column:
+    """Bin 0..7 of a column of angles on [-pi, pi]; NULL for NaN and NULL."""
+    passed = " + ".join(f"if({angle} >= {edge!r}D, 1, 0)" for edge in INNER_EDGES)
+    return F.expr(f"if({angle} is not null and not isnan({angle}), {passed}, null)")
+
 
+def normalised_entropy(counts: list[str], total: str) -> Column:
+    """Shannon entropy of a histogram over log2 of its bin count; 0 if it is empty.
 
-def normalised_entropy(counts: list[Column]) -> Column:
-    """Shannon entropy of a histogram over log2 of its bin count; 0 if it is empty."""
-    total = F.greatest(sum(counts[1:], counts[0]), F.lit(1)).cast("double")
-    bits = F.lit(0.0)
-    for count in counts:
-        share = count / total
-        bits = bits + F.when(count > 0, share * F.log2(share)).otherwise(F.lit(0.0))
-    return plain_zero(-bits / F.lit(math.log2(len(counts))))
+    ``counts`` names the columns of the bins and ``total`` that of their sum.
+    """
+    bits = " + ".join(f"if({c} > 0, {c} * log2({c} / {total}), 0D)" for c in counts)
+    scale = math.log2(len(counts))
+    return plain_zero(F.expr(f"if({total} > 0, -({bits}) / {total} / {scale!r}D, 0D)"))
 
 
 def python_float(text: Column) -> Column:
@@ -84,7 +81,3 @@ def python_float(text: Column) -> Column:
         .otherwise(digits.try_cast("double"))
     )
 
-
-def share(numerator: Column, denominator: Column) -> Column:
-    """Quotient, 0.0 where the denominator is 0 or missing."""
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))

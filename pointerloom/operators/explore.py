@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,23 +37,13 @@ def feature_corr(samples: DataFrame) -> DataFrame:
     Rows with a missing value in either feature are left out of that pair. One
     pass with a fixed set of groups, combined map-side.
     """
-    usable = lambda f: F.when(~F.isnan(f), F.col(f))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                usable(FEATURES[i]).alias("a"),
-                usable(FEATURES[j]).alias("b"),
-            )
-            for i, j in combinations_with_replacement(range(len(FEATURES)), 2)
-        ]
-    )
     names = F.array(*[F.lit(f) for f in FEATURES])
     moments = (
-        samples.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .where("a is not null and b is not null")
+        samples.select(F.array(*FEATURES).alias("x"))
+        .selectExpr("x", "posexplode(x) as (i, a)")
+        .where("not isnan(a)")
+        .selectExpr("i", "a", "posexplode(x) as (j, b)")
+        .where("j >= i and not isnan(b)")
         .groupBy("i", "j")
         .agg(
             F.covar_pop("a", "b").alias("cov"),

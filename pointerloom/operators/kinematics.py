@@ -16,8 +16,9 @@ inside it. The plan has three stages:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import (
@@ -28,13 +29,13 @@ from pointerloom.functions.expr import (
     fold_angle,
     normalised_entropy,
     positive_step,
-    share,
 )
 from pointerloom.functions.labels import OUTCOME_EVENTS, horizon_label, is_outcome
 from pointerloom.operators.skew import (
     HOT_ROWS,
     explode_range,
     hot_sessions,
+    materialise,
     session_bounds,
     with_block,
 )
@@ -65,6 +66,9 @@ PX_PER_SCROLL_STEP = 50.0
 PX_PER_SCROLL_SPEED = 100.0
 HESITATION_TURN = math.pi / 4.0
 
+# Features taken from coordinates, which a missing one turns into NaN; the others are counts.
+MEASURED = (*FEATURES[:3], FEATURES[4])
+
 BINS = [f"bin{i}" for i in range(N_BINS)]
 OUTCOMES = list(OUTCOME_EVENTS)
 SCREEN = ("vp_w", "vp_h", "doc_w", "doc_h")
@@ -81,44 +85,40 @@ def with_screen(bounds: DataFrame, viewport: DataFrame | None) -> DataFrame:
 
 def _prepare(events: DataFrame) -> DataFrame:
     """Events with a usable time; a missing coordinate is NaN and spoils its steps."""
-    nan = F.lit(float("nan"))
-    return events.select(
+    names = ", ".join(f"'{e}'" for e in POINTER_EVENTS)
+    return events.selectExpr(
         "session_id",
-        F.col("timestamp").cast("double").alias("t"),
+        "cast(timestamp as double) as t",
         "tie",
         "event",
-        F.coalesce(F.col("xpos").cast("double"), nan).alias("x"),
-        F.coalesce(F.col("ypos").cast("double"), nan).alias("y"),
-    ).where(F.col("t").isNotNull() & ~F.isnan("t"))
+        f"coalesce(event in ({names}), false) as is_ptr",
+        "coalesce(cast(xpos as double), double('nan')) as x",
+        "coalesce(cast(ypos as double), double('nan')) as y",
+    ).where("t is not null and not isnan(t)")
 
 
 def _lagged(rows: DataFrame, *partition: str) -> DataFrame:
     """Steps from the previous pointer event, and their change from the step before."""
-    ordered = Window.partitionBy(*partition).orderBy("t", "tie")
-    previous = lambda c: F.lag(c).over(ordered)
-    dx = (F.col("xn") - previous("xn")) * F.col("vp_w")
-    dy = (F.col("yn") - previous("yn")) * F.col("vp_h")
+    over = f"over (partition by {', '.join(partition)} order by t, tie)"
     return (
-        rows.withColumns(
-            {
-                "pt": previous("t"),
-                "dt": positive_step(F.col("t") - previous("t")),
-                "dx": dx,
-                "dy": dy,
-                "place": F.row_number().over(ordered),
-            }
+        rows.selectExpr(
+            "*",
+            f"lag(t) {over} as pt",
+            f"(xn - lag(xn) {over}) * vp_w as dx",
+            f"(yn - lag(yn) {over}) * vp_h as dy",
+            f"row_number() {over} as place",
         )
-        .withColumn("dist", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-        .withColumn("v", F.col("dist") / F.col("dt"))
-        .withColumn("ang", F.atan2("dy", "dx"))
-        .withColumns(
-            {
-                "ppt": previous("pt"),
-                "acc": F.abs(F.col("v") - previous("v")) / F.col("dt"),
-                "turn": fold_angle(F.col("ang") - previous("ang")),
-            }
+        .withColumn("dt", positive_step(F.col("t") - F.col("pt")))
+        .selectExpr("*", "sqrt(dx * dx + dy * dy) as dist", "atan2(dy, dx) as ang")
+        .selectExpr("*", "dist / dt as v")
+        .selectExpr(
+            "*",
+            f"lag(pt) {over} as ppt",
+            f"abs(v - lag(v) {over}) / dt as acc",
+            f"ang - lag(ang) {over} as bend",
         )
-        .drop("dx", "dy", "xn", "yn")
+        .withColumn("turn", fold_angle(F.col("bend")))
+        .drop("dx", "dy", "xn", "yn", "bend")
     )
 
 
@@ -127,52 +127,56 @@ def step_branches(
 ) -> list[DataFrame]:
     """Events with their kinematic step, as disjoint frames to be united.
 
-    The first frame covers all events but the first two pointer events of each
-    block of a hot session, whose predecessors lie in earlier blocks. The second
-    frame covers those: it sees the two first and two last pointer events of
-    each block, which is all their steps depend on, and is empty without hot
-    sessions.
+    Without hot sessions there is one frame, in which a session is a group. With
+    some, blocks are the groups, and the first two pointer events of a block of a
+    hot session have their predecessors in earlier blocks. They form a second
+    frame, made from the first two and last two pointer events of each block,
+    which is all their steps depend on.
+
+    Session bounds are written once: one row per session, read for the hot list,
+    the window anchors and the screen sizes.
     """
     rows = _prepare(events)
     bounds = session_bounds(rows, "session_id", "t")
-    hot = hot_sessions(bounds, "session_id", hot_rows)
-    blocks = F.coalesce(
-        F.floor((F.col("last_pos") - F.col("first_pos")) / F.col("hot_width")).cast("long") + 1,
-        F.lit(1).cast("long"),
-    )
-    sessions = explode_range(
-        with_screen(bounds, viewport)
-        .join(F.broadcast(hot), "session_id", "left")
-        .withColumn("n_blocks", blocks),
-        "n_blocks",
-        "block",
-    ).select(
-        "session_id",
-        "block",
-        F.col("first_pos").alias("t0"),
-        F.col("last_pos").alias("t1"),
+    sessions = materialise(with_screen(bounds, viewport))
+    hot = hot_sessions(sessions, "session_id", hot_rows)
+    placing = (
+        "t",
+        "tie",
+        "event",
+        "is_ptr",
+        "x / greatest(vp_w, 1D) as xn",
+        "y / greatest(vp_h, 1D) as yn",
+        "first_pos as t0",
+        "last_pos as t1",
         *SCREEN,
     )
+    if hot.isEmpty():
+        placed = rows.join(sessions, "session_id").selectExpr(
+            "session_id", "0L as block", "false as is_hot", *placing
+        )
+        return [_lagged(placed, "session_id", "is_ptr")]
+
+    cut = sessions.join(F.broadcast(hot), "session_id", "left").selectExpr(
+        "*", "coalesce(cast(floor((last_pos - first_pos) / hot_width) as long), 0L) + 1 as n_blocks"
+    )
+    blocks = explode_range(cut, "n_blocks", "block").drop("n_blocks", "hot_first", "hot_width")
     placed = (
         with_block(rows, hot, "session_id", "t")
-        .withColumn("is_ptr", F.coalesce(F.col("event").isin(*POINTER_EVENTS), F.lit(False)))
-        .join(sessions, ["session_id", "block"])
-        .withColumn("xn", F.col("x") / F.greatest(F.col("vp_w"), F.lit(1.0)))
-        .withColumn("yn", F.col("y") / F.greatest(F.col("vp_h"), F.lit(1.0)))
+        .join(blocks, ["session_id", "block"])
+        .selectExpr("session_id", "block", "is_hot", *placing)
     )
-    edge = F.col("is_hot") & F.col("is_ptr") & (F.col("place") <= 2)
-    inner = _lagged(placed, "session_id", "block", "is_ptr").where(~edge)
-
-    in_block = Window.partitionBy("session_id", "block").orderBy("t", "tie")
+    inner = _lagged(placed, "session_id", "block", "is_ptr").where(
+        "not (is_hot and is_ptr and place <= 2)"
+    )
+    over = "over (partition by session_id, block order by t, tie)"
     rims = (
         placed.where("is_hot and is_ptr")
-        .withColumn("in_block", F.row_number().over(in_block))
-        .withColumn("third_after", F.lead("t", 2).over(in_block))
-        .where("in_block <= 2 or third_after is null")
+        .selectExpr("*", f"row_number() {over} as nth", f"lead(t, 2) {over} as third_after")
+        .where("nth <= 2 or third_after is null")
     )
-    stitched = _lagged(rims, "session_id").where("in_block <= 2")
-    columns = inner.columns
-    return [inner, stitched.select(*columns)]
+    stitched = _lagged(rims, "session_id").where("nth <= 2")
+    return [inner, stitched.select(*inner.columns)]
 
 
 def kinematic_steps(
@@ -182,20 +186,15 @@ def kinematic_steps(
 
     Non-pointer events and the first pointer event of a session carry no step.
     """
-    inner, stitched = step_branches(events, viewport, hot_rows)
-    step = lambda c: F.when(F.col("is_ptr"), F.col(c)).alias(c)
-    return (
-        inner.unionByName(stitched)
-        .withColumn("bin", angle_bin(F.col("ang")))
-        .select(
-            "session_id",
-            "tie",
-            "t",
-            "event",
-            "is_ptr",
-            F.when(F.col("pt").isNotNull(), step("dt")).alias("dt"),
-            *[step(c) for c in ("dist", "v", "ang", "acc", "turn", "bin")],
-        )
+    steps = reduce(DataFrame.unionByName, step_branches(events, viewport, hot_rows))
+    return steps.withColumn("bin", angle_bin("ang")).selectExpr(
+        "session_id",
+        "tie",
+        "t",
+        "event",
+        "is_ptr",
+        "if(is_ptr and pt is not null, dt, null) as dt",
+        *[f"if(is_ptr, {c}, null) as {c}" for c in ("dist", "v", "ang", "acc", "turn", "bin")],
     )
 
 
@@ -212,20 +211,16 @@ class _Grid:
         self.stride = int(stride) // self.pane_ms
         self.horizon = int(horizon) // self.pane_ms
 
-    def pane(self, t: Column) -> Column:
-        return F.floor((t - F.col("t0")) / F.lit(float(self.pane_ms))).cast("long")
+    def pane(self, t: str) -> str:
+        return f"cast(floor(({t} - t0) / {float(self.pane_ms)}D) as long)"
 
-    def last_window(self) -> Column:
-        room = F.col("t1") - F.col("t0") - F.lit(float(self.size_ms))
-        return F.floor(room / F.lit(float(self.stride_ms))).cast("long")
+    @property
+    def last_window(self) -> str:
+        return f"cast(floor((t1 - t0 - {float(self.size_ms)}D) / {float(self.stride_ms)}D) as long)"
 
-    def first_window_reaching(self, pane: Column, reach: int) -> Column:
+    def first_window_reaching(self, reach: int) -> str:
         """Lowest window whose first ``reach`` panes hold the pane."""
-        lowest = F.floor((pane - F.lit(reach - self.stride)) / F.lit(self.stride)).cast("long")
-        return F.greatest(F.lit(0).cast("long"), lowest)
-
-    def last_window_from(self, pane: Column) -> Column:
-        return F.floor(pane / F.lit(self.stride)).cast("long")
+        return f"greatest(0L, cast(floor((pane - {reach - self.stride}) / {self.stride}) as long))"
 
 
 def _pane_sums(steps: DataFrame, grid: _Grid) -> DataFrame:
@@ -234,52 +229,57 @@ def _pane_sums(steps: DataFrame, grid: _Grid) -> DataFrame:
     That split is what lets a window tell which steps lie inside it. A start too
     far back to share a window with the event counts as none.
     """
-    pane = grid.pane(F.col("t"))
-    start = lambda t: F.when(
-        F.col("is_ptr") & (grid.pane(F.col(t)) > pane - grid.size), grid.pane(F.col(t))
+    start = lambda t: (
+        f"if(is_ptr and {grid.pane(t)} > {grid.pane('t')} - {grid.size}, {grid.pane(t)}, null)"
     )
-    has_step, has_turn = F.col("from_pane").isNotNull(), F.col("from2_pane").isNotNull()
+    step, turn = "from_pane is not null", "from2_pane is not null"
+    sums = {
+        "n": "count(1)",
+        "n_step": f"count_if({step})",
+        "sum_v": f"sum(v) filter (where {step})",
+        "max_v": f"max(v) filter (where {step})",
+        "sum_dist": f"sum(dist) filter (where {step})",
+        "n_turn": f"count_if({turn})",
+        "sum_acc": f"sum(acc) filter (where {turn})",
+        "hesitations": f"count_if({turn} and hesitates)",
+        **{name: f"count_if({step} and bin = {i})" for i, name in enumerate(BINS)},
+        **{o: f"count_if({o})" for o in OUTCOMES},
+    }
     return (
-        steps.where((F.col("t1") - F.col("t0")) >= F.lit(float(grid.size_ms)))
-        .withColumn("pane", pane)
-        .withColumn("from_pane", start("pt"))
-        .withColumn("from2_pane", start("ppt"))
-        .withColumn("bin", angle_bin(F.col("ang")))
+        steps.where(f"t1 - t0 >= {float(grid.size_ms)}D")
+        .selectExpr(
+            "*",
+            f"{grid.pane('t')} as pane",
+            f"{start('pt')} as from_pane",
+            f"{start('ppt')} as from2_pane",
+        )
+        .withColumns(
+            {
+                "bin": angle_bin("ang"),
+                "hesitates": exceeds(F.col("turn"), HESITATION_TURN),
+                **{o: is_outcome(F.col("event"), o) for o in OUTCOMES},
+            }
+        )
         .groupBy("session_id", "block", "is_ptr", "pane", "from_pane", "from2_pane")
         .agg(
             *[F.min(c).alias(c) for c in ("t0", "t1", "vp_h", "doc_h")],
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(has_step, True)).alias("n_step"),
-            F.sum(F.when(has_step, F.col("v"))).alias("sum_v"),
-            F.max(F.when(has_step, F.col("v"))).alias("max_v"),
-            F.sum(F.when(has_step, F.col("dist"))).alias("sum_dist"),
-            F.count(F.when(has_turn, True)).alias("n_turn"),
-            F.sum(F.when(has_turn, F.col("acc"))).alias("sum_acc"),
-            F.count(F.when(has_turn & exceeds(F.col("turn"), HESITATION_TURN), True)).alias(
-                "hesitations"
-            ),
-            *[
-                F.count(F.when(has_step & (F.col("bin") == i), True)).alias(name)
-                for i, name in enumerate(BINS)
-            ],
-            *[F.count(F.when(is_outcome(F.col("event"), o), True)).alias(o) for o in OUTCOMES],
+            *[F.expr(e).alias(name) for name, e in sums.items()],
         )
     )
 
 
 def _copies(panes: DataFrame, grid: _Grid) -> DataFrame:
     """Pane rows copied into the windows whose span, or horizon, holds them."""
-    pane = F.col("pane")
-    decides = sum((F.col(o) for o in OUTCOMES[1:]), F.col(OUTCOMES[0])) > 0
-    low = F.when(
-        decides, grid.first_window_reaching(pane, grid.size + grid.horizon)
-    ).otherwise(grid.first_window_reaching(pane, grid.size))
-    high = F.least(grid.last_window(), grid.last_window_from(pane))
+    far = grid.first_window_reaching(grid.size + grid.horizon)
+    near = grid.first_window_reaching(grid.size)
     return (
-        panes.withColumn("low", low)
-        .withColumn("high", high)
+        panes.selectExpr(
+            "*",
+            f"if({' + '.join(OUTCOMES)} > 0, {far}, {near}) as low",
+            f"least({grid.last_window}, cast(floor(pane / {grid.stride}) as long)) as high",
+        )
         .where("low <= high")
-        .withColumn("window_idx", F.explode(F.sequence("low", "high")))
+        .selectExpr("*", "explode(sequence(low, high)) as window_idx")
         .drop("low", "high")
     )
 
@@ -296,39 +296,37 @@ def window_totals(
     """Unscaled sums per window, for windows with enough events of any kind."""
     grid = _Grid(window_size_ms, stride_ms, prediction_horizon_ms)
     branches = step_branches(events, viewport, hot_rows)
-    panes = _pane_sums(branches[0], grid).unionByName(_pane_sums(branches[1], grid))
+    panes = reduce(DataFrame.unionByName, [_pane_sums(b, grid) for b in branches])
     copies = _copies(panes, grid)
     if min_events_per_window <= 0:
         copies = copies.unionByName(_empty_windows(events, viewport, grid), allowMissingColumns=True)
 
-    begin = F.col("window_idx") * grid.stride
-    inside = F.col("pane") < begin + grid.size
-    ahead = ~inside
-    step = inside & (F.col("from_pane") >= begin)
-    turn = inside & (F.col("from2_pane") >= begin)
-    total = lambda cond, c: F.coalesce(
-        F.sum(F.when(cond, F.col(c))), F.lit(0).cast("long")
-    ).alias(c)
+    begin = f"window_idx * {grid.stride}"
+    inside = f"pane < {begin} + {grid.size}"
+    step = f"{inside} and from_pane >= {begin}"
+    turn = f"{inside} and from2_pane >= {begin}"
+    total = lambda cond, c: f"coalesce(sum({c}) filter (where {cond}), 0L)"
+    sums = {
+        "n": total(inside, "n"),
+        "n_step": total(step, "n_step"),
+        "sum_v": f"sum(sum_v) filter (where {step})",
+        "max_v": f"max(max_v) filter (where {step})",
+        "sum_dist": f"sum(sum_dist) filter (where {step})",
+        "n_turn": total(turn, "n_turn"),
+        "sum_acc": f"sum(sum_acc) filter (where {turn})",
+        "hesitations": total(turn, "hesitations"),
+        **{name: total(step, name) for name in BINS},
+        "in_hovers": total(inside, "hovers"),
+        "in_scrolls": total(inside, "scrolls"),
+        **{o: total(f"not ({inside})", o) for o in OUTCOMES},
+    }
     totals = copies.groupBy("session_id", "window_idx").agg(
         *[F.min(c).alias(c) for c in ("t0", "vp_h", "doc_h")],
-        total(inside, "n"),
-        total(step, "n_step"),
-        F.sum(F.when(step, F.col("sum_v"))).alias("sum_v"),
-        F.max(F.when(step, F.col("max_v"))).alias("max_v"),
-        F.sum(F.when(step, F.col("sum_dist"))).alias("sum_dist"),
-        total(turn, "n_turn"),
-        F.sum(F.when(turn, F.col("sum_acc"))).alias("sum_acc"),
-        total(turn, "hesitations"),
-        *[total(step, name) for name in BINS],
-        F.coalesce(F.sum(F.when(inside, F.col("hovers"))), F.lit(0)).alias("in_hovers"),
-        F.coalesce(F.sum(F.when(inside, F.col("scrolls"))), F.lit(0)).alias("in_scrolls"),
-        *[total(ahead, o) for o in OUTCOMES],
+        *[F.expr(e).alias(name) for name, e in sums.items()],
     )
-    start = F.col("t0") + F.col("window_idx") * F.lit(float(stride_ms))
-    return (
-        totals.where(F.col("n") >= min_events_per_window)
-        .withColumn("window_start", start)
-        .withColumn("window_end", start + F.lit(float(window_size_ms)))
+    start = f"t0 + window_idx * {float(stride_ms)}D"
+    return totals.where(f"n >= {min_events_per_window}").selectExpr(
+        "*", f"{start} as window_start", f"{start} + {float(window_size_ms)}D as window_end"
     )
 
 
@@ -342,33 +340,33 @@ def _empty_windows(events: DataFrame, viewport: DataFrame | None, grid: _Grid) -
         "vp_h",
         "doc_h",
     )
-    sized = sessions.withColumn("n_windows", grid.last_window() + 1)
+    sized = sessions.selectExpr("*", f"{grid.last_window} + 1 as n_windows")
     return (
         explode_range(sized, "n_windows", "window_idx", spread=True)
         .drop("n_windows")
-        .withColumn("pane", F.col("window_idx") * grid.stride)
-        .withColumn("n", F.lit(0).cast("long"))
+        .selectExpr("*", f"window_idx * {grid.stride} as pane", "0L as n")
     )
 
 
 def raw_features(totals: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> DataFrame:
     """The nine features of a window in their own units."""
-    moved = F.col("n_step") > 0
-    depth = F.col("in_scrolls") * PX_PER_SCROLL_STEP / F.greatest(
-        F.col("doc_h") - F.col("vp_h"), F.lit(1.0)
+    depth = f"in_scrolls * {PX_PER_SCROLL_STEP}D / greatest(doc_h - vp_h, 1D) * 100D"
+    measured = (
+        "if(n_step > 0, sum_v / n_step, 0D)",
+        "if(n_step > 0, max_v, 0D)",
+        "if(n_turn > 0, sum_acc / n_turn, 0D)",
+        "cast(hesitations as double)",
+        "if(n_step > 0, sum_dist, 0D)",
+        f"in_hovers * {MS_PER_HOVER}D",
+        f"least(100D, {depth})",
+        f"in_scrolls * {PX_PER_SCROLL_SPEED}D / {float(window_size_ms)}D",
+    )
+    return totals.withColumn("n_angles", F.expr(" + ".join(BINS))).withColumns(
+        {
+            **{name: F.expr(e) for name, e in zip(FEATURES, measured)},
+            FEATURES[-1]: normalised_entropy(BINS, "n_angles"),
+        }
     )
-    measured = {
-        "meanVelocity": share(F.col("sum_v"), F.col("n_step")),
-        "maxVelocity": F.when(moved, F.col("max_v")).otherwise(0.0),
-        "meanAcceleration": share(F.col("sum_acc"), F.col("n_turn")),
-        "hesitationCount": F.col("hesitations").cast("double"),
-        "totalTrajectoryLength": F.when(moved, F.col("sum_dist")).otherwise(0.0),
-        "dwellTimeMs": F.col("in_hovers") * MS_PER_HOVER,
-        "scrollDepthPercentage": F.least(F.lit(100.0), depth * 100.0),
-        "scrollVelocity": F.col("in_scrolls") * PX_PER_SCROLL_SPEED / F.lit(float(window_size_ms)),
-        "trajectoryEntropy": normalised_entropy([F.col(b) for b in BINS]),
-    }
-    return totals.withColumns(measured)
 
 
 def scale_features(raw: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> dict[str, Column]:
@@ -384,7 +382,10 @@ def scale_features(raw: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> dict
         SCROLL_SPEED_FULL,
         1.0,
     )
-    return {name: clip01(raw[name] / F.lit(f)) for name, f in zip(FEATURES, full)}
+    return {
+        name: clip01(raw[name] / F.lit(f), can_be_nan=name in MEASURED)
+        for name, f in zip(FEATURES, full)
+    }
 
 
 def micro_tensor(

@@ -70,7 +70,12 @@ def row_index(
     of ``lead`` and shifted by the sizes of their earlier blocks; that list has
     one row per block of a hot session.
     """
-    hot = hot_sessions(session_bounds(df, key, lead), key, hot_rows)
+    number = lambda *keys: (
+        F.row_number().over(Window.partitionBy(*keys).orderBy(lead, *order)).cast("long") - 1
+    )
+    hot = hot_sessions(materialise(session_bounds(df, key, lead)), key, hot_rows)
+    if hot.isEmpty():
+        return df.withColumn("row_idx", number(key))
     blocked = with_block(df, hot, key, lead)
     sizes = (
         with_block(df.select(key, lead), hot, key, lead)
@@ -84,15 +89,11 @@ def row_index(
     shifts = sizes.select(
         key, "block", (F.sum("size").over(earlier) - F.col("size")).alias("shift")
     )
-    within = Window.partitionBy(key, "block").orderBy(lead, *order)
     return (
-        blocked.withColumn("rank", F.row_number().over(within))
+        blocked.withColumn("row_idx", number(key, "block"))
         .join(shifts, [key, "block"], "left")
-        .withColumn(
-            "row_idx",
-            F.col("rank").cast("long") - 1 + F.coalesce(F.col("shift"), F.lit(0).cast("long")),
-        )
-        .drop("rank", "shift", "block", "is_hot")
+        .withColumn("row_idx", F.col("row_idx") + F.coalesce("shift", F.lit(0).cast("long")))
+        .drop("shift", "block", "is_hot")
     )
 
 

@@ -283,7 +283,8 @@ twice AS (SELECT *, abs(v - lag(v) OVER o) / dt AS acc, abs(ang - lag(ang) OVER
 SELECT m.session_id, m.tie AS event_id, m.t, m.event, m.is_ptr, dt, round(dist, 9) AS dist,
        round(v, 9) AS v, round(ang, 9) + 0.0 AS ang, round(acc, 9) AS acc,
        round(CASE WHEN d > pi() THEN 2 * pi() - d ELSE d END, 9) AS turn,
-       least(7, CAST(floor((ang + pi()) / (pi() / 4)) AS INTEGER)) AS bin
+       CASE WHEN ang IS NOT NULL
+            THEN least(7, CAST(floor((ang + pi()) / (pi() / 4)) AS INTEGER)) END AS bin
 FROM marked m LEFT JOIN twice s ON s.tie = m.tie""",
     ),
     "ck_windows": _with(
