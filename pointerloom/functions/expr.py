@@ -33,11 +33,6 @@ def plain_zero(value: Column) -> Column:
     return value + F.lit(0.0)
 
 
-def positive_step(dt: Column) -> Column:
-    """A time step that can divide: steps of 0 or less count as 1 ms."""
-    return F.when(dt <= 0, F.lit(1.0)).otherwise(dt)
-
-
 def fold_angle(diff: Column) -> Column:
     """Absolute angle difference folded to at most half a turn."""
     turn = F.abs(diff)

@@ -28,7 +28,6 @@ from pointerloom.functions.expr import (
     exceeds,
     fold_angle,
     normalised_entropy,
-    positive_step,
 )
 from pointerloom.functions.labels import OUTCOME_EVENTS, horizon_label, is_outcome
 from pointerloom.operators.skew import (
@@ -97,28 +96,50 @@ def _prepare(events: DataFrame) -> DataFrame:
     ).where("t is not null and not isnan(t)")
 
 
-def _lagged(rows: DataFrame, *partition: str) -> DataFrame:
-    """Steps from the previous pointer event, and their change from the step before."""
+def _with_previous(rows: DataFrame, *partition: str) -> DataFrame:
+    """Rows with time and place of the two pointer events before."""
     over = f"over (partition by {', '.join(partition)} order by t, tie)"
+    return rows.selectExpr(
+        "*",
+        *[f"lag({c}, 1) {over} as p{c}" for c in "txy"],
+        *[f"lag({c}, 2) {over} as pp{c}" for c in "txy"],
+        f"row_number() {over} as place",
+    )
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """Speed, angle, acceleration and turn of the step that ends at each row.
+
+    Coordinates are scaled to the screen and back, which matters only for a
+    screen narrower than a pixel.
+    """
+    across = lambda c, before, size: (
+        f"({c} / greatest({size}, 1D) - {before} / greatest({size}, 1D)) * {size}"
+    )
     return (
         rows.selectExpr(
             "*",
-            f"lag(t) {over} as pt",
-            f"(xn - lag(xn) {over}) * vp_w as dx",
-            f"(yn - lag(yn) {over}) * vp_h as dy",
-            f"row_number() {over} as place",
+            f"{across('x', 'px', 'vp_w')} as dx",
+            f"{across('y', 'py', 'vp_h')} as dy",
+            f"{across('px', 'ppx', 'vp_w')} as pdx",
+            f"{across('py', 'ppy', 'vp_h')} as pdy",
+            "if(t - pt <= 0, 1D, t - pt) as dt",
+            "if(pt - ppt <= 0, 1D, pt - ppt) as pdt",
         )
-        .withColumn("dt", positive_step(F.col("t") - F.col("pt")))
-        .selectExpr("*", "sqrt(dx * dx + dy * dy) as dist", "atan2(dy, dx) as ang")
-        .selectExpr("*", "dist / dt as v")
         .selectExpr(
             "*",
-            f"lag(pt) {over} as ppt",
-            f"abs(v - lag(v) {over}) / dt as acc",
-            f"ang - lag(ang) {over} as bend",
+            "sqrt(dx * dx + dy * dy) as dist",
+            "sqrt(pdx * pdx + pdy * pdy) / pdt as pv",
+            "atan2(dy, dx) as ang",
+            "atan2(pdy, pdx) as pang",
         )
+        .selectExpr("*", "dist / dt as v", "ang - pang as bend")
         .withColumn("turn", fold_angle(F.col("bend")))
-        .drop("dx", "dy", "xn", "yn", "bend")
+        .selectExpr(
+            *["session_id", "block", "tie", "t", "event", "is_ptr", "place"],
+            *["t0", "t1", "vp_h", "doc_h", "pt", "ppt", "dt", "dist", "v", "ang", "turn"],
+            "abs(v - pv) / dt as acc",
+        )
     )
 
 
@@ -134,49 +155,40 @@ def step_branches(
     which is all their steps depend on.
 
     Session bounds are written once: one row per session, read for the hot list,
-    the window anchors and the screen sizes.
+    the window anchors and the screen sizes. They join after the shuffle and the
+    window, in the same partitioning, so neither carries them.
     """
     rows = _prepare(events)
     bounds = session_bounds(rows, "session_id", "t")
     sessions = materialise(with_screen(bounds, viewport))
     hot = hot_sessions(sessions, "session_id", hot_rows)
-    placing = (
-        "t",
-        "tie",
-        "event",
-        "is_ptr",
-        "x / greatest(vp_w, 1D) as xn",
-        "y / greatest(vp_h, 1D) as yn",
-        "first_pos as t0",
-        "last_pos as t1",
-        *SCREEN,
+    anchors = sessions.selectExpr(
+        "session_id", "first_pos as t0", "last_pos as t1", "vp_w", "vp_h", "doc_h"
     )
     if hot.isEmpty():
-        placed = rows.join(sessions, "session_id").selectExpr(
-            "session_id", "0L as block", "false as is_hot", *placing
-        )
-        return [_lagged(placed, "session_id", "is_ptr")]
+        whole = _with_previous(rows.repartition("session_id"), "session_id", "is_ptr")
+        return [_steps(whole.join(anchors, "session_id").withColumn("block", F.lit(0)))]
 
-    cut = sessions.join(F.broadcast(hot), "session_id", "left").selectExpr(
-        "*", "coalesce(cast(floor((last_pos - first_pos) / hot_width) as long), 0L) + 1 as n_blocks"
+    blocked = with_block(rows, hot, "session_id", "t").repartition("session_id", "block")
+    cut = anchors.join(F.broadcast(hot), "session_id", "left").selectExpr(
+        "*", "coalesce(cast(floor((t1 - t0) / hot_width) as long), 0L) + 1 as n_blocks"
     )
-    blocks = explode_range(cut, "n_blocks", "block").drop("n_blocks", "hot_first", "hot_width")
-    placed = (
-        with_block(rows, hot, "session_id", "t")
-        .join(blocks, ["session_id", "block"])
-        .selectExpr("session_id", "block", "is_hot", *placing)
+    block_anchors = explode_range(cut, "n_blocks", "block").drop(
+        "n_blocks", "hot_first", "hot_width"
     )
-    inner = _lagged(placed, "session_id", "block", "is_ptr").where(
-        "not (is_hot and is_ptr and place <= 2)"
+    inner = (
+        _with_previous(blocked, "session_id", "block", "is_ptr")
+        .where("not (is_hot and is_ptr and place <= 2)")
+        .join(block_anchors, ["session_id", "block"])
     )
     over = "over (partition by session_id, block order by t, tie)"
     rims = (
-        placed.where("is_hot and is_ptr")
+        blocked.where("is_hot and is_ptr")
         .selectExpr("*", f"row_number() {over} as nth", f"lead(t, 2) {over} as third_after")
         .where("nth <= 2 or third_after is null")
     )
-    stitched = _lagged(rims, "session_id").where("nth <= 2")
-    return [inner, stitched.select(*inner.columns)]
+    stitched = _with_previous(rims, "session_id").where("nth <= 2").join(anchors, "session_id")
+    return [_steps(inner), _steps(stitched)]
 
 
 def kinematic_steps(
