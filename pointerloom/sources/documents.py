@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def read_documents(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Whole JSON files as ``session_id, value``."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("session_id"), "value")
     )

@@ -68,10 +68,9 @@ def read_viewports(spark: SparkSession, folder: str, sessions: DataFrame) -> Dat
     Both sides have one row per file; Spark broadcasts one if it is small.
     """
     texts = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.xml")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("sidecar"), "value")
     )
     return parse_sidecars(
