@@ -1,4 +1,4 @@
-"""Column expressions with the NaN, NULL and ANSI behaviour the features need.
+"""Expressions, as columns or SQL text, with the NaN, NULL and ANSI behaviour the features need.
 
 Spark orders NaN above every number, so ``least``/``greatest`` and ``>``
 would turn a missing coordinate into 1.0 or into a hesitation. Every
@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 N_BINS = 8
-HALF_TURN = math.pi
 INNER_EDGES = tuple(-math.pi + i * (2 * math.pi / N_BINS) for i in range(1, N_BINS))
 
 # What float() takes as a number, blanks around it aside.
@@ -22,42 +21,37 @@ NAN = r"(?i)^[+-]?nan$"
 INFINITY = r"(?i)^([+-]?)(inf|infinity)$"
 
 
-def clip01(value: Column, can_be_nan: bool = True) -> Column:
-    """Clip to [0, 1]; NaN stays NaN."""
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.when(F.isnan(value), value).otherwise(clipped) if can_be_nan else clipped
+def clip01(value: str, can_be_nan: bool = True) -> str:
+    """SQL that clips a value to [0, 1]; NaN stays NaN."""
+    clipped = f"greatest(0D, least(1D, {value}))"
+    return f"if(isnan({value}), {value}, {clipped})" if can_be_nan else clipped
 
 
-def plain_zero(value: Column) -> Column:
-    """Turn -0.0 into 0.0."""
-    return value + F.lit(0.0)
+def fold_angle(diff: str) -> str:
+    """SQL of an absolute angle difference folded to at most half a turn."""
+    return f"if(abs({diff}) > {math.pi!r}D, {2 * math.pi!r}D - abs({diff}), abs({diff}))"
 
 
-def fold_angle(diff: Column) -> Column:
-    """Absolute angle difference folded to at most half a turn."""
-    turn = F.abs(diff)
-    return F.when(turn > HALF_TURN, F.lit(2 * math.pi) - turn).otherwise(turn)
+def exceeds(value: str, limit: float) -> str:
+    """SQL of ``value > limit``, false for NaN."""
+    return f"({value} > {limit!r}D and not isnan({value}))"
 
 
-def exceeds(value: Column, limit: float) -> Column:
-    """``value > limit``, false for NaN."""
-    return (value > F.lit(limit)) & ~F.isnan(value)
-
-
-def angle_bin(angle: str) -> Column:
-    """Bin 0..7 of a column of angles on [-pi, pi]; NULL for NaN and NULL."""
+def angle_bin(angle: str) -> str:
+    """SQL of the bin 0..7 of an angle on [-pi, pi]; NULL for NaN and NULL."""
     passed = " + ".join(f"if({angle} >= {edge!r}D, 1, 0)" for edge in INNER_EDGES)
-    return F.expr(f"if({angle} is not null and not isnan({angle}), {passed}, null)")
+    return f"if({angle} is not null and not isnan({angle}), {passed}, null)"
 
 
-def normalised_entropy(counts: list[str], total: str) -> Column:
-    """Shannon entropy of a histogram over log2 of its bin count; 0 if it is empty.
+def normalised_entropy(counts: list[str], total: str) -> str:
+    """SQL of a histogram's Shannon entropy over log2 of its bin count; 0 if it is empty.
 
     ``counts`` names the columns of the bins and ``total`` that of their sum.
+    Adding 0 turns a negative zero into a plain one.
     """
     bits = " + ".join(f"if({c} > 0, {c} * log2({c} / {total}), 0D)" for c in counts)
     scale = math.log2(len(counts))
-    return plain_zero(F.expr(f"if({total} > 0, -({bits}) / {total} / {scale!r}D, 0D)"))
+    return f"if({total} > 0, -({bits}) / {total} / {scale!r}D + 0D, 0D)"
 
 
 def python_float(text: Column) -> Column:

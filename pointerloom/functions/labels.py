@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from pointerloom.schema import LABELS, RAPID_SCROLL_OVER
 
 # Event names that decide an outcome (fixed values).
@@ -16,22 +13,19 @@ OUTCOME_EVENTS = {
 }
 
 
-def is_outcome(event: Column, outcome: str) -> Column:
-    return event.isin(*OUTCOME_EVENTS[outcome])
+def is_outcome(event: str, outcome: str) -> str:
+    """SQL that tells whether an event counts for an outcome."""
+    names = ", ".join(f"'{n}'" for n in OUTCOME_EVENTS[outcome])
+    return f"{event} in ({names})"
 
 
-def horizon_label(
-    clicks: Column,
-    scrolls: Column,
-    hovers: Column,
-    exits: Column,
-    rapid_scroll_over: int = RAPID_SCROLL_OVER,
-) -> Column:
-    """Label from the outcome counts in the horizon; the first rule that holds wins."""
-    return (
-        F.when(clicks > 0, LABELS["CLICK"])
-        .when(scrolls > rapid_scroll_over, LABELS["RAPID_SCROLL"])
-        .when(hovers > 0, LABELS["HOVER_DWELL"])
-        .when(exits > 0, LABELS["BACKTRACK"])
-        .otherwise(LABELS["IDLE"])
+def horizon_label(rapid_scroll_over: int = RAPID_SCROLL_OVER) -> str:
+    """SQL of the label from the outcome counts in the horizon; the first rule that holds wins."""
+    rules = (
+        ("clicks > 0", "CLICK"),
+        (f"scrolls > {rapid_scroll_over}", "RAPID_SCROLL"),
+        ("hovers > 0", "HOVER_DWELL"),
+        ("exits > 0", "BACKTRACK"),
     )
+    cases = " ".join(f"when {rule} then {LABELS[name]}" for rule, name in rules)
+    return f"case {cases} else {LABELS['IDLE']} end"

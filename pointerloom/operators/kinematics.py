@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import (
@@ -134,10 +134,10 @@ def _steps(rows: DataFrame) -> DataFrame:
             "atan2(pdy, pdx) as pang",
         )
         .selectExpr("*", "dist / dt as v", "ang - pang as bend")
-        .withColumn("turn", fold_angle(F.col("bend")))
         .selectExpr(
             *["session_id", "block", "tie", "t", "event", "is_ptr", "place"],
-            *["t0", "t1", "vp_h", "doc_h", "pt", "ppt", "dt", "dist", "v", "ang", "turn"],
+            *["t0", "t1", "vp_h", "doc_h", "pt", "ppt", "dt", "dist", "v", "ang"],
+            f"{fold_angle('bend')} as turn",
             "abs(v - pv) / dt as acc",
         )
     )
@@ -199,7 +199,7 @@ def kinematic_steps(
     Non-pointer events and the first pointer event of a session carry no step.
     """
     steps = reduce(DataFrame.unionByName, step_branches(events, viewport, hot_rows))
-    return steps.withColumn("bin", angle_bin("ang")).selectExpr(
+    return steps.selectExpr("*", f"{angle_bin('ang')} as bin").selectExpr(
         "session_id",
         "tie",
         "t",
@@ -264,13 +264,9 @@ def _pane_sums(steps: DataFrame, grid: _Grid) -> DataFrame:
             f"{grid.pane('t')} as pane",
             f"{start('pt')} as from_pane",
             f"{start('ppt')} as from2_pane",
-        )
-        .withColumns(
-            {
-                "bin": angle_bin("ang"),
-                "hesitates": exceeds(F.col("turn"), HESITATION_TURN),
-                **{o: is_outcome(F.col("event"), o) for o in OUTCOMES},
-            }
+            f"{angle_bin('ang')} as bin",
+            f"{exceeds('turn', HESITATION_TURN)} as hesitates",
+            *[f"{is_outcome('event', o)} as {o}" for o in OUTCOMES],
         )
         .groupBy("session_id", "block", "is_ptr", "pane", "from_pane", "from2_pane")
         .agg(
@@ -373,16 +369,15 @@ def raw_features(totals: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> Dat
         f"least(100D, {depth})",
         f"in_scrolls * {PX_PER_SCROLL_SPEED}D / {float(window_size_ms)}D",
     )
-    return totals.withColumn("n_angles", F.expr(" + ".join(BINS))).withColumns(
-        {
-            **{name: F.expr(e) for name, e in zip(FEATURES, measured)},
-            FEATURES[-1]: normalised_entropy(BINS, "n_angles"),
-        }
+    return totals.selectExpr("*", f"{' + '.join(BINS)} as n_angles").selectExpr(
+        "*",
+        *[f"{e} as {name}" for name, e in zip(FEATURES, measured)],
+        f"{normalised_entropy(BINS, 'n_angles')} as {FEATURES[-1]}",
     )
 
 
-def scale_features(raw: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> dict[str, Column]:
-    """The nine features divided by their full value and clipped to [0, 1]."""
+def scale_features(window_size_ms: int = WINDOW_SIZE_MS) -> dict[str, str]:
+    """SQL of the nine features of ``raw_features`` divided by their full value and clipped to [0, 1]."""
     full = (
         SPEED_MEAN_FULL,
         SPEED_MAX_FULL,
@@ -395,7 +390,7 @@ def scale_features(raw: DataFrame, window_size_ms: int = WINDOW_SIZE_MS) -> dict
         1.0,
     )
     return {
-        name: clip01(raw[name] / F.lit(f), can_be_nan=name in MEASURED)
+        name: clip01(f"{name} / {f!r}D", can_be_nan=name in MEASURED)
         for name, f in zip(FEATURES, full)
     }
 
@@ -426,13 +421,7 @@ def micro_tensor(
         hot_rows,
     )
     raw = raw_features(totals, window_size_ms)
-    label = horizon_label(*[F.col(o) for o in OUTCOMES], rapid_scroll_over)
-    samples = raw.select(
-        "session_id",
-        "window_idx",
-        "window_start",
-        "window_end",
-        *sample_columns("CK", scale_features(raw, window_size_ms), label),
-        F.col("n").alias("n_events"),
-    )
-    return samples.select(*SAMPLE_COLUMNS, "n_events")
+    samples = sample_columns("CK", scale_features(window_size_ms), horizon_label(rapid_scroll_over))
+    return raw.selectExpr(
+        "session_id", "window_idx", "window_start", "window_end", *samples, "n as n_events"
+    ).select(*SAMPLE_COLUMNS, "n_events")

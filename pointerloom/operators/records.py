@@ -22,6 +22,9 @@ from pointerloom.schema import (
 DWELL_FULL_MS = 500.0
 MIN_RECORDS_PER_WINDOW = 2
 
+# Only pointer windows carry their bounds.
+NO_BOUNDS = [f"cast(null as double) as {c}" for c in ("window_start", "window_end")]
+
 
 def _number_or_null(column: str) -> Column:
     value = F.col(column).cast("double")
@@ -89,30 +92,24 @@ def hvt_windows(
         windows = windows.withColumn("nth", F.row_number().over(by_time)).where(
             F.col("nth") <= max_windows
         )
-    nan = F.lit(float("nan"))
-    measured = lambda flag, value, full: F.when(
-        F.col(flag), clip01(value / full)
-    ).otherwise(0.0)
+    measured = lambda flag, value, full: (
+        f"if({flag}, {clip01(f'{value} / {full!r}D')}, 0D)"
+    )
+    nan = "double('nan')"
     present = {}
     if velocity:
-        mean_v, max_v = F.coalesce("mean_v", nan), F.coalesce("max_v", nan)
+        mean_v, max_v = f"coalesce(mean_v, {nan})", f"coalesce(max_v, {nan})"
         present["meanVelocity"] = measured("has_velocity", mean_v, SPEED_MEAN_FULL)
         present["maxVelocity"] = measured("has_velocity", max_v, SPEED_MAX_FULL)
     if distance:
-        length = F.coalesce("length", F.lit(0.0))
-        present["totalTrajectoryLength"] = measured("has_distance", length, LENGTH_FULL)
-    return windows.select(
-        "session_id",
-        "window_idx",
-        *_no_bounds(),
-        *sample_columns("HVT", present, F.lit(LABELS["IDLE"])),
+        present["totalTrajectoryLength"] = measured(
+            "has_distance", "coalesce(length, 0D)", LENGTH_FULL
+        )
+    return windows.selectExpr(
+        "session_id", "window_idx", *NO_BOUNDS, *sample_columns("HVT", present, str(LABELS["IDLE"]))
     ).select(*SAMPLE_COLUMNS)
 
 
-def _no_bounds() -> list[Column]:
-    return [F.lit(None).cast("double").alias(c) for c in ("window_start", "window_end")]
-
-
 def hmi_samples(records: DataFrame, max_records: int | None = HMI_MAX_RECORDS) -> DataFrame:
     """One click sample per HMI record of a session but the last.
 
@@ -124,11 +121,11 @@ def hmi_samples(records: DataFrame, max_records: int | None = HMI_MAX_RECORDS) -
     counts = counts.select("session_id", (n - 1).alias("n"))
     return (
         explode_range(counts, "n", "window_idx", spread=max_records is None)
-        .select(
+        .selectExpr(
             "session_id",
             "window_idx",
-            *_no_bounds(),
-            *sample_columns("HMI", {"meanVelocity": F.lit(1.0)}, F.lit(LABELS["CLICK"])),
+            *NO_BOUNDS,
+            *sample_columns("HMI", {"meanVelocity": "1"}, str(LABELS["CLICK"])),
         )
         .select(*SAMPLE_COLUMNS)
     )
@@ -206,11 +203,11 @@ def ap_samples(documents: DataFrame) -> DataFrame:
         .select("session_id", "bad", F.posexplode("actions").alias("pos", "action"))
         .where((F.col("bad") == 0) | (F.col("pos") < F.col("bad") - 1))
     )
-    dwell = clip01(F.col("action.seconds") * 1000.0 / DWELL_FULL_MS)
-    label = F.when(F.col("action.back"), LABELS["BACKTRACK"]).otherwise(LABELS["IDLE"])
-    return samples.select(
+    dwell = clip01(f"action.seconds * 1000D / {DWELL_FULL_MS!r}D")
+    label = f"if(action.back, {LABELS['BACKTRACK']}, {LABELS['IDLE']})"
+    return samples.selectExpr(
         "session_id",
-        F.col("pos").cast("long").alias("window_idx"),
-        *_no_bounds(),
+        "cast(pos as long) as window_idx",
+        *NO_BOUNDS,
         *sample_columns("AP", {"dwellTimeMs": dwell}, label),
     ).select(*SAMPLE_COLUMNS)

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointerloom.functions.expr import plain_zero
 from pointerloom.operators import explore, learn
 from pointerloom.operators.kinematics import (
     kinematic_steps,
@@ -38,11 +37,10 @@ SHORT_HORIZON = {"prediction_horizon_ms": 125, "rapid_scroll_over": 1}
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Doubles rounded for comparison, without negative zeros."""
-    doubles = {name for name, kind in df.dtypes if kind == "double"}
-    return df.select(
+    return df.selectExpr(
         *[
-            plain_zero(F.round(c, digits)).alias(c) if c in doubles else F.col(c)
-            for c in df.columns
+            f"round(`{name}`, {digits}) + 0D as `{name}`" if kind == "double" else f"`{name}`"
+            for name, kind in df.dtypes
         ]
     )
 

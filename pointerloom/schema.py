@@ -84,8 +84,8 @@ def source_rank(source: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SOURCES]), source).cast("int") - 1
 
 
-def sample_columns(source: str, present: dict[str, Column], label: Column) -> list[Column]:
-    """Feature and label columns of one source, features it cannot supply set to 0.
+def sample_columns(source: str, present: dict[str, str], label: str) -> list[str]:
+    """SQL of one source's features and label, features it cannot supply set to 0.
 
     This is the modality mask: unlike sources share one schema, and what a
     source does not measure is 0.0 rather than NULL.
@@ -93,5 +93,5 @@ def sample_columns(source: str, present: dict[str, Column], label: Column) -> li
     unknown = set(present) - set(FEATURES)
     if unknown:
         raise ValueError(f"not features: {sorted(unknown)}")
-    features = [present.get(name, F.lit(0.0)).cast("double").alias(name) for name in FEATURES]
-    return [F.lit(source).alias("source"), *features, label.cast("int").alias("label")]
+    features = [f"cast({present.get(name, '0')} as double) as {name}" for name in FEATURES]
+    return [f"'{source}' as source", *features, f"cast({label} as int) as label"]
