@@ -32,11 +32,10 @@ from pointerloom.functions.expr import (
 from pointerloom.functions.labels import OUTCOME_EVENTS, horizon_label, is_outcome
 from pointerloom.operators.skew import (
     HOT_ROWS,
+    cut_hot_sessions,
     explode_range,
-    hot_sessions,
     materialise,
     session_bounds,
-    with_block,
 )
 from pointerloom.schema import (
     DEFAULT_DOCUMENT,
@@ -161,20 +160,20 @@ def step_branches(
     rows = _prepare(events)
     bounds = session_bounds(rows, "session_id", "t")
     sessions = materialise(with_screen(bounds, viewport))
-    hot = hot_sessions(sessions, "session_id", hot_rows)
     anchors = sessions.selectExpr(
         "session_id", "first_pos as t0", "last_pos as t1", "vp_w", "vp_h", "doc_h"
     )
-    if hot.isEmpty():
+    blocks = cut_hot_sessions(rows, "session_id", "t", sessions, hot_rows)
+    if blocks is None:
         whole = _with_previous(rows.repartition("session_id"), "session_id", "is_ptr")
-        return [_steps(whole.join(anchors, "session_id").withColumn("block", F.lit(0)))]
-
-    blocked = with_block(rows, hot, "session_id", "t").repartition("session_id", "block")
-    cut = anchors.join(F.broadcast(hot), "session_id", "left").selectExpr(
-        "*", "coalesce(cast(floor((t1 - t0) / hot_width) as long), 0L) + 1 as n_blocks"
-    )
-    block_anchors = explode_range(cut, "n_blocks", "block").drop(
-        "n_blocks", "hot_first", "hot_width"
+        return [_steps(whole.join(anchors, "session_id").selectExpr("*", "0D as block"))]
+
+    blocked = blocks.place(rows).repartition("session_id", "block")
+    hot_keys = F.broadcast(blocks.levels[0].select("session_id"))
+    block_anchors = (
+        anchors.join(hot_keys, "session_id", "left_anti")
+        .selectExpr("*", "0D as block")
+        .unionByName(anchors.join(F.broadcast(blocks.sizes.drop("n_rows")), "session_id"))
     )
     inner = (
         _with_previous(blocked, "session_id", "block", "is_ptr")

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-# At most this many sessions are cut, which bounds the broadcast list (three
-# numbers and a key per row). Sessions ranked below it hold under 1/50,000 of
-# the rows each and are processed whole: the result does not depend on it.
-MAX_HOT = 50_000
+# A block is not made smaller than this share of all rows, which bounds the
+# tables of blocks (a key and three numbers per row) that are broadcast.
+MAX_SHARES = 20_000
+MAX_LEVELS = 6
 RANGE_BLOCK = 4096
 
 
@@ -30,35 +31,73 @@ def session_bounds(df: DataFrame, key: str, position: str) -> DataFrame:
     )
 
 
-def hot_sessions(bounds: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest sessions above ``hot_rows``, with the block width that cuts them."""
-    blocks = F.ceil(F.col("n_rows") / F.lit(hot_rows))
-    return (
-        bounds.where((F.col("n_rows") > hot_rows) & (F.col("last_pos") > F.col("first_pos")))
-        .orderBy(F.col("n_rows").desc(), key)
-        .limit(MAX_HOT)
-        .select(
-            key,
-            F.col("first_pos").alias("hot_first"),
-            ((F.col("last_pos") - F.col("first_pos")) / blocks).alias("hot_width"),
+@dataclass(frozen=True)
+class Blocks:
+    """How hot sessions are cut along their position.
+
+    ``levels[0]`` cuts sessions (``key, low, width``), each later level cuts
+    blocks that were still too large (``key, parent, low, width``) between
+    their own first and last row, so gaps and bursts even out. ``sizes`` has one
+    row per block: ``key, block, n_rows``. A block is named by its start.
+    """
+
+    key: str
+    position: str
+    levels: tuple[DataFrame, ...]
+    sizes: DataFrame
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Add ``block`` and ``is_hot``; map-only. Sessions not cut are block 0."""
+        cut = f"low + floor(({self.position} - low) / width) * width"
+        placed = (
+            df.join(F.broadcast(self.levels[0]), self.key, "left")
+            .selectExpr(
+                *df.columns, f"coalesce({cut}, 0D) as block", "low is not null as is_hot"
+            )
         )
+        for level in self.levels[1:]:
+            finer = level.withColumnRenamed("parent", "block")
+            placed = placed.join(F.broadcast(finer), [self.key, "block"], "left").selectExpr(
+                *df.columns, f"coalesce({cut}, block) as block", "is_hot"
+            )
+        return placed
+
+
+def _cuts(groups: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """Block widths for the groups above ``limit`` rows that span more than a point."""
+    return groups.where(f"n_rows > {limit} and last_pos > first_pos").selectExpr(
+        *keys,
+        "double(first_pos) as low",
+        f"(last_pos - first_pos) / ceil(n_rows / {limit}) as width",
     )
 
 
-def block_of(position: Column) -> Column:
-    """Block of a position once ``hot_sessions`` is joined; 0 in a session not cut."""
-    cut = F.floor((position - F.col("hot_first")) / F.col("hot_width"))
-    return F.coalesce(cut.cast("long"), F.lit(0).cast("long"))
-
+def cut_hot_sessions(
+    df: DataFrame, key: str, position: str, bounds: DataFrame, hot_rows: int = HOT_ROWS
+) -> Blocks | None:
+    """Cut the sessions above ``hot_rows`` rows; None if there is none.
 
-def with_block(df: DataFrame, hot: DataFrame, key: str, position: str) -> DataFrame:
-    """Add ``block`` and ``is_hot``; a map-only step, as the hot list is bounded."""
-    return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("block", block_of(F.col(position)))
-        .withColumn("is_hot", F.col("hot_width").isNotNull())
-        .drop("hot_first", "hot_width")
-    )
+    Only rows of one single position cannot be cut apart.
+    """
+    seen = bounds.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("largest")).first()
+    limit = max(hot_rows, (seen.total or 0) // MAX_SHARES)
+    if (seen.largest or 0) <= limit:
+        return None
+    levels = (materialise(_cuts(bounds, limit, key)),)
+    while True:
+        blocks = Blocks(key, position, levels, None)
+        placed = blocks.place(df.select(key, position)).where("is_hot")
+        sizes = materialise(
+            placed.groupBy(key, "block").agg(
+                F.min(position).alias("first_pos"),
+                F.max(position).alias("last_pos"),
+                F.count(F.lit(1)).alias("n_rows"),
+            )
+        )
+        finer = _cuts(sizes, 2 * limit, key, "block as parent")
+        if len(levels) == MAX_LEVELS or finer.isEmpty():
+            return replace(blocks, sizes=sizes.select(key, "block", "n_rows"))
+        levels = (*levels, materialise(finer))
 
 
 def row_index(
@@ -66,31 +105,25 @@ def row_index(
 ) -> DataFrame:
     """``row_number() - 1`` per ``key`` in the order ``lead, *order``, as ``row_idx``.
 
-    ``lead`` is numeric. Sessions above ``hot_rows`` rows are numbered per block
-    of ``lead`` and shifted by the sizes of their earlier blocks; that list has
-    one row per block of a hot session.
+    ``lead`` is numeric. Hot sessions are numbered per block of ``lead`` and
+    shifted by the sizes of their earlier blocks.
     """
     number = lambda *keys: (
         F.row_number().over(Window.partitionBy(*keys).orderBy(lead, *order)).cast("long") - 1
     )
-    hot = hot_sessions(materialise(session_bounds(df, key, lead)), key, hot_rows)
-    if hot.isEmpty():
+    bounds = materialise(session_bounds(df, key, lead))
+    blocks = cut_hot_sessions(df, key, lead, bounds, hot_rows)
+    if blocks is None:
         return df.withColumn("row_idx", number(key))
-    blocked = with_block(df, hot, key, lead)
-    sizes = (
-        with_block(df.select(key, lead), hot, key, lead)
-        .where("is_hot")
-        .groupBy(key, "block")
-        .agg(F.count(F.lit(1)).alias("size"))
-    )
     earlier = Window.partitionBy(key).orderBy("block").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    shifts = sizes.select(
-        key, "block", (F.sum("size").over(earlier) - F.col("size")).alias("shift")
+    shifts = blocks.sizes.select(
+        key, "block", (F.sum("n_rows").over(earlier) - F.col("n_rows")).alias("shift")
     )
     return (
-        blocked.withColumn("row_idx", number(key, "block"))
+        blocks.place(df)
+        .withColumn("row_idx", number(key, "block"))
         .join(shifts, [key, "block"], "left")
         .withColumn("row_idx", F.col("row_idx") + F.coalesce("shift", F.lit(0).cast("long")))
         .drop("shift", "block", "is_hot")

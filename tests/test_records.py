@@ -4,7 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointerloom.operators.records import ap_samples, hmi_samples, hvt_windows
-from pointerloom.operators.skew import explode_range, number_rows, row_index
+from pointerloom.operators.skew import (
+    cut_hot_sessions,
+    explode_range,
+    number_rows,
+    row_index,
+    session_bounds,
+)
 from pointerloom.schema import FEATURES
 
 
@@ -141,3 +147,19 @@ def test_ap_nan_stays(spark):
 def test_ap_keys_of_either_list(spark):
     assert actions(spark, '[{"clickstream":[],"actions":[{"stay_seconds":1}]}]') == []
     assert actions(spark, '[{"actions":{"stay_seconds":1},"stay_seconds":0.05}]') == [(0.1, 0)]
+
+
+def test_blocks_even_out_bursts(spark):
+    # One early outlier and a dense burst: blocks end up small all the same.
+    rows = [("hot", -1e9)] + [("hot", float(i)) for i in range(3000)] + [("hot", 5000.0 + i / 1e6) for i in range(3000)]
+    rows += [("hot", 7000.0)] * 500 + [("mild", float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, t double").repartition(3)
+    blocks = cut_hot_sessions(df, "k", "t", session_bounds(df, "k", "t"), 100)
+    placed = blocks.place(df)
+    sizes = placed.groupBy("k", "block", "is_hot").agg(F.count("t").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
+    got = sorted((r.a, r.b, r.n) for r in sizes.collect() if r.is_hot)
+    assert sum(n for *_, n in got) == 6501 and all(left[1] < right[0] for left, right in zip(got, got[1:]))
+    assert all(n <= 200 for a, b, n in got if a < b) and len(got) > 30
+    assert [(r.block, r.n) for r in sizes.collect() if not r.is_hot] == [(0.0, 90)]
+    assert blocks.sizes.agg(F.sum("n_rows")).first()[0] == 6501
+    assert cut_hot_sessions(df, "k", "t", session_bounds(df, "k", "t"), 10_000) is None
