@@ -166,14 +166,14 @@ def step_branches(
     blocks = cut_hot_sessions(rows, "session_id", "t", sessions, hot_rows)
     if blocks is None:
         whole = _with_previous(rows.repartition("session_id"), "session_id", "is_ptr")
-        return [_steps(whole.join(anchors, "session_id").selectExpr("*", "0D as block"))]
+        return [_steps(whole.join(anchors, "session_id").selectExpr("*", "0L as block"))]
 
     blocked = blocks.place(rows).repartition("session_id", "block")
     hot_keys = F.broadcast(blocks.levels[0].select("session_id"))
     block_anchors = (
         anchors.join(hot_keys, "session_id", "left_anti")
-        .selectExpr("*", "0D as block")
-        .unionByName(anchors.join(F.broadcast(blocks.sizes.drop("n_rows")), "session_id"))
+        .selectExpr("*", "0L as block")
+        .unionByName(anchors.join(F.broadcast(blocks.sizes.select("session_id", "block")), "session_id"))
     )
     inner = (
         _with_previous(blocked, "session_id", "block", "is_ptr")

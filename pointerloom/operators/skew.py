@@ -18,7 +18,9 @@ HOT_ROWS = 1_000_000
 # A block is not made smaller than this share of all rows, which bounds the
 # tables of blocks (a key and three numbers per row) that are broadcast.
 MAX_SHARES = 20_000
-MAX_LEVELS = 6
+# A block number has one digit of this base per level, none of them 0.
+BLOCK_BASE = 32_768
+MAX_LEVELS = 4
 RANGE_BLOCK = 4096
 
 
@@ -38,7 +40,7 @@ class Blocks:
     ``levels[0]`` cuts sessions (``key, low, width``), each later level cuts
     blocks that were still too large (``key, parent, low, width``) between
     their own first and last row, so gaps and bursts even out. ``sizes`` has one
-    row per block: ``key, block, n_rows``. A block is named by its start.
+    row per block: ``key, block, first_pos, n_rows``.
     """
 
     key: str
@@ -48,17 +50,14 @@ class Blocks:
 
     def place(self, df: DataFrame) -> DataFrame:
         """Add ``block`` and ``is_hot``; map-only. Sessions not cut are block 0."""
-        cut = f"low + floor(({self.position} - low) / width) * width"
-        placed = (
-            df.join(F.broadcast(self.levels[0]), self.key, "left")
-            .selectExpr(
-                *df.columns, f"coalesce({cut}, 0D) as block", "low is not null as is_hot"
-            )
+        part = f"cast(floor(({self.position} - low) / width) as long) + 1"
+        placed = df.join(F.broadcast(self.levels[0]), self.key, "left").selectExpr(
+            *df.columns, f"coalesce({part}, 0L) as block", "low is not null as is_hot"
         )
         for level in self.levels[1:]:
             finer = level.withColumnRenamed("parent", "block")
             placed = placed.join(F.broadcast(finer), [self.key, "block"], "left").selectExpr(
-                *df.columns, f"coalesce({cut}, block) as block", "is_hot"
+                *df.columns, f"coalesce(block * {BLOCK_BASE} + {part}, block) as block", "is_hot"
             )
         return placed
 
@@ -80,7 +79,7 @@ def cut_hot_sessions(
     Only rows of one single position cannot be cut apart.
     """
     seen = bounds.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("largest")).first()
-    limit = max(hot_rows, (seen.total or 0) // MAX_SHARES)
+    limit = max(hot_rows, -(-(seen.total or 0) // MAX_SHARES))
     if (seen.largest or 0) <= limit:
         return None
     levels = (materialise(_cuts(bounds, limit, key)),)
@@ -96,7 +95,7 @@ def cut_hot_sessions(
         )
         finer = _cuts(sizes, 2 * limit, key, "block as parent")
         if len(levels) == MAX_LEVELS or finer.isEmpty():
-            return replace(blocks, sizes=sizes.select(key, "block", "n_rows"))
+            return replace(blocks, sizes=sizes.drop("last_pos"))
         levels = (*levels, materialise(finer))
 
 
@@ -115,7 +114,7 @@ def row_index(
     blocks = cut_hot_sessions(df, key, lead, bounds, hot_rows)
     if blocks is None:
         return df.withColumn("row_idx", number(key))
-    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(
+    earlier = Window.partitionBy(key).orderBy("first_pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     shifts = blocks.sizes.select(
@@ -135,14 +134,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may go without; it gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="pointerloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="pointerloom-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

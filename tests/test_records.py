@@ -160,6 +160,6 @@ def test_blocks_even_out_bursts(spark):
     got = sorted((r.a, r.b, r.n) for r in sizes.collect() if r.is_hot)
     assert sum(n for *_, n in got) == 6501 and all(left[1] < right[0] for left, right in zip(got, got[1:]))
     assert all(n <= 200 for a, b, n in got if a < b) and len(got) > 30
-    assert [(r.block, r.n) for r in sizes.collect() if not r.is_hot] == [(0.0, 90)]
+    assert [(r.block, r.n) for r in sizes.collect() if not r.is_hot] == [(0, 90)]
     assert blocks.sizes.agg(F.sum("n_rows")).first()[0] == 6501
     assert cut_hot_sessions(df, "k", "t", session_bounds(df, "k", "t"), 10_000) is None
