@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointerloom.operators.skew import materialise
 from pointerloom.schema import FEATURES, SOURCES
 
 GRID_POINTS = 200
@@ -70,31 +71,36 @@ def feature_density(
     Each source is normalised on its own. Bandwidth is Scott's rule for one
     dimension, sample deviation times n^(-1/5) (Scott 1992); the grid runs three
     bandwidths past the extremes. Sources whose values are all alike have none.
-    Distinct values are counted first, then each adds to the grid map-side.
+    Distinct values are counted once and written; moments come from the counts,
+    and each value adds to the grid map-side. Moments have one row per source
+    and feature.
     """
     values = F.array(
         *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
     )
-    counts = (
+    keys = ["source", "feature"]
+    counts = materialise(
         samples.select("source", F.explode(values).alias("c"))
         .select("source", "c.feature", "c.value")
         .where("value is not null and not isnan(value)")
-        .groupBy("source", "feature", "value")
+        .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+    centre = counts.groupBy(*keys).agg(
+        F.sum("weight").alias("n"),
+        (F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean"),
+        F.min("value").alias("lowest"),
+        F.max("value").alias("highest"),
+    )
+    spread = (
+        counts.join(F.broadcast(centre), keys)
+        .groupBy(*keys)
+        .agg(F.expr("sum(weight * (value - mean) * (value - mean))").alias("squares"))
+    )
     shape = (
-        samples.select("source", F.explode(values).alias("c"))
-        .select("source", "c.feature", "c.value")
-        .where("value is not null and not isnan(value)")
-        .groupBy("source", "feature")
-        .agg(
-            F.count("value").alias("n"),
-            F.stddev_samp("value").alias("sd"),
-            F.min("value").alias("lowest"),
-            F.max("value").alias("highest"),
-        )
+        centre.join(F.broadcast(spread), keys)
         .where("highest > lowest")
-        .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+        .withColumn("h", F.expr("sqrt(squares / (n - 1)) * pow(double(n), -0.2D)"))
         .withColumn("start", F.col("lowest") - GRID_CUT * F.col("h"))
         .withColumn(
             "width", (F.col("highest") + GRID_CUT * F.col("h") - F.col("start")) / (points - 1)
@@ -104,9 +110,9 @@ def feature_density(
     z = (at - F.col("value")) / F.col("h")
     kernel = F.exp(-0.5 * z * z)
     return (
-        counts.join(F.broadcast(shape), ["source", "feature"])
+        counts.join(F.broadcast(shape), keys)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("source", "feature", "point")
+        .groupBy(*keys, "point")
         .agg(
             F.min(at).alias("x"),
             (

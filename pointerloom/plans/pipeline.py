@@ -13,7 +13,9 @@ from pointerloom.operators.explore import (
 from pointerloom.operators.kinematics import micro_tensor
 from pointerloom.operators.records import ap_samples, hmi_samples, hvt_windows
 from pointerloom.operators.sequences import sequences, unite
+from pointerloom.operators.skew import materialise
 from pointerloom.schema import (
+    FEATURES,
     HMI_MAX_RECORDS,
     HVT_MAX_ROWS,
     PREDICTION_HORIZON_MS,
@@ -108,7 +110,8 @@ def read_sequences(
 
 
 def explore(samples: DataFrame) -> dict[str, DataFrame]:
-    """Counts, correlation, density and range tables of samples."""
+    """Counts, correlation, density and range tables of samples, which are written once."""
+    samples = materialise(samples.select("source", *FEATURES))
     return {
         "counts": source_counts(samples),
         "correlation": feature_corr(samples),

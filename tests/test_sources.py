@@ -146,6 +146,17 @@ def test_lookup(spark, data_root):
     assert cat.find_dataset_dir(spark, str(data_root), "absent") == f"{data_root}/absent"
 
 
+def test_lookup_in_a_hidden_folder_and_beside(spark, tmp_path):
+    put(tmp_path, f"one/.data/raw/{DATASET_DIRS['AP']}/p.json", "[]")
+    assert cat.is_dataset_present(spark, str(tmp_path / "one"))
+    assert cat.resolve_dataset_root(spark, str(tmp_path / "one")) == f"{tmp_path}/one/.data/raw"
+    assert cat.find_dataset_dir(spark, f"{tmp_path}/one", DATASET_DIRS["AP"]).endswith(f"one/.data/raw/{DATASET_DIRS['AP']}")
+    put(tmp_path, f"two/{DATASET_DIRS['HVT']}/h.csv", "velocity\n1\n")
+    (tmp_path / "two" / "sub").mkdir()
+    assert cat.find_dataset_dir(spark, f"{tmp_path}/two/sub", DATASET_DIRS["HVT"]) == f"{tmp_path}/two/{DATASET_DIRS['HVT']}"
+    assert not cat.is_dataset_present(spark, f"{tmp_path}/two/sub")
+
+
 def test_catalogue(spark, data_root):
     files = cat.source_catalogue(spark, str(data_root.parent))
     got = {r.source: (r.n_files, r.present) for r in cat.source_presence(files).collect()}
