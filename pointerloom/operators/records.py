@@ -166,10 +166,10 @@ def action_items(document: Column) -> Column:
     return F.coalesce(in_list, in_object)
 
 
-def _seconds(item: Column) -> Column:
-    """``stay_seconds`` as a number; NULL where ``float()`` would raise."""
-    kind = F.schema_of_variant(F.try_variant_get(item, "$.stay_seconds", "variant"))
-    text = F.try_variant_get(item, "$.stay_seconds", "string")
+def _seconds(value: Column) -> Column:
+    """A JSON value as a number; NULL where ``float()`` would raise."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
     return (
         F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
         .when((kind != "VOID") & ~kind.rlike("^(OBJECT|ARRAY)"), python_float(text))
@@ -184,24 +184,26 @@ def ap_samples(documents: DataFrame) -> DataFrame:
     no number are dropped, as reading a document ends there. A sample is a
     backtrack if the action has the key ``previous_url``, even with a null.
     """
+    objects = F.transform(action_items(F.col("value")), _fields)
     timed = F.filter(
-        action_items(F.col("value")),
-        lambda i: F.coalesce(F.map_contains_key(_fields(i), "stay_seconds"), F.lit(False)),
+        objects, lambda o: F.coalesce(F.map_contains_key(o, "stay_seconds"), F.lit(False))
     )
     parsed = F.transform(
         timed,
-        lambda i: F.struct(
-            _seconds(i).alias("seconds"),
-            F.map_contains_key(_fields(i), "previous_url").alias("back"),
+        lambda o: F.struct(
+            _seconds(o["stay_seconds"]).alias("seconds"),
+            F.map_contains_key(o, "previous_url").alias("back"),
         ),
     )
+    # The outer form of explode, as the plain one would parse each document
+    # once more to filter on the size of the result.
     samples = (
         documents.select("session_id", parsed.alias("actions"))
         .withColumn(
             "bad", F.array_position(F.transform("actions", lambda a: a["seconds"].isNull()), True)
         )
-        .select("session_id", "bad", F.posexplode("actions").alias("pos", "action"))
-        .where((F.col("bad") == 0) | (F.col("pos") < F.col("bad") - 1))
+        .select("session_id", "bad", F.posexplode_outer("actions").alias("pos", "action"))
+        .where("action is not null and (bad = 0 or pos < bad - 1)")
     )
     dwell = clip01(f"action.seconds * 1000D / {DWELL_FULL_MS!r}D")
     label = f"if(action.back, {LABELS['BACKTRACK']}, {LABELS['IDLE']})"
