@@ -17,6 +17,7 @@ INNER_EDGES = tuple(-math.pi + i * (2 * math.pi / N_BINS) for i in range(1, N_BI
 
 # What float() takes as a number, blanks around it aside.
 NUMBER = r"^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+PLAIN = r"^[0-9eE.+-]+$"
 NAN = r"(?i)^[+-]?nan$"
 INFINITY = r"(?i)^([+-]?)(inf|infinity)$"
 
@@ -57,16 +58,15 @@ def normalised_entropy(counts: list[str], total: str) -> str:
 def python_float(text: Column) -> Column:
     """Number held by a text, by the rules of ``float()``; NULL where it would raise.
 
-    A cast alone is too lenient: it takes a type suffix such as ``1366d``.
+    A cast alone is too lenient: it takes a type suffix such as ``1366d``. It is
+    right for texts of plain number characters, which is nearly all of them.
     """
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
     digits = F.when(bare.rlike(NUMBER), F.regexp_replace(bare, "_", ""))
+    infinity = F.when(bare.startswith("-"), float("-inf")).otherwise(float("inf"))
     return (
-        F.when(bare.rlike(NAN), F.lit(float("nan")))
-        .when(
-            bare.rlike(INFINITY),
-            F.when(bare.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
-        )
+        F.when(text.rlike(PLAIN), text.try_cast("double"))
+        .when(bare.rlike(NAN), float("nan"))
+        .when(bare.rlike(INFINITY), infinity)
         .otherwise(digits.try_cast("double"))
     )
-
