@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
 CHUNK_LIMIT = 1_000_000
 JOINED = 50
-BLOCK = 500
+BLOCK = 1_000
+STOPS = b".,"
+BEYOND_LATIN = "\u0250"
 
 # The pattern by which the word tokenizer takes its words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,7 +56,12 @@ class TextEncoder:
         self.lowers = any(x.get("type") == "Lowercase" for x in steps)
         self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.limit, self.young, self.old = limit, {}, {}
+        encode = self.tokenizer.encode
+        self.stops = {
+            x: self._pack(encode(chr(x), add_special_tokens=False).ids) for x in STOPS
+        }
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -83,22 +91,44 @@ class TextEncoder:
                 into[chunks[at]] = self.young[chunks[at]] = ids[low * width : high * width]
                 low, at = high, at + 1
 
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word of small ASCII letters: one step of the splitter, nothing to normalise."""
+        found = self.tokenizer.model.tokenize(word.decode())
+        return array(self.code, [t.id for t in found]).tobytes()
+
     def _ids_of(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of the chunks of a block of texts; those met before are looked up.
+
+        A full stop or comma after letters is a token of its own, so such a chunk
+        is looked up without it.
+        """
         if len(self.young) * 2 >= self.limit:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        known = {}
+        young, old, known = self.young, self.old, {}
+        new, tailed = [], []
         for c in chunks:
+            if c[-1] in STOPS and self.lowers:
+                letters = c[:-1].decode("utf-8", "replace")
+                if letters.isalpha() and max(letters) < BEYOND_LATIN:
+                    tailed.append(c)
+                    c = c[:-1]
+                    if c in known or c in chunks:
+                        continue
             ids = young.get(c)
             if ids is None:
                 ids = old.get(c)
                 if ids is None:
-                    new.append(c)
-                    continue
+                    if not (self.lowers and c.isalpha() and c.islower()):
+                        new.append(c)
+                        known[c] = b""
+                        continue
+                    ids = self._word(c)
                 young[c] = ids
             known[c] = ids
         if new:
             self._learn(new, known)
+        for c in tailed:
+            known[c] = known[c[:-1]] + self.stops[c[-1]]
         return known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointerloom.llm import quality, toxicity
+from pointerloom.llm import fingerprints, quality, toxicity
 from pointerloom.llm.common import remainder, scratch
+from pointerloom.llm.html_text import extract_text
 from pointerloom.llm.packing import best_fit_pack
+from pointerloom.llm.pieces import piece_tokens
 from pointerloom.llm.sharding import shard_documents
 from pointerloom.llm.token_store import read_tokens, write_tokens
 
@@ -29,6 +31,12 @@ def judged(scores: DataFrame, fold: tuple[int, int], threshold: float) -> DataFr
     )
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    prints = fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+    text = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return prints.withColumns(text)
+
+
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = quality.fit_quality(docs, labels)
@@ -47,6 +55,15 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_pack(table(spark, folder, "documents"), tokenizer, end_id=1)
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_tokens(table(spark, folder, "documents"), model, with_ids=False)
+
+
 def op9_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), shards=8)
 
@@ -58,9 +75,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_token_store": op4_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_text": op6_html_text,
+    "op7_pieces": op7_pieces,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_toxicity": op10_toxicity,
 }
