@@ -164,6 +164,7 @@ class PieceEncoder:
             and not self.model.charsmap
             and self.model.dummy_prefix
             and self.model.escape_spaces
+            and any(p == MARKER for p, _, _ in self.model.pieces)
             and not any(MARKER in p.lstrip(MARKER) for p, _, _ in self.model.pieces)
         )
         self.other = None
@@ -172,6 +173,10 @@ class PieceEncoder:
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         self.limit, self.young, self.old, self.odd = limit, {}, {}, set()
+        names = [p for p, _, _ in self.model.pieces]
+        self.alone = np.array(
+            [names.index(MARKER)] if MARKER in names else [], dtype=self.dtype
+        ).tobytes()
         self.table = [self._surface(p, kind) for p, _, kind in self.model.pieces]
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -192,6 +197,7 @@ class PieceEncoder:
 
     def words_of(self, text: bytes) -> list[bytes]:
         """Words with the spaces before them but one, which the marker stands for."""
+        text = text.replace(MARKER.encode(), b" ")
         if self.model.trim_spaces:
             text = b" ".join(w for w in text.split(b" ") if w)
         if not text:
@@ -214,9 +220,11 @@ class PieceEncoder:
                 self.young[w] = ids
             found[w] = ids
         if new:
-            coded, same = self._coded([w.decode("utf-8", "replace") for w in new])
+            words = [w.decode("utf-8", "replace") for w in new]
+            coded, same = self._coded(words)
             for w, ids, equal in zip(new, coded, same):
-                found[w] = self.young[w] = ids
+                # The prefix is not put before nothing, but a last space stands for it.
+                found[w] = self.young[w] = ids if w else self.alone
                 if not equal:
                     self.odd.add(w)
         return found

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pointerloom.llm import fingerprints, quality, toxicity
 from pointerloom.llm.common import remainder, scratch
 from pointerloom.llm.html_text import extract_text
+from pointerloom.llm.ngram_join import ngram_components
 from pointerloom.llm.packing import best_fit_pack
 from pointerloom.llm.pieces import piece_tokens
 from pointerloom.llm.sharding import shard_documents
 from pointerloom.llm.token_store import read_tokens, write_tokens
+from pointerloom.llm.vector_forest import near_vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +45,10 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return judged(quality.score_quality(docs, model), quality.HELD_OUT, 0.7)
 
 
+def op3_vector_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +70,10 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_tokens(table(spark, folder, "documents"), model, with_ids=False)
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(table(spark, folder, "documents"))
+
+
 def op9_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), shards=8)
 
@@ -77,10 +87,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_vector_forest": op3_vector_forest,
     "op4_token_store": op4_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_html_text": op6_html_text,
     "op7_pieces": op7_pieces,
+    "op8_ngram_join": op8_ngram_join,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_toxicity": op10_toxicity,
 }
