@@ -77,7 +77,10 @@ def with_screen(bounds: DataFrame, viewport: DataFrame | None) -> DataFrame:
     defaults = dict(zip(SCREEN, (*DEFAULT_VIEWPORT, *DEFAULT_DOCUMENT)))
     if viewport is None:
         return bounds.withColumns({c: F.lit(v) for c, v in defaults.items()})
-    joined = bounds.join(viewport.select("session_id", *SCREEN), "session_id", "left")
+    # A session has one screen: of several sidecars the least, by its sizes.
+    one = viewport.groupBy("session_id").agg(F.min(F.struct(*SCREEN)).alias("_screen"))
+    sizes = one.select("session_id", *[F.col("_screen")[c].alias(c) for c in SCREEN])
+    joined = bounds.join(sizes, "session_id", "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 

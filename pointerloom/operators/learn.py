@@ -21,7 +21,6 @@ from pointerloom.schema import FEATURES, LABELS, SEQ_LEN
 HIDDEN = 32
 LAYERS = 2
 CLASSES = len(LABELS)
-LEARNING_RATE = 1e-3
 EPOCHS = 5
 BATCH_SIZE = 64
 
@@ -115,13 +114,33 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / total)
 
 
+def log_softmax(scores: Column) -> Column:
+    """Logarithms of class probabilities, finite however far scores are apart."""
+    top = F.array_max(scores)
+    powers = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    mass = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
+    return F.transform(scores, lambda s: s - top - F.ln(mass))
+
+
+# The least positive double: a probability below it counts as it.
+LEAST_PROBABILITY = 5e-324
+
+
 def epoch_metrics(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Cross-entropy loss and accuracy in percent of scored rows, per ``group``.
 
-    ``scored`` has ``probabilities``, ``prediction`` and ``label``. The mean over
-    rows equals the size-weighted mean over batches. Combined map-side.
+    ``scored`` has ``prediction``, ``label`` and ``scores`` or ``probabilities``; scores
+    are preferred, as no loss gets lost where a probability vanishes. A label that
+    is null or no class is an error. The mean over rows equals the size-weighted
+    mean over batches. Combined map-side.
     """
-    loss = -F.ln(F.get("probabilities", F.col("label")))
+    if "scores" in scored.columns:
+        logs = log_softmax(F.col("scores"))
+    else:
+        least = F.lit(LEAST_PROBABILITY)
+        logs = F.transform("probabilities", lambda p: F.ln(F.greatest(p, least)))
+    own = F.get(logs, F.col("label").cast("int"))
+    loss = -F.coalesce(own, F.raise_error(F.lit("a label is not a class")).cast("double"))
     hit = F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)
     return scored.groupBy(*(group or [])).agg(
         F.count(F.lit(1)).alias("n"),
@@ -185,14 +204,14 @@ def fit_classifier(
     hidden: int = HIDDEN,
     epochs: int = EPOCHS,
     batch_size: int = BATCH_SIZE,
-    learning_rate: float = LEARNING_RATE,
     solver: str = "l-bfgs",
     seed: int = 0,
 ) -> MultilayerPerceptronClassificationModel:
     """Fit a classifier of runs: a multilayer perceptron on the flattened run.
 
     This is not a recurrent network: Spark trains a perceptron with one hidden
-    layer over the ``seq_len * 9`` values, data-parallel, one pass per epoch.
+    layer over the ``seq_len * 9`` values, data-parallel. ``epochs`` bounds the
+    solver's iterations, ``batch_size`` is how many rows it stacks into a block.
     """
     vectors = seqs.select(
         array_to_vector(F.flatten("features")).alias("features"), F.col("label").cast("double")
@@ -201,7 +220,6 @@ def fit_classifier(
         layers=[seq_len * len(FEATURES), hidden, CLASSES],
         maxIter=epochs,
         blockSize=batch_size,
-        stepSize=learning_rate,
         solver=solver,
         seed=seed,
     ).fit(vectors)

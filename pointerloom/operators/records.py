@@ -9,8 +9,6 @@ from pointerloom.functions.expr import clip01, python_float
 from pointerloom.operators.kinematics import LENGTH_FULL, SPEED_MAX_FULL, SPEED_MEAN_FULL
 from pointerloom.operators.skew import explode_range
 from pointerloom.schema import (
-    HMI_MAX_RECORDS,
-    HVT_MAX_ROWS,
     LABELS,
     RECORD_STEP_MS,
     SAMPLE_COLUMNS,
@@ -35,7 +33,7 @@ def hvt_windows(
     records: DataFrame,
     window_size_ms: int = WINDOW_SIZE_MS,
     stride_ms: int = STRIDE_MS,
-    max_rows: int | None = HVT_MAX_ROWS,
+    max_rows: int | None = None,
     max_windows: int | None = None,
 ) -> DataFrame:
     """Windows over a synthetic timeline that gives each record 50 ms.
@@ -110,7 +108,7 @@ def hvt_windows(
     ).select(*SAMPLE_COLUMNS)
 
 
-def hmi_samples(records: DataFrame, max_records: int | None = HMI_MAX_RECORDS) -> DataFrame:
+def hmi_samples(records: DataFrame, max_records: int | None = None) -> DataFrame:
     """One click sample per HMI record of a session but the last.
 
     Samples of a session are alike, so their number decides the result: records

@@ -49,7 +49,8 @@ def sequences(
         raise ValueError("scope is 'global' or 'session'")
     if seq_len < 1 or bucket < seq_len:
         raise ValueError("need 1 <= seq_len <= bucket")
-    columns = list(dict.fromkeys([*order, "session_id", "window_idx", *FEATURES, "label"]))
+    tags = ["source"] if "source" in samples.columns else []
+    columns = list(dict.fromkeys([*order, *tags, "session_id", "window_idx", *FEATURES, "label"]))
     numbered = number_rows(samples.select(*columns), order)
     if max_sequences is not None:
         numbered = numbered.where(F.col("idx") < max_sequences + seq_len - 1)
@@ -57,17 +58,22 @@ def sequences(
     spills = F.col("idx") % bucket >= bucket - (seq_len - 1)
     copied = numbered.select(
         "idx",
+        *tags,
         "session_id",
         "window_idx",
         F.array(*[F.col(f).cast(element) for f in FEATURES]).alias("sample"),
         "label",
         F.explode(F.when(spills, F.array(home, home + 1)).otherwise(F.array(home))).alias("bucket"),
     )
-    keys = ["bucket", "session_id"] if scope == "session" else ["bucket"]
+    # Sources may use the same session ids.
+    keys = ["bucket", *tags, "session_id"] if scope == "session" else ["bucket"]
     run = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-(seq_len - 1), Window.currentRow)
     return (
         copied.withColumn("features", F.collect_list("sample").over(run))
+        .withColumn("_from", F.min("idx").over(run))
         .where((F.size("features") == seq_len) & (home == F.col("bucket")))
+        # Rows of other sessions may not lie between: then these are no run.
+        .where(F.col("idx") - F.col("_from") == seq_len - 1)
         .select(
             (F.col("idx") - (seq_len - 1)).alias("seq_id"),
             "session_id",

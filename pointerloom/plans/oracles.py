@@ -141,7 +141,7 @@ def _record_features(**given: str) -> str:
 NO_BOUNDS = "NULL::DOUBLE AS window_start, NULL::DOUBLE AS window_end"
 
 
-def hvt(max_rows=50_000, max_windows: int | None = None, velocity: bool = True) -> str:
+def hvt(max_rows=10**15, max_windows: int | None = None, velocity: bool = True) -> str:
     """CTEs up to ``hvt``."""
     speeds = (
         {"meanVelocity": clip("mean_v / 5.0"), "maxVelocity": clip("max_v / 10.0")}
@@ -184,7 +184,7 @@ hmi AS (
         FROM (SELECT o_custkey AS session_id,
                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
               FROM orders)
-        WHERE rn <= 500)
+        WHERE rn >= 1)
   WHERE next IS NOT NULL)"""
 
 AP = f"""

@@ -16,8 +16,6 @@ from pointerloom.operators.sequences import sequences, unite
 from pointerloom.operators.skew import materialise
 from pointerloom.schema import (
     FEATURES,
-    HMI_MAX_RECORDS,
-    HVT_MAX_ROWS,
     PREDICTION_HORIZON_MS,
     SEQ_LEN,
     SOURCES,
@@ -31,11 +29,6 @@ from pointerloom.sources.viewport import read_viewports
 
 SAMPLE_ORDER = ["source_rank", "session_id", "window_idx"]
 
-# Files and rows that a first look at the data reads (fixed values).
-EXPLORE_FILES = {"CK": 5, "HVT": 1, "HMI": 2, "AP": 5}
-EXPLORE_HVT_ROWS = 10_000
-EXPLORE_HVT_WINDOWS = 200
-
 
 def read_samples(
     spark: SparkSession,
@@ -45,9 +38,9 @@ def read_samples(
     prediction_horizon_ms: int = PREDICTION_HORIZON_MS,
     max_files: dict[str, int] | int | None = None,
     preferred: bool = False,
-    hvt_max_rows: int | None = HVT_MAX_ROWS,
+    hvt_max_rows: int | None = None,
     hvt_max_windows: int | None = None,
-    hmi_max_records: int | None = HMI_MAX_RECORDS,
+    hmi_max_records: int | None = None,
 ) -> DataFrame:
     """Samples of every log family found under ``data_root``; absent ones are left out.
 
@@ -120,14 +113,20 @@ def explore(samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def explore_root(spark: SparkSession, data_root: str) -> dict[str, DataFrame]:
-    """The exploration tables of a first look: few files per family, HVT cut short."""
+def explore_root(
+    spark: SparkSession,
+    data_root: str,
+    max_files: dict[str, int] | int | None = None,
+    hvt_max_rows: int | None = None,
+    hvt_max_windows: int | None = None,
+) -> dict[str, DataFrame]:
+    """The exploration tables of all logs; a first look may ask for few files or rows."""
     samples = read_samples(
         spark,
         data_root,
-        max_files=EXPLORE_FILES,
-        preferred=True,
-        hvt_max_rows=EXPLORE_HVT_ROWS,
-        hvt_max_windows=EXPLORE_HVT_WINDOWS,
+        max_files=max_files,
+        preferred=max_files is not None,
+        hvt_max_rows=hvt_max_rows,
+        hvt_max_windows=hvt_max_windows,
     )
     return explore(samples)

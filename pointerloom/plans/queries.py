@@ -207,6 +207,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return runs.withColumn("scores", linear_scores(F.element_at("features", -1))).select(
         "seq_id",
         "label",
+        "scores",
         learn.softmax(F.col("scores")).alias("probabilities"),
         learn.argmax(F.col("scores")).alias("prediction"),
     )

@@ -36,8 +36,6 @@ PREDICTION_HORIZON_MS = 1500
 MIN_EVENTS_PER_WINDOW = 2
 RAPID_SCROLL_OVER = 4
 RECORD_STEP_MS = 50
-HVT_MAX_ROWS = 50_000
-HMI_MAX_RECORDS = 500
 SEQ_LEN = 8
 
 DEFAULT_VIEWPORT = (1366.0, 768.0)
@@ -46,13 +44,6 @@ DEFAULT_DOCUMENT = (1366.0, 2000.0)
 # Sources in the order in which their samples are concatenated.
 SOURCES = ("CK", "HVT", "HMI", "AP")
 
-SOURCE_TAGS = {
-    "CK": "Continuous Kinematics",
-    "HVT": "High-Volume Trajectories",
-    "HMI": "HMI Sequences",
-    "AP": "Action Paths",
-}
-
 DATASET_DIRS = {
     "CK": "continuous-kinematics-2020",
     "HVT": "high-volume-trajectories-20226",

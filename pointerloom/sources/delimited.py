@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import python_float
-from pointerloom.schema import HMI_MAX_RECORDS, HVT_MAX_ROWS
 
 # Columns that hold the time of an HMI record, the first present one counts (fixed values).
 HMI_TIME_COLUMNS = ("epoch", "initepoch", "timestamp")
@@ -130,7 +129,7 @@ def read_ck(spark: SparkSession, folder: str | list[str]) -> DataFrame:
 def read_hvt(
     spark: SparkSession,
     folder: str | list[str],
-    max_rows: int | None = HVT_MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Trajectory records of ``;``-separated files, a session per file, in line order.
 
@@ -152,7 +151,7 @@ def read_hvt(
 def read_hmi(
     spark: SparkSession,
     folder: str | list[str],
-    max_records: int | None = HMI_MAX_RECORDS,
+    max_records: int | None = None,
 ) -> DataFrame:
     """HMI records with the text of their time column as ``epoch``.
 

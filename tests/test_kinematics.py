@@ -3,7 +3,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from reference_numpy import session_samples
 
 from pointerloom.operators.kinematics import kinematic_steps, micro_tensor, window_totals
 from pointerloom.schema import FEATURES
@@ -37,17 +36,11 @@ def same(a, b):
     return (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b, abs=1e-12)
 
 
-def assert_like_formulas(got, sessions, **parameters):
-    want = {}
-    for name, rows in sessions.items():
-        clean = [(t, e, math.nan if x is None else x, y) for t, e, x, y in rows]
-        for k, features, label in session_samples(clean, **parameters):
-            want[name, k] = features, label
+def assert_same(got, want):
     assert set(got) == set(want)
-    for key, (features, label) in want.items():
-        wrong = [(n, a, b) for n, a, b in zip(FEATURES, got[key][0], features) if not same(a, b)]
-        assert not wrong, (key, wrong)
-        assert got[key][1] == label, key
+    for key in want:
+        assert got[key][1] == want[key][1], key
+        assert all(same(x, y) for x, y in zip(got[key][0], want[key][0])), key
 
 
 def flat(sessions):
@@ -120,18 +113,20 @@ def test_missing_time_is_left_out(spark):
     assert got["a", 0][3] == 2 and got["a", 0][1] == 3
 
 
-@pytest.mark.parametrize("parameters", [
-    {}, {"size": 500, "stride": 200, "horizon": 350, "rapid": 1}, {"size": 300, "stride": 450, "horizon": 0},
-    {"size": 70, "stride": 30, "horizon": 100, "least": 0}, {"least": 5},
-])
-def test_like_formulas(spark, parameters):
-    sessions = {f"s{i}": session(i, 120, 4000, missing=0.05 if i == 0 else 0) for i in range(4)}
-    names = {"size": "window_size_ms", "stride": "stride_ms", "horizon": "prediction_horizon_ms",
-             "least": "min_events_per_window", "rapid": "rapid_scroll_over"}
-    samples = micro_tensor(
-        frame(spark, flat(sessions)), **{names[k]: v for k, v in parameters.items()}
-    )
-    assert_like_formulas(collected(samples), sessions, **parameters)
+def test_time_of_day_does_not_matter(spark):
+    rows = session(3, 200, 4000)
+    later = [(t + 4096.0, *rest) for t, *rest in rows]
+    first, again = (collected(micro_tensor(frame(spark, flat({"s": r})))) for r in (rows, later))
+    assert_same(again, first)
+    assert all(again[k][2] == first[k][2] + 4096 for k in first)
+
+
+def test_other_sessions_do_not_matter(spark):
+    sessions = {f"s{i}": session(50 + i, 90, 3000) for i in range(3)}
+    together = collected(micro_tensor(frame(spark, flat(sessions))))
+    for name, rows in sessions.items():
+        alone = collected(micro_tensor(frame(spark, flat({name: rows}))))
+        assert_same({k: v for k, v in together.items() if k[0] == name}, alone)
 
 
 @pytest.mark.parametrize("hot_rows", [1, 3, 40, 200])
@@ -140,7 +135,8 @@ def test_hot_sessions_change_nothing(spark, hot_rows):
                 "instant": [(5.0, "mousemove", 1.0, 1.0)] * 50, "burst": session(9, 150, 40) + session(10, 30, 2000)}
     sessions["burst"].sort(key=lambda r: r[0])
     events = frame(spark, flat(sessions))
-    assert_like_formulas(collected(micro_tensor(events, hot_rows=hot_rows)), sessions)
+    uncut, blocks = (collected(micro_tensor(events, hot_rows=n)) for n in (10**6, hot_rows))
+    assert_same(blocks, uncut)
     whole, cut = (
         {r.tie: [None if v is None else str(v) for v in r] for r in kinematic_steps(events, hot_rows=n).collect()}
         for n in (10**6, hot_rows)
@@ -167,16 +163,20 @@ def test_window_count_before_the_minimum(spark):
 
 
 def test_screens(spark):
-    # Sizes are powers of two, so that steps stay exact and no angle lies an ulp beside a bin edge.
     sessions = {"a": session(40, 100, 2500), "b": session(41, 100, 2500), "c": session(42, 100, 2500)}
-    screens = spark.createDataFrame(
-        [("a", 1024.0, 512.0, 1024.0, 530.0), ("b", 0.5, 0.25, 1.0, 900.0)],
-        "session_id string, vp_w double, vp_h double, doc_w double, doc_h double",
-    )
-    got = collected(micro_tensor(frame(spark, flat(sessions)), screens))
-    for name, screen in (("a", (1024, 512, 1024, 530)), ("b", (0.5, 0.25, 1, 900)), ("c", (1366, 768, 1366, 2000))):
-        part = {k: v for k, v in got.items() if k[0] == name}
-        assert_like_formulas(part, {name: sessions[name]}, screen=screen)
+    events = frame(spark, flat(sessions))
+    schema = "session_id string, vp_w double, vp_h double, doc_w double, doc_h double"
+    usual = (1366.0, 768.0, 1366.0, 2000.0)
+    plain = collected(micro_tensor(events))
+    given = spark.createDataFrame([("a", *usual), ("b", *usual)], schema)
+    assert_same(collected(micro_tensor(events, given)), plain)
+    # A second sidecar of a session adds no windows; the least one counts.
+    twice = spark.createDataFrame([("a", *usual), ("a", 9999.0, *usual[1:]), ("b", *usual)], schema)
+    assert_same(collected(micro_tensor(events, twice)), plain)
+    tall = spark.createDataFrame([("a", 1366.0, 768.0, 1366.0, 200000.0)], schema)
+    other = collected(micro_tensor(events, tall))
+    assert set(other) == set(plain)
+    assert_same(*({k: v for k, v in x.items() if k[0] != "a"} for x in (other, plain)))
 
 
 def test_features_in_range(spark):

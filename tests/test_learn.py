@@ -172,3 +172,12 @@ def test_range(samples):
     r = got["CK", "maxVelocity"]
     assert r.n_missing == 8 and 0 <= r.lowest < r.highest < 1
     assert got["HMI", "meanVelocity"].share_at_1 == 1.0 and got["HMI", "dwellTimeMs"].share_at_0 == 1.0
+
+
+def test_loss_of_vanished_probabilities(spark):
+    rows = [([0.0, 1000.0], 0, 1), ([0.0, 1000.0], 1, 1)]
+    df = spark.createDataFrame(rows, "scores array<double>, label int, prediction int")
+    r = learn.epoch_metrics(df).first()
+    assert (r.n, r.loss, r.accuracy) == (2, 500.0, 50.0)
+    with pytest.raises(Exception, match="not a class"):
+        learn.epoch_metrics(df.selectExpr("scores", "7 as label", "prediction")).collect()

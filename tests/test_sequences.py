@@ -63,3 +63,14 @@ def test_arguments(samples):
     for bad in ({"scope": "file"}, {"seq_len": 0}, {"bucket": 7}):
         with pytest.raises(ValueError):
             sequences(samples, ["window_idx"], **bad)
+
+
+def test_session_scope_parts_sources(spark):
+    rows = [(rank, tag, "5", k, *[float(rank)] * 9, rank) for rank, tag in enumerate(("CK", "HVT"))
+            for k in range(12 if rank else 5)]
+    names = ["source_rank", "source", "session_id", "window_idx", *FEATURES, "label"]
+    df = spark.createDataFrame(rows, names)
+    runs = sequences(df, ["source_rank", "session_id", "window_idx"], scope="session").collect()
+    assert len(runs) == 5 and all(r.label == 1 for r in runs)
+    assert all(v == 1.0 for r in runs for sample in r.features for v in sample)
+    assert sorted(r.seq_id for r in runs) == [5, 6, 7, 8, 9]
