@@ -12,7 +12,8 @@ Which lists are short is told by counts over the whole corpus: shingles more
 common than ``COMMON`` come last in the order of all. Lists that stay long,
 because a family of near copies has nothing rarer, are not opened into pairs:
 members are compared with one of them, and then only those that are not
-connected yet. Components need no more; no link between two is lost.
+connected yet, where what is left of both from that list on can still reach the
+overlap. Components need no more; no link between two is lost.
 """
 
 from __future__ import annotations
@@ -173,7 +174,11 @@ POSTINGS = pa.schema([("block", pa.int32()), ("postings", pa.binary())])
 
 
 def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
-    """Postings of the n - T + 1 rarest shingles of every set, in blocks by shingle."""
+    """Postings of the n - T + 1 rarest shingles of every set, in blocks by shingle.
+
+    The place of a common shingle in the order of its set goes along; others,
+    whose lists are short, have 0, which promises nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -181,10 +186,11 @@ def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate([t for t, _, _ in held])
-            counts = [len(t) for t, _, _ in held]
-            docs = np.repeat([d for _, d, _ in held], counts)
-            sizes = np.repeat([n for _, _, n in held], counts)
+            tokens = np.concatenate([t for t, _, _, _ in held])
+            places = np.concatenate([p for _, p, _, _ in held])
+            counts = [len(t) for t, _, _, _ in held]
+            docs = np.repeat([d for _, _, d, _ in held], counts)
+            sizes = np.repeat([n for _, _, _, n in held], counts)
             block = (tokens % np.uint64(blocks)).astype(np.int64)
             order = np.lexsort((tokens, block))
             edges = contiguous(block[order])
@@ -195,6 +201,7 @@ def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
                     _packed(tokens[at].astype("<u8")),
                     _packed(docs[at].astype("<i8")),
                     _packed(sizes[at].astype("<u4")),
+                    _packed(places[at].astype("<u4")),
                 ]
                 head = np.array([len(p) for p in parts], "<u4").tobytes()
                 rows.append({"block": int(block[at[0]]), "postings": head + b"".join(parts)})
@@ -208,12 +215,16 @@ def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
                 if not n or digest in seen:
                     continue
                 seen.add(digest)
+                prefix = n - needed(n) + 1
+                places_in = np.zeros(prefix, dtype=np.int64)
                 if len(values):
                     upper = (found >> np.uint64(32)).astype(np.int64)
                     at = np.minimum(np.searchsorted(values, upper), len(values) - 1)
                     common = np.where(values[at] == upper, ranks[at], 0)
-                    found = found[np.argsort(common, kind="stable")]
-                held.append((found[: n - needed(n) + 1], key, n))
+                    order = np.argsort(common, kind="stable")
+                    found, common = found[order], common[order]
+                    places_in = np.where(common > 0, np.arange(n), 0)[:prefix]
+                held.append((found[:prefix], places_in, key, n))
                 size += len(held[-1][0])
                 if size >= FLUSH:
                     yield flush()
@@ -236,9 +247,10 @@ def merge_short(lists: list[list[int]]) -> dict[int, int]:
 
 FOUND = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64()),
-     ("times", pa.int64()), ("list", pa.int64()), ("doc", pa.int64()), ("size", pa.int64())]
+     ("times", pa.int64()), ("list", pa.int64()), ("doc", pa.int64()), ("size", pa.int64()),
+     ("place", pa.int64())]
 )
-PAIRS = pa.schema([FOUND.field(k) for k in range(5)])
+LISTS = ("list", "doc", "size", "place", "component")
 
 
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +258,15 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = []
     for batch in batches:
         for data in batch.column("postings").to_pylist():
-            sizes = np.frombuffer(data[:12], "<u4").tolist()
-            cuts = np.cumsum([12, *sizes]).tolist()
-            kinds = ("<u8", "<i8", "<u4")
+            sizes = np.frombuffer(data[:16], "<u4").tolist()
+            cuts = np.cumsum([16, *sizes]).tolist()
+            kinds = ("<u8", "<i8", "<u4", "<u4")
             parts.append([_opened(data[a:b], k) for a, b, k in zip(cuts, cuts[1:], kinds)])
     if not parts:
         return
-    tokens, docs, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    tokens, docs, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(4))
     order = np.lexsort((docs, tokens))
-    tokens, docs, sizes = tokens[order], docs[order], sizes[order]
+    tokens, docs, sizes, places = tokens[order], docs[order], sizes[order], places[order]
     edges = contiguous(tokens)
     length_of = {}
     lists_of: dict[int, list] = defaultdict(list)
@@ -270,7 +282,8 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         name = int(tokens[low].astype(np.int64))
         rows += [
-            {"list": name, "doc": d, "size": n} for d, n in zip(members, sizes[low:high].tolist())
+            {"list": name, "doc": d, "size": n, "place": p}
+            for d, n, p in zip(members, sizes[low:high].tolist(), places[low:high].tolist())
         ]
         if len(rows) > 100_000:
             yield _batch(FOUND, rows)
@@ -345,11 +358,12 @@ def _open_lists(last: bool):
     """Pairs of members of a long list that are not connected; rows sorted by list.
 
     One member of each list's largest component meets the others, or, in the last
-    round, all meet all that are not connected with them, counted over the lists
-    of the partition.
+    round, all meet those that are not connected with them and can be alike if this
+    list is the first they share: they share no more than what each has from here on.
+    The first list that two alike sets share passes that test, so none are lost.
     """
 
-    def pairs_of(docs, sizes, comps) -> Iterator[tuple[np.ndarray, ...]]:
+    def pairs_of(docs, sizes, places, comps) -> Iterator[tuple[np.ndarray, ...]]:
         names, counts = np.unique(comps, return_counts=True)
         if len(names) < 2:
             return
@@ -360,24 +374,19 @@ def _open_lists(last: bool):
         for i in chosen:
             near = WHOLE * np.minimum(sizes, sizes[i]) >= PART * np.maximum(sizes, sizes[i])
             near &= (comps != comps[i]) & ((docs > docs[i]) | (not last))
-            first = np.full(int(near.sum()), docs[i])
-            size = np.full(len(first), sizes[i])
-            swap = docs[near] < docs[i]
-            yield (
-                np.where(swap, docs[near], first),
-                np.where(swap, first, docs[near]),
-                np.where(swap, sizes[near], size),
-                np.where(swap, size, sizes[near]),
-            )
-
-    def summed(held: list[tuple]) -> tuple[np.ndarray, ...]:
-        a, b, n, m, times = (np.concatenate(c) for c in zip(*held))
+            if last:
+                rest = np.minimum(sizes - places, sizes[i] - places[i])
+                near &= (PART + WHOLE) * rest >= PART * (sizes + sizes[i])
+            others = docs[near]
+            yield np.minimum(others, docs[i]), np.maximum(others, docs[i])
+
+    def distinct(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        a, b = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((b, a))
-        a, b, n, m, times = a[order], b[order], n[order], m[order], times[order]
+        a, b = a[order], b[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(new)
-        return a[at], b[at], n[at], m[at], np.add.reduceat(times, at)
+        return a[new], b[new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, members = None, []
@@ -388,21 +397,21 @@ def _open_lists(last: bool):
             nonlocal size
             for pairs in pairs_of(*(np.concatenate(c) for c in zip(*members))):
                 if len(pairs[0]):
-                    held.append((*pairs, np.ones(len(pairs[0]), dtype=np.int64)))
+                    held.append(pairs)
                     size += len(pairs[0])
 
         def batch_of(columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PAIRS)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("list", "doc", "size", "component")]
+            columns = [batch.column(c).to_numpy() for c in LISTS]
             edges = contiguous(columns[0])
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if members and columns[0][low] != name:
                     open_list()
                     members = []
                     if size >= FLUSH:
-                        held = [summed(held)]
+                        held = [distinct(held)]
                         size = len(held[0][0])
                         if size >= FLUSH // 2:
                             yield batch_of(held[0])
@@ -412,7 +421,7 @@ def _open_lists(last: bool):
         if members:
             open_list()
         if held:
-            yield batch_of(summed(held))
+            yield batch_of(distinct(held))
 
     return run
 
@@ -466,16 +475,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     found = written(
         postings.repartition("block").mapInArrow(
             _merge_lists,
-            "a long, b long, n long, m long, times long, list long, doc long, size long",
+            "a long, b long, n long, m long, times long, list long, doc long, size long, place long",
         ),
         "lists",
     )
     sets = described.where("set_id is not null and doc_id is not null")
     copies = sets.groupBy("set_id").agg(F.min("doc_id").alias("b"), F.count("*").alias("n"))
     same = sets.join(copies.where("n > 1"), "set_id").select(F.col("doc_id").alias("a"), "b")
-    lists = found.where("list is not null").select("list", "doc", "size")
+    lists = found.where("list is not null").select("list", "doc", "size", "place")
     counted = found.where("a is not null").groupBy("a", "b", "n", "m")
-    short = written(counted.agg(F.sum("times").alias("times")), "short")
+    short = counted.agg(F.sum("times").alias("times"))
     in_long = lists.groupBy("doc").agg(F.count(F.lit(1)).alias("unseen"))
     near = _enough(
         short.join(in_long.withColumnRenamed("doc", "a"), "a", "left")
@@ -485,27 +494,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     edges = written(same.union(_linked(known, written(near, "pairs"))), "links")
     comps = components(edges)
-    schema = "a long, b long, n long, m long, times long"
     for turn in range(0 if lists.isEmpty() else STAR_ROUNDS + 1):
         placed = lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "list", "doc", "size", F.coalesce("component", "doc").alias("component")
+            "list", "doc", "size", "place", F.coalesce("component", "doc").alias("component")
         )
         last = turn == STAR_ROUNDS
         opened = (
             placed.repartition("list")
             .sortWithinPartitions("list", "doc")
-            .mapInArrow(_open_lists(last), schema)
+            .mapInArrow(_open_lists(last), "a long, b long")
         )
-        pairs = opened.select("a", "b").distinct()
-        if last:
-            both = opened.withColumn("opened", F.lit(True)).unionByName(
-                short.withColumn("opened", F.lit(False))
-            )
-            long_pairs = both.groupBy("a", "b", "n", "m").agg(
-                F.sum("times").alias("times"), F.max("opened").alias("opened")
-            )
-            pairs = _enough(long_pairs.where("opened"), F.lit(0))
-        pairs = written(pairs, "pairs")
+        pairs = written(opened.distinct(), "pairs")
         if pairs.isEmpty():
             continue
         edges = edges.union(written(_linked(known, pairs), "links"))

@@ -54,10 +54,11 @@ def plain_components(rows):
     return {k: (len(sets[k]), comp[k]) for k in sets}
 
 
-@pytest.mark.parametrize("common,short", [(24, 24), (3, 3)])
-def test_ngram_join(make, monkeypatch, common, short):
+@pytest.mark.parametrize("common,short,stars", [(24, 24, 2), (3, 3, 2), (2, 2, 0), (9, 2, 0)])
+def test_ngram_join(make, monkeypatch, common, short, stars):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", stars)
     rows = family()
     got = ngram_join.ngram_components(make(rows, extra=True)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
