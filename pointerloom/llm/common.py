@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pointerloom.operators.skew import shared_folder
 
 MEMO_LIMIT = 500_000
+#: Rows of a batch that are turned into Python objects at a time.
+PORTION_ROWS = 512
 
 
 class Memo(dict):
@@ -32,6 +35,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def portions(
+    batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that copies of long texts stay few."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -63,6 +63,10 @@ class TextEncoder:
             x: self._pack(encode(chr(x), add_special_tokens=False).ids) for x in STOPS
         }
 
+    def forget(self) -> None:
+        """Drop the chunks met so far, so an idle worker holds no more than the tokenizer."""
+        self.young, self.old = {}, {}
+
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import texts_of, written
+from pointerloom.llm.common import portions, texts_of, written
 from pointerloom.llm.graph import components, contiguous
 
 WORDS = 5
@@ -122,7 +122,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append({"block": int(part[0] >> 24), "counts": head + data + _packed(few)})
         return _batch(SETS, rows)
 
-    for batch in batches:
+    for batch in portions(batches):
         rows = []
         for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
             found = shingles(text)
@@ -207,7 +207,7 @@ def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
                 rows.append({"block": int(block[at[0]]), "postings": head + b"".join(parts)})
             return _batch(POSTINGS, rows)
 
-        for batch in batches:
+        for batch in portions(batches):
             for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
                 found = shingles(text)
                 n = len(found)
@@ -301,7 +301,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         data = [shingles(t).tobytes() for t in texts_of(batch, "text")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(data, type=pa.binary())], names=["doc", "shingles"]
@@ -331,10 +331,10 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+        # Sets are compared where Arrow holds them, without copies.
+        pairs = zip(batch.column("left"), batch.column("right"))
         keep = [
-            reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-            for x, y in zip(left, right)
+            reaches(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair)) for pair in pairs
         ]
         yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 

@@ -191,6 +191,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names
             )
+        code.forget()
 
     return cut
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import Memo, labelled_sample, texts_of
+from pointerloom.llm.common import Memo, labelled_sample, portions, texts_of
 
 # At most this many labelled documents are learned from.
 SAMPLE_ROWS = 2_500
@@ -148,7 +148,7 @@ def fit_quality(
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(subwords)
-        for batch in batches:
+        for batch in portions(batches):
             found = [document_buckets(t, memo) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,7 +180,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             scores = [model.score(t, memo) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, type=pa.float64())],
@@ -196,7 +196,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             keep = [model.score(t, memo) >= threshold for t in texts_of(batch, "text")]
             yield batch.filter(pc.equal(pa.array(keep, type=pa.bool_()), True))
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import Memo, labelled_sample, texts_of
+from pointerloom.llm.common import Memo, labelled_sample, portions, texts_of
 
 # At most this many labelled documents are learned from.
 SAMPLE_ROWS = 24_000
@@ -157,7 +157,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and word beginnings of a partition of the sample, by class."""
     counts: dict[tuple[bytes, bool], list[int]] = {}
     clean = Memo(token_of)
-    for batch in batches:
+    for batch in portions(batches):
         labels = batch.column("label").to_pylist()
         for label, text in zip(labels, texts_of(batch, "text")):
             for chunk, n in Counter(text.split()).items():
@@ -218,7 +218,7 @@ def _calibrate(model: ToxicModel, sample: DataFrame) -> ToxicModel:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             rows = []
             for label, text in zip(batch.column("label").to_pylist(), texts_of(batch, "text")):
                 n, found = model.segments(text, memo)
@@ -276,7 +276,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             scores = [model.score(t, memo) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, type=pa.float64())],
@@ -294,7 +294,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             rows = []
             for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
                 for a, b, s, e in model.passages(text, memo):
@@ -315,7 +315,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.scorer()
-        for batch in batches:
+        for batch in portions(batches):
             keep = [model.score(t, memo) < threshold for t in texts_of(batch, "text")]
             yield batch.filter(pc.equal(pa.array(keep, type=pa.bool_()), True))
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -187,3 +188,13 @@ def test_shards(make):
     sizes = sorted(r["size"] for r in got if r.doc_id == 5000)
     assert sizes == [3, 3]
     assert sharding.shard_documents(make([]), 8).collect() == []
+
+
+def test_portions_keep_all_rows_in_order():
+    from pointerloom.llm.common import portions
+
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(n))}) for n in (0, 1, 7, 8)]
+    parts = list(portions(iter(batches), 3))
+    assert [p.num_rows for p in parts] == [1, 3, 3, 1, 3, 3, 2]
+    got = [x for p in parts for x in p.column("a").to_pylist()]
+    assert got == [x for b in batches for x in b.column("a").to_pylist()]
