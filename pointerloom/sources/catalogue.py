@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointerloom.schema import DATASET_DIRS, SOURCES
+from pointerloom.sources.listing import ignored_files, refuse_ignored
 
 FILE_PATTERNS = {"CK": "*.csv", "HVT": "*.csv", "HMI": "*.csv", "AP": "*.json"}
+LOGS = tuple(sorted(set(FILE_PATTERNS.values())))
 
 # Name parts of the files explored first (fixed values).
 PREFERRED_NAMES = {"HMI": ("raw_interactions", "sequences"), "AP": ("study", "data")}
@@ -21,9 +23,13 @@ def _parent(path: str) -> str:
 
 
 def _files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame | None:
-    """Files below a folder without their contents; None if there is no such folder."""
+    """Files below a folder without their contents; None if there is no such folder.
+
+    Files of the pattern that Spark leaves out stop the listing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
+        refuse_ignored(spark, folder, pattern)
         reader = reader.option("pathGlobFilter", pattern)
     try:
         return reader.load(folder).select(
@@ -38,7 +44,10 @@ def _files(spark: SparkSession, folder: str, pattern: str | None = None) -> Data
 
 def _holds_files(spark: SparkSession, folder: str) -> bool:
     files = _files(spark, folder)
-    return files is not None and not files.isEmpty()
+    if files is not None and not files.isEmpty():
+        return True
+    # A place whose only logs are left out counts, so that reading it names them.
+    return bool(ignored_files(spark, folder, LOGS))
 
 
 def resolve_dataset_root(spark: SparkSession, root: str) -> str:
@@ -79,6 +88,9 @@ def find_dataset_dir(spark: SparkSession, root: str, name: str) -> str:
         found = files.select(F.min(F.when(folder != "", folder)).alias("folder")).first()
         if found and found["folder"]:
             return found["folder"]
+    for path in ignored_files(spark, root, LOGS):
+        if f"/{name}/" in path:
+            return path[: path.index(f"/{name}/")] + f"/{name}"
     return f"{root}/{name}"
 
 

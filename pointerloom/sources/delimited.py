@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import python_float
+from pointerloom.sources.listing import refuse_ignored
 
 # Columns that hold the time of an HMI record, the first present one counts (fixed values).
 HMI_TIME_COLUMNS = ("epoch", "initepoch", "timestamp")
@@ -19,6 +20,7 @@ HMI_TIME_COLUMNS = ("epoch", "initepoch", "timestamp")
 
 def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Lines that are not empty, with the file, the split and a number rising in the split."""
+    refuse_ignored(spark, folder, "*.csv")
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")

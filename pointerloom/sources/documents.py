@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointerloom.sources.listing import refuse_ignored
+
 
 def read_documents(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Whole JSON files as ``session_id, value``."""
+    refuse_ignored(spark, folder, "*.json")
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import python_float
 from pointerloom.schema import DEFAULT_DOCUMENT, DEFAULT_VIEWPORT
+from pointerloom.sources.listing import ignored_files
 
 
 def _size(text: Column) -> tuple[Column, Column, Column]:
@@ -65,8 +66,18 @@ def sidecar_path(csv_path: Column) -> Column:
 def read_viewports(spark: SparkSession, folder: str, sessions: DataFrame) -> DataFrame:
     """Screen sizes of the ``sessions`` (CSV paths) that have a sidecar under ``folder``.
 
-    Both sides have one row per file; Spark broadcasts one if it is small.
+    Both sides have one row per file; Spark broadcasts one if it is small. A
+    session's sidecar that Spark leaves out stops the read; others are not needed.
     """
+    ignored = ignored_files(spark, folder, "*.xml")
+    if ignored:
+        plain = F.regexp_replace(sidecar_path(F.col("session_id")), "^file:/+", "file:/")
+        missed = sessions.select(plain.alias("sidecar")).distinct().join(
+            spark.createDataFrame([(p,) for p in ignored], "sidecar string"), "sidecar"
+        )
+        names = sorted(r.sidecar for r in missed.collect())
+        if names:
+            raise ValueError("Spark does not read these sidecars; rename: " + ", ".join(names))
     texts = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.xml")

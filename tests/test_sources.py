@@ -203,3 +203,50 @@ def test_documents(spark, tmp_path):
     put(tmp_path, "a/x.json", "[\n1]")
     put(tmp_path, "a/x.txt", "no")
     assert [(stem(r.session_id), r.value) for r in read_documents(spark, str(tmp_path)).collect()] == [("x", "[\n1]")]
+
+
+def test_files_that_spark_leaves_out_are_named(spark, tmp_path):
+    put(tmp_path, "ck/b.csv", S1)
+    put(tmp_path, "ck/_a.csv", S1)
+    put(tmp_path, "ck/deep/_part/c.csv", S1)
+    put(tmp_path, "ck/_k=1.csv", S1)
+    put(tmp_path, "ck/.hidden/_h.csv", S1)
+    put(tmp_path, "ck/_SUCCESS", "")
+    for read in (read_ck, read_hvt, read_hmi):
+        with pytest.raises(ValueError) as error:
+            read(spark, str(tmp_path / "ck"))
+        names = str(error.value)
+        assert "/_a.csv" in names and "/_part/c.csv" in names
+        assert not any(n in names for n in ("b.csv", "_k=1", "_h.csv", "_SUCCESS"))
+    with pytest.raises(ValueError, match="/_a.csv"):
+        read_ck(spark, [f"{tmp_path}/ck/b.csv", f"{tmp_path}/ck/_a.csv"])
+    assert read_ck(spark, f"{tmp_path}/ck/deep/_part").count() == 3
+    put(tmp_path, "ap/_p.json", "[]")
+    with pytest.raises(ValueError, match="/_p.json"):
+        read_documents(spark, str(tmp_path / "ap"))
+
+
+def test_sidecars_that_spark_leaves_out_are_named(spark, tmp_path):
+    put(tmp_path, "s1.csv", S1)
+    put(tmp_path, "s1.xml", "<d><window>640x480</window></d>")
+    put(tmp_path, "_s2.xml", "<d><window>640x480</window></d>")
+    one = read_ck(spark, str(tmp_path))
+    assert read_viewports(spark, str(tmp_path), one).count() == 1
+    two = one.select(F.replace("session_id", F.lit("s1.csv"), F.lit("_s2.csv")).alias("session_id"))
+    with pytest.raises(ValueError, match="/_s2.xml"):
+        read_viewports(spark, str(tmp_path), two)
+
+
+@pytest.mark.parametrize("place", ["{}/_a.csv", "raw/{}/_a.csv", "raw/x/y/{}/_a.csv"])
+def test_roots_with_files_that_spark_leaves_out(spark, tmp_path, place):
+    put(tmp_path, place.format(DATASET_DIRS["CK"]), S1)
+    put(tmp_path, f"raw/{DATASET_DIRS['HVT']}/h1.csv", "velocity;distance\n" + "1;2\n" * 21)
+    for read in (read_samples, explore_root):
+        with pytest.raises(ValueError, match="a.csv"):
+            read(spark, str(tmp_path))
+
+
+def test_family_below_a_folder_that_spark_leaves_out(spark, tmp_path):
+    put(tmp_path, f"raw/_old/{DATASET_DIRS['HVT']}/h1.csv", "velocity;distance\n" + "1;2\n" * 21)
+    put(tmp_path, f"raw/{DATASET_DIRS['AP']}/p.json", "[]")
+    assert read_samples(spark, str(tmp_path)).where("source = 'HVT'").count() == 3
