@@ -14,6 +14,7 @@ dropped.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,14 +106,28 @@ def fit_tree(rows: np.ndarray, scale: float, rng: np.random.Generator) -> tuple[
     return nodes, leaves
 
 
-def fit_forest(rows: np.ndarray, scale: float, trees: int = TREES) -> list[tuple[list, int]]:
-    """Trees with the number of their first leaf."""
-    rng, forest, first = np.random.default_rng(SEED), [], 0
+def fit_forest(
+    rows: np.ndarray, scale: float, trees: int = TREES, first: int = 0
+) -> tuple[list[tuple[list, int]], int]:
+    """Trees with the number of their first leaf, from ``first`` on; and the next free number."""
+    rng, forest = np.random.default_rng(SEED), []
     for _ in range(trees):
         nodes, leaves = fit_tree(rows, scale, rng)
         forest.append((nodes, first))
         first += leaves
-    return forest
+    return forest, first
+
+
+def fit_widths(vectors: list[bytes], scale: float) -> tuple[dict[int, list], int]:
+    """A forest for each width in a sample, leaves numbered across widths."""
+    of_width: dict[int, list[bytes]] = defaultdict(list)
+    for v in vectors:
+        of_width[len(v) // 8].append(v)
+    forests, first = {}, 0
+    for width, parts in sorted(of_width.items()):
+        rows = np.frombuffer(b"".join(parts), np.float64).reshape(-1, width)
+        forests[width], first = fit_forest(rows, scale, first=first)
+    return forests, first
 
 
 def leaves_of(rows: np.ndarray, forest: list[tuple[list, int]]) -> list[list[int]]:
@@ -147,8 +162,8 @@ def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 COMPARED = "rep long, links long, root long"
 
 
-def _compare(threshold: float, width: int):
-    """Links of the rows of a leaf, or between two blocks of one."""
+def _compare(threshold: float):
+    """Links of the rows of a leaf, or between two blocks of one; they have one width."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         leaf, i, j = (k.as_py() for k in key)
@@ -156,7 +171,7 @@ def _compare(threshold: float, width: int):
         copies = table.column("n").to_numpy()
         block = table.column("block").to_numpy()
         data = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float64)
-        rows = data.reshape(-1, width)
+        rows = data.reshape(len(reps), -1)
         codes = table.column("leaves").to_pylist()
         deep = max(map(len, codes))
         padded = np.array([c + [-1] * (deep - len(c)) for c in codes], dtype=np.int64)
@@ -194,8 +209,8 @@ def _compare(threshold: float, width: int):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector by cosine.
 
-    Vectors of other length than most, null, empty, zero or not finite link with
-    nothing. Equal vectors are compared once. ``vec_id`` names a row; a null one
+    Vectors link with those of their own length; null, empty, zero or not finite
+    ones with nothing. Equal vectors are compared once. ``vec_id`` names a row; a null one
     is left out of components and links. An empty table gives no rows.
     """
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -220,23 +235,31 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # Equal once more at length 1: multiples of a vector stay classes of their own.
     units = written(classes.mapInArrow(clean, "rep long, n long, vector binary"), "units")
-    sizes = units.groupBy(F.octet_length("vector").alias("bytes")).count()
-    most = sizes.orderBy(F.desc("count"), "bytes").first()
-    if most is None:
+    total = units.count()
+    if not total:
         return ids.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    width, total = most.bytes // 8, most["count"]
-    units = units.where(F.octet_length("vector") == most.bytes)
+    # Every width has its share of the sample.
     sample = units.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").collect()
-    rows = np.frombuffer(b"".join(bytes(r.vector) for r in sample), np.float64).reshape(-1, width)
-    forest = fit_forest(rows, total / len(rows))
+    forests, free = fit_widths([bytes(r.vector) for r in sample], total / len(sample))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float64)
-            found = leaves_of(data.reshape(-1, width), forest)
+            vectors = batch.column("vector").to_pylist()
+            found: list[list[int]] = [[] for _ in vectors]
+            widths = np.array([len(v) // 8 for v in vectors], dtype=np.int64)
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width).tolist()
+                if width not in forests:
+                    # Too rare for the sample: one leaf.
+                    here = [[free + width]] * len(at)
+                else:
+                    data = np.frombuffer(b"".join(vectors[i] for i in at), np.float64)
+                    here = leaves_of(data.reshape(-1, width), forests[width])
+                for i, leaves in zip(at, here):
+                    found[i] = leaves
             leaves = pa.array(found, type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, leaves], names=["rep", "n", "vector", "leaves"]
@@ -245,7 +268,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = written(
         units.mapInArrow(place, "rep long, n long, vector binary, leaves array<long>"), "placed"
     )
-    # One row per leaf, of which the sample bounds the number.
+    # One row per leaf: the sample bounds their number, but for widths too rare for it.
     counts = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
     blocks = counts.select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     spread = (
@@ -258,7 +281,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("leaf", "i", "j", "block", "rep", "n", "vector", "leaves")
     )
     compared = written(
-        spread.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold, width), COMPARED),
+        spread.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold), COMPARED),
         "compared",
     )
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -56,6 +56,26 @@ def test_near_vectors(spark, monkeypatch, block):
     assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
 
 
+@pytest.mark.parametrize("sample", [16_000, 20])
+def test_vectors_of_several_widths(spark, monkeypatch, sample):
+    monkeypatch.setattr(vector_forest, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(vector_forest, "LEAF_ROWS", 40)
+    rng = np.random.default_rng(9)
+    rows = []
+    for width, families in ((16, 60), (8, 50), (3, 1)):
+        for _ in range(families):
+            first = len(rows)
+            base = rng.normal(size=width)
+            rows += [(first + k, first, [float(v) for v in base * (k + 1)]) for k in range(3)]
+            rows.append((first + 3, first, rows[-1][2]))
+    df = spark.createDataFrame([(k, v) for k, _, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_forest.near_vectors(df.repartition(4)).collect()}
+    for k, first, _ in rows:
+        assert got[k].n_links >= 3 and got[k].component_id <= first
+    assert all(got[k].component_id == first for k, first, v in rows if len(v) == 16)
+    assert {got[k].component_id for k, _, v in rows if len(v) == 3} == {len(rows) - 4}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_forest.near_vectors(empty).collect() == []
