@@ -90,15 +90,14 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, in
                 times = int(counts[s]) // 2
                 counts[s] -= 2 * times
                 fixed.append((((s, 2),), times))
-            elif b == room:
+            else:
+                # Items taken away only raise the smallest sums and lower the best
+                # pair, and b stays the largest that fits: {s, b} dominates until
+                # one of both is used up.
                 times = int(min(counts[s], counts[b]))
                 counts[s] -= times
                 counts[b] -= times
                 fixed.append((((s, 1), (b, 1)), times))
-            else:
-                counts[s] -= 1
-                counts[b] -= 1
-                fixed.append((((s, 1), (b, 1)), 1))
     return fixed
 
 

@@ -115,6 +115,15 @@ def test_dominance_keeps_the_optimum():
         check_bins(counts, packing.pack_histogram(counts, capacity), capacity)
 
 
+def test_equal_pairs_are_one_pattern():
+    # No three pieces fit beside the largest and no pair fills the sequence.
+    counts = np.zeros(4097, dtype=np.int64)
+    counts[2500], counts[1500], counts[1400] = 30_000, 20_000, 25_000
+    patterns = packing.pack_histogram(counts, 4096)
+    assert len(patterns) < 10
+    assert check_bins(counts, patterns, 4096) == 30_000 + 7_500
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(5)
     for _ in range(60):
