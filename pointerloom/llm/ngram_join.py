@@ -44,6 +44,8 @@ MOST_COMMON = 2_000_000
 SHORT_LIST = 24
 #: Rounds in which long lists meet one member, before all that are left meet each other.
 STAR_ROUNDS = 2
+#: Lists above this many rows are compared on Spark, in blocks of as many rows.
+LIST_ROWS = 10_000
 FLUSH = 2_000_000
 COUNT_BLOCKS = 256
 #: Ids of candidates are broadcast up to this many, and joined by a shuffle beyond.
@@ -354,76 +356,170 @@ def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
 
 
+def _can_be_alike(sizes, places, size, place, last: bool):
+    """Whether sets can be alike; of arrays with numbers, or of columns with columns.
+
+    In the last round only those that can be if this list is the first they share:
+    they share no more than what each has from here on. The first list that two
+    alike sets share passes, so none are lost.
+    """
+    least, most = (F.least, F.greatest) if isinstance(size, Column) else (np.minimum, np.maximum)
+    near = least(sizes, size) * WHOLE >= most(sizes, size) * PART
+    if last:
+        near &= least(sizes - places, size - place) * (PART + WHOLE) >= (sizes + size) * PART
+    return near
+
+
+def _distinct(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    a, b = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _pair_batches(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Pairs as batches; what is held is bounded, also inside a list."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch_of(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
+
+    for a, b in pairs:
+        if not len(a):
+            continue
+        held.append((a, b))
+        size += len(a)
+        if size >= FLUSH:
+            held = [_distinct(held)]
+            size = len(held[0][0])
+            if size >= FLUSH // 2:
+                yield batch_of(held[0])
+                held, size = [], 0
+    if held:
+        yield batch_of(_distinct(held))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, names: tuple) -> Iterator[list]:
+    """Columns behind the first ``keys`` of rows sorted by those, a group at a time."""
+    name, members = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in names]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        edges = np.r_[0, np.flatnonzero(new), len(new)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            here = tuple(c[low] for c in columns[:keys])
+            if members and here != name:
+                yield [np.concatenate(c) for c in zip(*members)]
+                members = []
+            name = here
+            members.append([c[low:high] for c in columns[keys:]])
+    if members:
+        yield [np.concatenate(c) for c in zip(*members)]
+
+
 def _open_lists(last: bool):
     """Pairs of members of a long list that are not connected; rows sorted by list.
 
     One member of each list's largest component meets the others, or, in the last
-    round, all meet those that are not connected with them and can be alike if this
-    list is the first they share: they share no more than what each has from here on.
-    The first list that two alike sets share passes that test, so none are lost.
+    round, every member outside of that component meets all that are not connected
+    with it and can be alike. Two of different components are not both inside.
     """
 
     def pairs_of(docs, sizes, places, comps) -> Iterator[tuple[np.ndarray, ...]]:
         names, counts = np.unique(comps, return_counts=True)
         if len(names) < 2:
             return
-        chosen = range(len(docs))
+        inside = comps == names[counts.argmax()]
+        chosen = np.flatnonzero(~inside).tolist()
         if not last:
-            largest = np.flatnonzero(comps == names[counts.argmax()])
+            largest = np.flatnonzero(inside)
             chosen = [int(largest[int(docs.sum()) % len(largest)])]
         for i in chosen:
-            near = WHOLE * np.minimum(sizes, sizes[i]) >= PART * np.maximum(sizes, sizes[i])
-            near &= (comps != comps[i]) & ((docs > docs[i]) | (not last))
-            if last:
-                rest = np.minimum(sizes - places, sizes[i] - places[i])
-                near &= (PART + WHOLE) * rest >= PART * (sizes + sizes[i])
+            near = _can_be_alike(sizes, places, sizes[i], places[i], last)
+            near &= (comps != comps[i]) & ((docs > docs[i]) | inside | (not last))
             others = docs[near]
             yield np.minimum(others, docs[i]), np.maximum(others, docs[i])
 
-    def distinct(held: list[tuple]) -> tuple[np.ndarray, ...]:
-        a, b = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return a[new], b[new]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, members = None, []
-        held: list[tuple] = []
-        size = 0
+        lists = _groups(batches, 1, LISTS)
+        return _pair_batches(pair for columns in lists for pair in pairs_of(*columns))
 
-        def open_list() -> None:
-            nonlocal size
-            for pairs in pairs_of(*(np.concatenate(c) for c in zip(*members))):
-                if len(pairs[0]):
-                    held.append(pairs)
-                    size += len(pairs[0])
+    return run
 
-        def batch_of(columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in LISTS]
-            edges = contiguous(columns[0])
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if members and columns[0][low] != name:
-                    open_list()
-                    members = []
-                    if size >= FLUSH:
-                        held = [distinct(held)]
-                        size = len(held[0][0])
-                        if size >= FLUSH // 2:
-                            yield batch_of(held[0])
-                            held, size = [], 0
-                name = columns[0][low]
-                members.append([c[low:high] for c in columns[1:]])
-        if members:
-            open_list()
-        if held:
-            yield batch_of(distinct(held))
+CELLS = ("list", "i", "j", "doc", "size", "place", "component", "asks", "outside")
 
-    return run
+
+def _open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of members outside of the largest component with a block of their list."""
+
+    def pairs_of(docs, sizes, places, comps, asks, outside) -> Iterator[tuple[np.ndarray, ...]]:
+        asks, outside = asks > 0, outside > 0
+        askers = np.flatnonzero(asks).tolist()
+        docs_in, sizes, sizes_of = docs[~asks], sizes[~asks], sizes
+        places, places_of = places[~asks], places
+        comps_in, outside = comps[~asks], outside[~asks]
+        for i in askers:
+            near = _can_be_alike(sizes, places, sizes_of[i], places_of[i], True)
+            near &= (comps_in != comps[i]) & ((docs_in > docs[i]) | ~outside)
+            others = docs_in[near]
+            yield np.minimum(others, docs[i]), np.maximum(others, docs[i])
+
+    cells = _groups(batches, 3, CELLS)
+    return _pair_batches(pair for columns in cells for pair in pairs_of(*columns))
+
+
+def _open_hot_lists(placed: DataFrame, last: bool) -> DataFrame:
+    """Like ``_open_lists``, of lists too long for a task: Spark deals out their rows.
+
+    Only tables with a row per such list, of which there is at most one for
+    ``LIST_ROWS`` rows, are broadcast.
+    """
+    counts = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("list").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"),
+        F.sum("n").alias("rows"),
+        (F.sum("n") - F.max("n")).alias("askers"),
+    )
+    top = F.broadcast(written(top.where("askers > 0"), "hot"))
+    rows = placed.join(top, "list")
+    if not last:
+        star = rows.where("component = top").groupBy("list").agg(
+            F.min_by(F.struct("doc", "size", "place"), F.xxhash64("doc", "rows")).alias("star")
+        )
+        others = rows.where("component <> top").join(F.broadcast(written(star, "stars")), "list")
+        near = _can_be_alike(
+            F.col("size"), F.col("place"), F.col("star.size"), F.col("star.place"), False
+        )
+        return others.where(near).select(
+            F.least("doc", "star.doc").alias("a"), F.greatest("doc", "star.doc").alias("b")
+        )
+    across = lambda n: F.ceil(F.col(n) / LIST_ROWS).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("doc"), across(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), across(n) - 1))
+    outside = (F.col("component") != F.col("top")).cast("int").alias("outside")
+    fixed = ("doc", "size", "place", "component")
+    members = rows.select(
+        "list", every("askers").alias("i"), spot("rows").alias("j"), *fixed,
+        F.lit(0).alias("asks"), outside,
+    )
+    askers = rows.where("component <> top").select(
+        "list", spot("askers").alias("i"), every("rows").alias("j"), *fixed,
+        F.lit(1).alias("asks"), outside,
+    )
+    return (
+        members.unionByName(askers)
+        .repartition("list", "i", "j")
+        .sortWithinPartitions("list", "i", "j")
+        .mapInArrow(_open_cells, "a long, b long")
+    )
 
 
 def _enough(pairs: DataFrame, unseen: Column) -> DataFrame:
@@ -494,16 +590,24 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     edges = written(same.union(_linked(known, written(near, "pairs"))), "links")
     comps = components(edges)
+    # At most one list for LIST_ROWS rows.
+    hot = written(lists.groupBy("list").count().where(F.col("count") > LIST_ROWS), "hot")
+    any_hot = not hot.isEmpty()
+    hot = F.broadcast(hot.select("list"))
     for turn in range(0 if lists.isEmpty() else STAR_ROUNDS + 1):
         placed = lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select(
             "list", "doc", "size", "place", F.coalesce("component", "doc").alias("component")
         )
         last = turn == STAR_ROUNDS
         opened = (
-            placed.repartition("list")
+            (placed.join(hot, "list", "left_anti") if any_hot else placed)
+            .repartition("list")
             .sortWithinPartitions("list", "doc")
             .mapInArrow(_open_lists(last), "a long, b long")
         )
+        if any_hot:
+            dealt = written(placed.join(hot, "list", "left_semi"), "placed")
+            opened = opened.union(_open_hot_lists(dealt, last))
         pairs = written(opened.distinct(), "pairs")
         if pairs.isEmpty():
             continue

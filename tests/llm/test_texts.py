@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -65,6 +66,43 @@ def test_ngram_join(make, monkeypatch, common, short, stars):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("stars", [2, 0])
+def test_ngram_join_deals_out_hot_lists(make, monkeypatch, stars):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 7)
+    rows = family()
+    got = ngram_join.ngram_components(make(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
+
+
+def open_list(comps, monkeypatch, flush=None):
+    if flush:
+        monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    n = len(comps)
+    rows = {"list": [1] * n, "doc": list(range(n)), "size": [10] * n, "place": [0] * n}
+    batch = pa.RecordBatch.from_pydict(rows | {"component": comps})
+    return list(ngram_join._open_lists(True)(iter([batch])))
+
+
+def test_last_round_loops_over_the_unconnected(monkeypatch):
+    calls = []
+    alike = ngram_join._can_be_alike
+    monkeypatch.setattr(ngram_join, "_can_be_alike", lambda *a: calls.append(a) or alike(*a))
+    comps = [7, 8, *[3] * 200]
+    pairs = [p for b in open_list(comps, monkeypatch) for p in zip(*b.to_pydict().values())]
+    assert sorted(pairs) == sorted(
+        (i, j) for i in range(202) for j in range(i + 1, 202) if comps[i] != comps[j]
+    )
+    assert len(calls) == 2
+
+
+def test_pairs_of_a_list_are_flushed(monkeypatch):
+    sizes = [b.num_rows for b in open_list(list(range(100)), monkeypatch, flush=500)]
+    assert sum(sizes) == 4950 and max(sizes) <= 600
+
+
 def test_ngram_join_odd_rows(make):
     rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, None), (9, "a b")]
     got = ngram_join.ngram_components(make(rows)).collect()
