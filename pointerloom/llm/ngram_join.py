@@ -267,21 +267,28 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     tokens, docs, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.lexsort((docs, tokens))
+    # Texts that repeat an id are told apart by their sizes: ascending numbers for both.
+    order = np.lexsort((sizes, docs))
+    new = np.ones(len(docs), dtype=bool)
+    new[1:] = (np.diff(docs[order]) != 0) | (sizes[order][1:] != sizes[order][:-1])
+    doc_of, size_of = docs[order][new].tolist(), sizes[order][new].tolist()
+    codes = np.empty(len(docs), dtype=np.int64)
+    codes[order] = np.cumsum(new) - 1
+    order = np.lexsort((codes, tokens))
     tokens, docs, sizes, places = tokens[order], docs[order], sizes[order], places[order]
+    codes = codes[order]
     edges = contiguous(tokens)
-    length_of = {}
     lists_of: dict[int, list] = defaultdict(list)
     rows: list[dict] = []
     long = np.flatnonzero(np.diff(edges) > 1)
     for k in long.tolist():
         low, high = int(edges[k]), int(edges[k + 1])
-        members = docs[low:high].tolist()
         if high - low <= SHORT_LIST:
-            length_of.update(zip(members, sizes[low:high].tolist()))
-            for i, doc in enumerate(members[:-1]):
-                lists_of[doc].append(members[i + 1 :])
+            members = codes[low:high].tolist()
+            for i, code in enumerate(members[:-1]):
+                lists_of[code].append(members[i + 1 :])
             continue
+        members = docs[low:high].tolist()
         name = int(tokens[low].astype(np.int64))
         rows += [
             {"list": name, "doc": d, "size": n, "place": p}
@@ -290,10 +297,10 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 100_000:
             yield _batch(FOUND, rows)
             rows = []
-    for a, lists in lists_of.items():
-        n = length_of[a]
-        for b, times in merge_short(lists).items():
-            m = length_of[b]
+    for code, lists in lists_of.items():
+        a, n = doc_of[code], size_of[code]
+        for other, times in merge_short(lists).items():
+            b, m = doc_of[other], size_of[other]
             if a != b and WHOLE * min(n, m) >= PART * max(n, m):
                 rows.append({"a": a, "b": b, "n": n, "m": m, "times": times})
         if len(rows) > 100_000:
@@ -541,7 +548,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     Documents link when 100 * common shingles >= 80 * all shingles of both; a
     component is its least ``doc_id``. Texts without words, empty or null, link
-    with nothing. Rows that repeat an id stand for one document. A row without
+    with nothing. Rows that repeat an id stand for one document, which has the links of
+    all its texts. A row without
     an id has no component. An empty table gives no rows.
     """
     spark = docs.sparkSession

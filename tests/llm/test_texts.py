@@ -111,6 +111,17 @@ def test_ngram_join_odd_rows(make):
     assert ngram_join.ngram_components(make([])).collect() == []
 
 
+def test_ngram_join_keeps_links_of_all_texts_of_an_id(make):
+    text = lambda k, n: " ".join(f"t{k}x{i}" for i in range(n))
+    rows, want = [], {}
+    for k in range(0, 400, 10):
+        rows += [(k, text(k, 104)), (k, text(k + 1, 14)), (k + 2, text(k, 104) + " end"),
+                 (k + 3, text(k + 1, 14) + " end")]
+        want |= {k: k, k + 2: k, k + 3: k}
+    got = ngram_join.ngram_components(make(rows, parts=1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+
+
 def test_one_of_each_keeps_columns(make):
     docs = make(ROWS, extra=True)
     kept = ngram_join.one_of_each(docs)
