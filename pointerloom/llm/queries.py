@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from pointerloom.llm import fingerprints, quality, toxicity
 from pointerloom.llm.common import remainder, scratch
+from pointerloom.llm.filter_audit import filter_audit
 from pointerloom.llm.html_text import extract_text
 from pointerloom.llm.ngram_join import ngram_components
+from pointerloom.llm.oracles import ORACLES
 from pointerloom.llm.packing import best_fit_pack
 from pointerloom.llm.pieces import piece_tokens
 from pointerloom.llm.sharding import shard_documents
@@ -84,6 +86,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity.score_toxicity(docs, model), toxicity.HELD_OUT, 0.5)
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    audit = filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return audit.drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -95,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
