@@ -52,6 +52,59 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM steps"""
 
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '')
+                            || coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos
+  FROM t),
+ids AS (
+  SELECT conv_id, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+      range(1, strlen(CAST(conv_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(
+      list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda v, z: xor(v // 2, CASE WHEN v % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))
+    ), CAST(4294967295 AS BIGINT)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+built AS (
+  SELECT i.conv_id, 0 AS own, pos, digest, words
+  FROM ids i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 20 AND pos < h
+  UNION ALL
+  SELECT i.conv_id, 1, pos, digest, words FROM ids i JOIN o ON o.conv_id = i.conv_id AND pos >= h),
+s AS (
+  SELECT conv_id, digest, words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM built),
+p AS (
+  SELECT conv_id, depth, words,
+         string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+lengths AS (SELECT conv_id, max(depth) AS turns FROM p GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(CASE WHEN turns = depth THEN CAST(p.conv_id AS VARCHAR) END, ','
+                                    ORDER BY p.conv_id), '')) AS ends_sha256
+  FROM p JOIN lengths USING (conv_id) GROUP BY path, depth),
+births AS (
+  SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY 1),
+lines AS (
+  SELECT left(path, 32 * k) AS path, (n_convs - 1) * words AS saved,
+         path NOT IN (SELECT path FROM births) AS leaf
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes)),
+sums AS (SELECT path, sum(saved) AS saved_tokens, count_if(leaf) AS n_leaves FROM lines GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN births USING (path)
+LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, 32 * (n.depth - 1))"""
+
 ORACLES: dict[str, str] = {
     "op12_filter_audit": OP12,
+    "op13_prefix_trie": OP13,
 }

@@ -16,6 +16,7 @@ from pointerloom.llm.ngram_join import ngram_components
 from pointerloom.llm.oracles import ORACLES
 from pointerloom.llm.packing import best_fit_pack
 from pointerloom.llm.pieces import piece_tokens
+from pointerloom.llm.prefix_trie import conversation_trie
 from pointerloom.llm.sharding import shard_documents
 from pointerloom.llm.token_store import read_tokens, write_tokens
 from pointerloom.llm.vector_forest import near_vectors
@@ -91,6 +92,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.drop("filter")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -103,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jump_sharding": op9_jump_sharding,
     "op10_toxicity": op10_toxicity,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 __all__ = ["ORACLES", "QUERIES"]
