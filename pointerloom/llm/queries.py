@@ -19,6 +19,7 @@ from pointerloom.llm.pieces import piece_tokens
 from pointerloom.llm.prefix_trie import conversation_trie
 from pointerloom.llm.sharding import shard_documents
 from pointerloom.llm.token_store import read_tokens, write_tokens
+from pointerloom.llm.url_templates import judge_urls
 from pointerloom.llm.vector_forest import near_vectors
 
 
@@ -87,6 +88,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity.score_toxicity(docs, model), toxicity.HELD_OUT, 0.5)
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op11_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     audit = filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return audit.drop("filter")
@@ -107,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_url_templates": op11_url_templates,
     "op12_filter_audit": op12_filter_audit,
     "op13_prefix_trie": op13_prefix_trie,
 }
