@@ -30,6 +30,20 @@ class Memo(dict):
         return value
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process holds from task to task: one thing, the last it was asked for.
+
+    A worker that goes on to another operator gives up what it held for the one before.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8, null as the empty text."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -9,20 +9,36 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
 
-CHUNK_LIMIT = 1_000_000
-JOINED = 50
-BLOCK = 1_000
-STOPS = b".,"
+from pointerloom.llm.common import kept
+
+#: Bytes of chunks and their ids that a worker remembers, in two generations.
+MEMORY_BYTES = 64 << 20
+#: What an entry costs beside its bytes.
+ENTRY_BYTES = 170
+BLOCK = 500
 BEYOND_LATIN = "\u0250"
 
+# Letters, then ASCII marks but the apostrophe, which can begin a word of its own.
+PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 # The pattern by which the word tokenizer takes its words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write each byte.
+
+    Printable Latin-1 stands for itself, other bytes for letters from U+0100 on.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 def drops_white_space(spec: dict) -> bool:
     """Whether chunks between white space are encoded independently of each other."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -37,14 +53,30 @@ def drops_white_space(spec: dict) -> bool:
     )
 
 
+class Words(dict):
+    """Ids of chunks; what is missing is taken from the generation before, or encoded."""
+
+    def __init__(self, encode, before: dict):
+        super().__init__()
+        self.encode, self.before, self.bytes = encode, before, 0
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        self.bytes += len(chunk) + len(ids) + ENTRY_BYTES
+        self[chunk] = ids
+        return ids
+
+
 class TextEncoder:
     """Encodes UTF-8 texts; ids come back as little-endian bytes of ``dtype``.
 
     Chunks are remembered in two generations: what was met since the older one was
-    dropped stays, so common words survive and memory is bounded by ``limit``.
+    dropped stays, so common words survive and memory is bounded by ``limit`` bytes.
     """
 
-    def __init__(self, path: str, limit: int = CHUNK_LIMIT):
+    def __init__(self, path: str, limit: int = MEMORY_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,18 +89,11 @@ class TextEncoder:
         self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.limit, self.young, self.old = limit, {}, {}
-        encode = self.tokenizer.encode
-        self.stops = {
-            x: self._pack(encode(chr(x), add_special_tokens=False).ids) for x in STOPS
-        }
-
-    def forget(self) -> None:
-        """Drop the chunks met so far, so an idle worker holds no more than the tokenizer."""
-        self.young, self.old = {}, {}
+        self.letters = byte_letters()
+        self.limit, self.words = limit, Words(self._ids, {})
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _parts(self, text: bytes) -> list[bytes]:
         # Case is dropped anyway, but not before a special token's own text is found.
@@ -77,63 +102,27 @@ class TextEncoder:
             return text.split()
         return lowered.split()
 
-    def _learn(self, chunks: list[bytes], into: dict) -> None:
-        """Encode new chunks, many in a line, and part the ids by their places."""
-        words = [c.decode("utf-8", "replace") for c in chunks]
-        lines = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        coded = self.tokenizer.encode_batch(
-            ["\n".join(line) for line in lines], add_special_tokens=False
-        )
-        at = 0
-        for line, code in zip(lines, coded):
-            width = self.dtype.itemsize
-            ids = self._pack(code.ids)
-            places = [a for a, _ in code.offsets]
-            ends = np.cumsum([len(w) + 1 for w in line])
-            low = 0
-            for high in np.searchsorted(places, ends).tolist():
-                into[chunks[at]] = self.young[chunks[at]] = ids[low * width : high * width]
-                low, at = high, at + 1
-
     def _word(self, word: bytes) -> bytes:
-        """Ids of a word of small ASCII letters: one step of the splitter, nothing to normalise."""
-        found = self.tokenizer.model.tokenize(word.decode())
-        return array(self.code, [t.id for t in found]).tobytes()
+        """Ids of one word of the splitter with nothing to normalise."""
+        found = self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))
+        return self._pack([t.id for t in found])
 
-    def _ids_of(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of the chunks of a block of texts; those met before are looked up.
+    def _ids(self, chunk: bytes) -> bytes:
+        """Ids of a chunk; small Latin letters, with or without marks behind, need no splitter.
 
-        A full stop or comma after letters is a token of its own, so such a chunk
-        is looked up without it.
+        Letters must stay letters and the same in lower case: a capital beyond ASCII, or
+        one that becomes a letter with a mark of its own, goes the whole way.
         """
-        if len(self.young) * 2 >= self.limit:
-            self.old, self.young = self.young, {}
-        young, old, known = self.young, self.old, {}
-        new, tailed = [], []
-        for c in chunks:
-            if c[-1] in STOPS and self.lowers:
-                letters = c[:-1].decode("utf-8", "replace")
-                if letters.isalpha() and max(letters) < BEYOND_LATIN:
-                    tailed.append(c)
-                    c = c[:-1]
-                    if c in known or c in chunks:
-                        continue
-            ids = young.get(c)
-            if ids is None:
-                ids = old.get(c)
-                if ids is None:
-                    if not (self.lowers and c.isalpha() and c.islower()):
-                        new.append(c)
-                        known[c] = b""
-                        continue
-                    ids = self._word(c)
-                young[c] = ids
-            known[c] = ids
-        if new:
-            self._learn(new, known)
-        for c in tailed:
-            known[c] = known[c[:-1]] + self.stops[c[-1]]
-        return known
+        plain = PLAIN.fullmatch(chunk) if self.lowers else None
+        if plain:
+            letters, marks = plain.groups()
+            text = letters.decode("utf-8", "replace")
+            if text.isascii() or (text.isalpha() and text.lower() == text and max(text) < BEYOND_LATIN):
+                if not marks:
+                    return self._word(chunk)
+                return self.words[letters] + self.words[marks]
+        found = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False)
+        return self._pack(found.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.chunked:
@@ -142,17 +131,14 @@ class TextEncoder:
             return [self._pack(c.ids) for c in coded]
         out = []
         for low in range(0, len(texts), BLOCK):
-            parts = [self._parts(t) for t in texts[low : low + BLOCK]]
-            get = self._ids_of(set().union(*parts)).__getitem__
-            out += [b"".join(map(get, p)) for p in parts]
+            if 2 * self.words.bytes >= self.limit:
+                self.words.before = {}
+                self.words = Words(self._ids, self.words)
+            get = self.words.__getitem__
+            out += [b"".join(map(get, self._parts(t))) for t in texts[low : low + BLOCK]]
         return out
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
-    """The encoder of a worker process for a file, made once."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    """The encoder of a worker process for a file, kept from task to task."""
+    return kept(("encoder", path), lambda: TextEncoder(path))

@@ -16,6 +16,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "a\x85b c d\x1ce <|endoftext|>x", "<|STARTOFTEXT|> A", "é É\ńx ΑΣ Σ İI", "", "  ",
+    "DELİ. İ, ANKARALI DEĞİL Mİ. x ŉ. ª, ß!! é$%& ÉÀ. é'. e\u0301. ｆ. ά. ﬁ.", "a<|endoftext|>. B!! İ<|ENDOFTEXT|>",
     "it's IT'S x²\x00y!!", "Das ist ein Text, und noch einer. " * 40,
 ]
 ROWS = [(k * 3 - 4, t) for k, t in enumerate(ODD)] + [(100, None), (100, "twice"), (None, "no id")]
