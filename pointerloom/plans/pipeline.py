@@ -117,15 +117,19 @@ def explore_root(
     spark: SparkSession,
     data_root: str,
     max_files: dict[str, int] | int | None = None,
+    preferred: bool = True,
     hvt_max_rows: int | None = None,
     hvt_max_windows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """The exploration tables of all logs; a first look may ask for few files or rows."""
+    """The exploration tables of the logs; a first look may ask for few files or rows.
+
+    ``preferred`` takes the files explored first, of families that have such names.
+    """
     samples = read_samples(
         spark,
         data_root,
         max_files=max_files,
-        preferred=max_files is not None,
+        preferred=preferred,
         hvt_max_rows=hvt_max_rows,
         hvt_max_windows=hvt_max_windows,
     )
