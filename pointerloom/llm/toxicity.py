@@ -49,23 +49,25 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     A list of disjoint candidates is kept, each with the running sum before it
     and at its end. A new positive score either stands alone, or joins back to
-    the last candidate that began lower and ended no higher.
+    the last candidate that began lower and ended no higher. Each candidate knows
+    the last one before it that began lower, so none is passed over twice.
     """
     total = np.cumsum(scores)
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     for i in np.flatnonzero(scores > 0).tolist():
         first, low, high = i, float(total[i] - scores[i]), float(total[i])
+        k = len(held) - 1
         while True:
             # Candidates that began at or above this one cannot be joined to it.
-            k = len(held) - 1
             while k >= 0 and held[k][2] >= low:
-                k -= 1
+                k = held[k][4]
             if k < 0 or held[k][3] >= high:
                 break
-            first, low = held[k][0], held[k][2]
+            first, low, under = held[k][0], held[k][2], held[k][4]
             del held[k:]
-        held.append((first, i + 1, low, high))
-    return [(a, b, high - low) for a, b, low, high in held]
+            k = under
+        held.append((first, i + 1, low, high, k))
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def log_odds(counts: dict, toxic: float, clean: float) -> dict:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -260,6 +261,18 @@ def test_maximal_segments():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_of_very_long_texts():
+    """Text that drifts down, and one whose every candidate begins lower: time goes with length."""
+    n = 400_000
+    down = np.tile([1.0, -2.0], n // 2)
+    start = time.perf_counter()
+    assert len(toxicity.maximal_segments(down)) == n // 2
+    stairs = np.tile([1.0, -2.0, 3.0, -4.0, 2.0], n // 5) + np.linspace(0, 1e-6, n)
+    got = toxicity.maximal_segments(stairs)
+    assert time.perf_counter() - start < 20
+    assert got[:50] == toxicity.maximal_segments(stairs[: 5 * 200])[:50]
+
+
 def labelled(spark, n=400):
     rng = random.Random(8)
     docs, labels = [], []
