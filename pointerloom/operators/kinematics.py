@@ -5,8 +5,9 @@ events of a window are a run of the session's ordered pointer stream, so steps
 between events are taken once per session and a window keeps those that lie
 inside it. The plan has three stages:
 
-1. steps: events are shuffled once, by session (hot sessions: by block of
-   time), and ``lag`` gives each step's speed, angle and turn;
+1. steps: events are shuffled once, by session and block of time, and ``lag``
+   gives each step's speed, angle and turn; what a block's first steps need from
+   before it comes from a row per block;
 2. panes: steps are summed per pane, the greatest common part of size, stride
    and horizon, in the same partitioning;
 3. windows: panes, not events, are copied into the windows they touch and
@@ -16,8 +17,6 @@ inside it. The plan has three stages:
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +29,7 @@ from pointerloom.functions.expr import (
     normalised_entropy,
 )
 from pointerloom.functions.labels import OUTCOME_EVENTS, horizon_label, is_outcome
-from pointerloom.operators.skew import (
-    HOT_ROWS,
-    cut_hot_sessions,
-    explode_range,
-    materialise,
-    session_bounds,
-)
+from pointerloom.operators.skew import explode_range, session_bounds
 from pointerloom.schema import (
     DEFAULT_DOCUMENT,
     DEFAULT_VIEWPORT,
@@ -67,6 +60,9 @@ HESITATION_TURN = math.pi / 4.0
 # Features taken from coordinates, which a missing one turns into NaN; the others are counts.
 MEASURED = (*FEATURES[:3], FEATURES[4])
 
+# Milliseconds of a session that are taken together.
+HOT_ROWS = 1_000_000
+
 BINS = [f"bin{i}" for i in range(N_BINS)]
 OUTCOMES = list(OUTCOME_EVENTS)
 SCREEN = ("vp_w", "vp_h", "doc_w", "doc_h")
@@ -145,52 +141,74 @@ def _steps(rows: DataFrame) -> DataFrame:
     )
 
 
-def step_branches(
-    events: DataFrame, viewport: DataFrame | None = None, hot_rows: int = HOT_ROWS
-) -> list[DataFrame]:
-    """Events with their kinematic step, as disjoint frames to be united.
-
-    Without hot sessions there is one frame, in which a session is a group. With
-    some, blocks are the groups, and the first two pointer events of a block of a
-    hot session have their predecessors in earlier blocks. They form a second
-    frame, made from the first two and last two pointer events of each block,
-    which is all their steps depend on.
-
-    Session bounds are written once: one row per session, read for the hot list,
-    the window anchors and the screen sizes. They join after the shuffle and the
-    window, in the same partitioning, so neither carries them.
+def _block_table(blocked: DataFrame, viewport: DataFrame | None) -> DataFrame:
+    """Per block its session's bounds and screen, and the two pointer events before it.
+
+    ``blocked`` has the previous pointer events inside the block. The event is
+    among the columns of the last one so that this and the steps read one shuffle.
     """
-    rows = _prepare(events)
-    bounds = session_bounds(rows, "session_id", "t")
-    sessions = materialise(with_screen(bounds, viewport))
-    anchors = sessions.selectExpr(
-        "session_id", "first_pos as t0", "last_pos as t1", "vp_w", "vp_h", "doc_h"
+    last = "max(if(is_ptr, struct(t, tie, x, y, pt, px, py, event), null))"
+    blocks = blocked.groupBy("session_id", "block").agg(
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.expr(last).alias("last")
+    )
+    session = "over (partition by session_id)"
+    before = (
+        "over (partition by session_id order by block rows between unbounded preceding and 1 preceding)"
     )
-    blocks = cut_hot_sessions(rows, "session_id", "t", sessions, hot_rows)
-    if blocks is None:
-        whole = _with_previous(rows.repartition("session_id"), "session_id", "is_ptr")
-        return [_steps(whole.join(anchors, "session_id").selectExpr("*", "0L as block"))]
-
-    blocked = blocks.place(rows).repartition("session_id", "block")
-    hot_keys = F.broadcast(blocks.levels[0].select("session_id"))
-    block_anchors = (
-        anchors.join(hot_keys, "session_id", "left_anti")
-        .selectExpr("*", "0L as block")
-        .unionByName(anchors.join(F.broadcast(blocks.sizes.select("session_id", "block")), "session_id"))
+    ends = blocks.selectExpr(
+        "session_id",
+        "block",
+        "last",
+        f"min(first_t) {session} as t0",
+        f"max(last_t) {session} as t1",
+        f"last(last, true) {before} as one",
+    ).selectExpr(
+        "session_id",
+        "block",
+        "t0",
+        "t1",
+        "last",
+        *[f"if(last.pt is null, one.{c}, last.p{c}) as two_{c}" for c in "txy"],
+    ).selectExpr(
+        "*", "if(last is null, null, struct(last, two_t, two_x, two_y)) as pair"
     )
-    inner = (
-        _with_previous(blocked, "session_id", "block", "is_ptr")
-        .where("not (is_hot and is_ptr and place <= 2)")
-        .join(block_anchors, ["session_id", "block"])
+    carried = ends.selectExpr("*", f"last(pair, true) {before} as before").selectExpr(
+        "session_id",
+        "block",
+        "t0",
+        "t1",
+        *[f"before.last.{c} as c{c}" for c in "txy"],
+        *[f"before.two_{c} as cc{c}" for c in "txy"],
+    )
+    return with_screen(carried, viewport)
+
+
+def step_rows(
+    events: DataFrame, viewport: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Events with their kinematic step, their session's bounds and screen, and ``block``.
+
+    A block is ``hot_rows`` milliseconds of a session, so at an event a millisecond
+    it holds that many rows, however long or busy the session is: blocks, not
+    sessions, are dealt out and sorted. The first two pointer events of a block
+    have their predecessors in earlier ones, which the block table names. That has
+    a row per block, so all a session needs together is a row per ``hot_rows``
+    milliseconds of its time.
+    """
+    # Both readers of the shuffle need these, and only equal shuffles are shared.
+    blocks = (
+        _prepare(events)
+        .selectExpr("*", f"cast(floor(t / {float(hot_rows)}D) as long) as block")
+        .where("session_id is not null and block is not null")
     )
-    over = "over (partition by session_id, block order by t, tie)"
-    rims = (
-        blocked.where("is_hot and is_ptr")
-        .selectExpr("*", f"row_number() {over} as nth", f"lead(t, 2) {over} as third_after")
-        .where("nth <= 2 or third_after is null")
+    blocked = _with_previous(
+        blocks.repartition("session_id", "block"), "session_id", "block", "is_ptr"
     )
-    stitched = _with_previous(rims, "session_id").where("nth <= 2").join(anchors, "session_id")
-    return [_steps(inner), _steps(stitched)]
+    joined = blocked.join(_block_table(blocked, viewport), ["session_id", "block"])
+    first = lambda c: f"if(place = 1, c{c}, p{c}) as p{c}"
+    second = lambda c: f"case place when 1 then cc{c} when 2 then c{c} else pp{c} end as pp{c}"
+    kept = [c for c in joined.columns if c not in {f"{p}{c}" for p in ("p", "pp") for c in "txy"}]
+    return _steps(joined.selectExpr(*kept, *map(first, "txy"), *map(second, "txy")))
 
 
 def kinematic_steps(
@@ -200,7 +218,7 @@ def kinematic_steps(
 
     Non-pointer events and the first pointer event of a session carry no step.
     """
-    steps = reduce(DataFrame.unionByName, step_branches(events, viewport, hot_rows))
+    steps = step_rows(events, viewport, hot_rows)
     return steps.selectExpr("*", f"{angle_bin('ang')} as bin").selectExpr(
         "session_id",
         "tie",
@@ -305,9 +323,7 @@ def window_totals(
 ) -> DataFrame:
     """Unscaled sums per window, for windows with enough events of any kind."""
     grid = _Grid(window_size_ms, stride_ms, prediction_horizon_ms)
-    branches = step_branches(events, viewport, hot_rows)
-    panes = reduce(DataFrame.unionByName, [_pane_sums(b, grid) for b in branches])
-    copies = _copies(panes, grid)
+    copies = _copies(_pane_sums(step_rows(events, viewport, hot_rows), grid), grid)
     if min_events_per_window <= 0:
         copies = copies.unionByName(_empty_windows(events, viewport, grid), allowMissingColumns=True)
 

@@ -1,28 +1,25 @@
-"""Splitting and numbering that hold when one key owns much of the data.
+"""Numbering and opening rows that hold when one key owns much of the data.
 
 A window over ``partitionBy(session)`` puts a whole session into one task. Here
-a hot session is cut into blocks along its own order instead, so that no group
-grows with the largest session, and rows get positions without a single-task sort.
+rows get positions from slices of the whole table instead, whatever the keys are.
+Tables that several plans read are written to a folder that a scope can clear.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-# A block is not made smaller than this share of all rows, which bounds the
-# tables of blocks (a key and three numbers per row) that are broadcast.
-MAX_SHARES = 20_000
-# A block number has one digit of this base per level, none of them 0.
-BLOCK_BASE = 32_768
-MAX_LEVELS = 4
 RANGE_BLOCK = 4096
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def session_bounds(df: DataFrame, key: str, position: str) -> DataFrame:
     """First and last position and row count per session (combined map-side)."""
@@ -33,102 +30,6 @@ def session_bounds(df: DataFrame, key: str, position: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Blocks:
-    """How hot sessions are cut along their position.
-
-    ``levels[0]`` cuts sessions (``key, low, width``), each later level cuts
-    blocks that were still too large (``key, parent, low, width``) between
-    their own first and last row, so gaps and bursts even out. ``sizes`` has one
-    row per block: ``key, block, first_pos, n_rows``.
-    """
-
-    key: str
-    position: str
-    levels: tuple[DataFrame, ...]
-    sizes: DataFrame
-
-    def place(self, df: DataFrame) -> DataFrame:
-        """Add ``block`` and ``is_hot``; map-only. Sessions not cut are block 0."""
-        part = f"cast(floor(({self.position} - low) / width) as long) + 1"
-        placed = df.join(F.broadcast(self.levels[0]), self.key, "left").selectExpr(
-            *df.columns, f"coalesce({part}, 0L) as block", "low is not null as is_hot"
-        )
-        for level in self.levels[1:]:
-            finer = level.withColumnRenamed("parent", "block")
-            placed = placed.join(F.broadcast(finer), [self.key, "block"], "left").selectExpr(
-                *df.columns, f"coalesce(block * {BLOCK_BASE} + {part}, block) as block", "is_hot"
-            )
-        return placed
-
-
-def _cuts(groups: DataFrame, limit: int, *keys: str) -> DataFrame:
-    """Block widths for the groups above ``limit`` rows that span more than a point."""
-    return groups.where(f"n_rows > {limit} and last_pos > first_pos").selectExpr(
-        *keys,
-        "double(first_pos) as low",
-        f"(last_pos - first_pos) / ceil(n_rows / {limit}) as width",
-    )
-
-
-def cut_hot_sessions(
-    df: DataFrame, key: str, position: str, bounds: DataFrame, hot_rows: int = HOT_ROWS
-) -> Blocks | None:
-    """Cut the sessions above ``hot_rows`` rows; None if there is none.
-
-    Only rows of one single position cannot be cut apart.
-    """
-    seen = bounds.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("largest")).first()
-    limit = max(hot_rows, -(-(seen.total or 0) // MAX_SHARES))
-    if (seen.largest or 0) <= limit:
-        return None
-    levels = (materialise(_cuts(bounds, limit, key)),)
-    while True:
-        blocks = Blocks(key, position, levels, None)
-        placed = blocks.place(df.select(key, position)).where("is_hot")
-        sizes = materialise(
-            placed.groupBy(key, "block").agg(
-                F.min(position).alias("first_pos"),
-                F.max(position).alias("last_pos"),
-                F.count(F.lit(1)).alias("n_rows"),
-            )
-        )
-        finer = _cuts(sizes, 2 * limit, key, "block as parent")
-        if len(levels) == MAX_LEVELS or finer.isEmpty():
-            return replace(blocks, sizes=sizes.drop("last_pos"))
-        levels = (*levels, materialise(finer))
-
-
-def row_index(
-    df: DataFrame, key: str, lead: str, order: list[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """``row_number() - 1`` per ``key`` in the order ``lead, *order``, as ``row_idx``.
-
-    ``lead`` is numeric. Hot sessions are numbered per block of ``lead`` and
-    shifted by the sizes of their earlier blocks.
-    """
-    number = lambda *keys: (
-        F.row_number().over(Window.partitionBy(*keys).orderBy(lead, *order)).cast("long") - 1
-    )
-    bounds = materialise(session_bounds(df, key, lead))
-    blocks = cut_hot_sessions(df, key, lead, bounds, hot_rows)
-    if blocks is None:
-        return df.withColumn("row_idx", number(key))
-    earlier = Window.partitionBy(key).orderBy("first_pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    shifts = blocks.sizes.select(
-        key, "block", (F.sum("n_rows").over(earlier) - F.col("n_rows")).alias("shift")
-    )
-    return (
-        blocks.place(df)
-        .withColumn("row_idx", number(key, "block"))
-        .join(shifts, [key, "block"], "left")
-        .withColumn("row_idx", F.col("row_idx") + F.coalesce("shift", F.lit(0).cast("long")))
-        .drop("shift", "block", "is_hot")
-    )
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -144,25 +45,51 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def table_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that plans write inside go when it ends, also after a failure.
+
+    Frames made inside must be used up inside: they read these tables. Scopes can be
+    nested; an inner one clears its own tables. Yields the scope's folder.
+    """
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    outer = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table that driver and executors share, in the scope if there is one."""
+    return f"{_scope.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start there."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, order: list[str], idx: str = "idx") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], idx: str = "idx", slices: int | None = None
+) -> DataFrame:
     """Consecutive numbers from 0 over the whole table in a total ``order``.
 
     A range exchange sorts the table in slices of like size whatever the keys
     are, each row gets its place in its slice, and slices are shifted by the
     sizes of those before. The slices are written before they are counted, so
     a repeated task cannot cut them anew. The list of slice sizes has one row
-    per shuffle partition, which bounds both its sort and its broadcast.
+    per shuffle partition, which bounds both its sort and its broadcast. ``slices``
+    is how many there are at most; left out, Spark's own number.
     """
     place = F.monotonically_increasing_id()
     sliced = (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*([slices] if slices else []), *order)
         .sortWithinPartitions(*order)
         .withColumn("_slice", F.shiftright(place, 33).cast("int"))
         .withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1)))
@@ -180,6 +107,24 @@ def number_rows(df: DataFrame, order: list[str], idx: str = "idx") -> DataFrame:
     )
 
 
+def row_index(
+    df: DataFrame, key: str, lead: str, order: list[str], slices: int | None = None
+) -> DataFrame:
+    """``row_number() - 1`` per ``key`` in the order ``lead, *order``, as ``row_idx``.
+
+    Rows are numbered over the whole table, key by key, and each key's first number is
+    taken off. No key is a group of rows anywhere; the first numbers are combined
+    map-side. Null keys are a key.
+    """
+    numbered = number_rows(df, [key, lead, *order], "_nth", slices)
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_nth").alias("_first"))
+    return (
+        numbered.join(first, F.col(key).eqNullSafe(F.col("_key")))
+        .withColumn("row_idx", F.col("_nth") - F.col("_first"))
+        .drop("_nth", "_key", "_first")
+    )
+
+
 def explode_range(df: DataFrame, n: str, out: str, spread: bool = False) -> DataFrame:
     """One row per integer in ``[0, n)``, none where ``n`` is 0 or less.
 

@@ -267,6 +267,29 @@ def _with(ctes: str, select: str) -> str:
 
 _LABEL_NAMES = " ".join(f"WHEN {code} THEN '{name}'" for name, code in LABELS.items())
 
+HOT_SESSION = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS session_id"
+
+
+def _skewed(sql: str) -> str:
+    """The same query with every third user in one session."""
+    return sql.replace("user_id AS session_id", HOT_SESSION)
+
+
+def _session_all() -> str:
+    return _with(
+        f"""{ALL},
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY source_rank, session_id, window_idx) - 1 AS idx,
+         row_number() OVER (PARTITION BY source, session_id ORDER BY window_idx) AS rn
+  FROM samples)""",
+        f"""SELECT o.idx - 7 AS seq_id, (s.rn - (o.rn - 7))::INTEGER AS pos,
+                   {", ".join(f"round(s.{f}, 9) + 0.0 AS {f}" for f in FEATURES)}, o.label
+            FROM ordered o JOIN ordered s
+              ON s.source = o.source AND s.session_id = o.session_id AND s.rn BETWEEN o.rn - 7 AND o.rn
+            WHERE o.rn >= 8""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "ck_events": _with(
         EVENTS,
@@ -411,3 +434,16 @@ FROM marked m LEFT JOIN twice s ON s.tie = m.tie""",
         LEFT JOIN (SELECT 'CK' AS source, count(*) AS n FROM events
                    UNION ALL SELECT 'HMI', count(*) FROM orders) c ON c.source = l.source""",
 }
+
+ORACLES |= {
+    "micro_tensor_skewed": _skewed(ORACLES["micro_tensor"]),
+    "ck_events_skewed": _skewed(ORACLES["ck_events"]),
+    "hvt_large_key": ORACLES["hvt_windows"]
+    .replace("l_suppkey AS session_id", "0 AS session_id")
+    .replace("PARTITION BY l_suppkey", "PARTITION BY 0"),
+    "hmi_large_key": ORACLES["hmi_samples"]
+    .replace("o_custkey AS session_id", "0 AS session_id")
+    .replace("PARTITION BY o_custkey", "PARTITION BY 0"),
+    "sequences_small_buckets": ORACLES["sequences_global"],
+    "sequences_session_all": _session_all(),
+}

@@ -81,6 +81,16 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return _samples(_ck(spark, folder))
 
 
+def micro_tensor_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of all events in one session, taken in blocks of 200 units."""
+    return _samples(micro_tensor(standins.skewed_events(spark, folder), hot_rows=200))
+
+
+def ck_events_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    steps = kinematic_steps(standins.skewed_events(spark, folder), hot_rows=200)
+    return _samples(steps.withColumnRenamed("tie", "event_id"))
+
+
 def uneven_windows(spark: SparkSession, folder: str) -> DataFrame:
     """A stride that divides neither size nor horizon."""
     return _samples(
@@ -124,6 +134,18 @@ def hvt_without_velocity(spark: SparkSession, folder: str) -> DataFrame:
     return _samples(hvt_windows(_hvt_records(spark, folder).drop("velocity")))
 
 
+def hvt_large_key(spark: SparkSession, folder: str) -> DataFrame:
+    """All records in one session."""
+    log = standins.hvt_log(spark, folder).withColumn("session_id", F.lit(0))
+    return _samples(hvt_windows(row_index(log, "session_id", "day", standins.HVT_ORDER)))
+
+
+def hmi_large_key(spark: SparkSession, folder: str) -> DataFrame:
+    """All records in one session."""
+    records = standins.hmi_records(spark, folder).withColumn("session_id", F.lit(0))
+    return _samples(hmi_samples(records))
+
+
 def hmi(spark: SparkSession, folder: str) -> DataFrame:
     return _samples(hmi_samples(standins.hmi_records(spark, folder)))
 
@@ -161,6 +183,18 @@ def sequences_session(spark: SparkSession, folder: str) -> DataFrame:
     return _samples(runs)
 
 
+def sequences_small_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same runs over buckets of 50 rows, so that many runs begin in the one before."""
+    runs = sequences(_all(spark, folder), SAMPLE_ORDER, bucket=50, element="double")
+    return _samples(long_form(runs, ["seq_id"]))
+
+
+def sequences_session_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs inside sessions of all four families."""
+    runs = sequences(_all(spark, folder), SAMPLE_ORDER, scope="session", element="double")
+    return _samples(long_form(runs, ["seq_id"]))
+
+
 def sequences_global(spark: SparkSession, folder: str) -> DataFrame:
     runs = sequences(_all(spark, folder), SAMPLE_ORDER, element="double")
     return _samples(long_form(runs, ["seq_id"]))
@@ -298,6 +332,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ck_all_windows": ck_all_windows,
     "micro_tensor": flagship,
     "raw_micro_tensor": raw_micro_tensor,
+    "micro_tensor_skewed": micro_tensor_skewed,
+    "ck_events_skewed": ck_events_skewed,
     "uneven_windows": uneven_windows,
     "viewport_join": viewport_join,
     "micro_tensor_viewport": micro_tensor_viewport,
@@ -305,12 +341,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hvt_windows": hvt,
     "hvt_capped": hvt_capped,
     "hvt_without_velocity": hvt_without_velocity,
+    "hvt_large_key": hvt_large_key,
     "hmi_samples": hmi,
+    "hmi_large_key": hmi_large_key,
     "ap_samples": ap,
     "all_samples": all_samples,
     "sequences_session": sequences_session,
     "sequences_global": sequences_global,
     "sequences_first": sequences_first,
+    "sequences_small_buckets": sequences_small_buckets,
+    "sequences_session_all": sequences_session_all,
     "source_counts": source_counts,
     "feature_corr": feature_corr,
     "feature_density": feature_density,

@@ -42,6 +42,12 @@ def ck_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def skewed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The pointer events with every third user in one session."""
+    hot = F.when(F.col("session_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("session_id"))
+    return ck_events(spark, folder).withColumn("session_id", hot)
+
+
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Sidecar XML of customers: whole sizes, failing ones, and none for every fifth."""
     key = F.col("c_custkey") % 5

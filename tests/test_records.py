@@ -4,13 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointerloom.operators.records import ap_samples, hmi_samples, hvt_windows
-from pointerloom.operators.skew import (
-    cut_hot_sessions,
-    explode_range,
-    number_rows,
-    row_index,
-    session_bounds,
-)
+from pointerloom.operators.skew import explode_range, number_rows, row_index, table_scope
 from pointerloom.schema import FEATURES
 
 
@@ -71,12 +65,12 @@ def test_hvt_odd_sizes(spark, size, stride):
     assert {w: pytest.approx(v) for w, v in want.items()} == {w: f[:2] for w, f in got.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 100, 7])
-def test_row_index_with_hot_sessions(spark, hot_rows):
+@pytest.mark.parametrize("slices", [None, 100, 7])
+def test_row_index_with_hot_sessions(spark, slices):
     rows = [("hot", float(i % 50), (i * 37) % 1000) for i in range(1000)]
     rows += [("mild", 1.0, i) for i in range(20)] + [("one", 3.0, 0)]
     df = spark.createDataFrame(rows, "k string, day double, o int").repartition(4)
-    got = sorted((r.k, r.row_idx, r.day, r.o) for r in row_index(df, "k", "day", ["o"], hot_rows).collect())
+    got = sorted((r.k, r.row_idx, r.day, r.o) for r in row_index(df, "k", "day", ["o"], slices).collect())
     want = []
     for key in ("hot", "mild", "one"):
         mine = sorted(r[1:] for r in rows if r[0] == key)
@@ -149,17 +143,26 @@ def test_ap_keys_of_either_list(spark):
     assert actions(spark, '[{"actions":{"stay_seconds":1},"stay_seconds":0.05}]') == [(0.1, 0)]
 
 
-def test_blocks_even_out_bursts(spark):
-    # One early outlier and a dense burst: blocks end up small all the same.
-    rows = [("hot", -1e9)] + [("hot", float(i)) for i in range(3000)] + [("hot", 5000.0 + i / 1e6) for i in range(3000)]
-    rows += [("hot", 7000.0)] * 500 + [("mild", float(i)) for i in range(90)]
-    df = spark.createDataFrame(rows, "k string, t double").repartition(3)
-    blocks = cut_hot_sessions(df, "k", "t", session_bounds(df, "k", "t"), 100)
-    placed = blocks.place(df)
-    sizes = placed.groupBy("k", "block", "is_hot").agg(F.count("t").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
-    got = sorted((r.a, r.b, r.n) for r in sizes.collect() if r.is_hot)
-    assert sum(n for *_, n in got) == 6501 and all(left[1] < right[0] for left, right in zip(got, got[1:]))
-    assert all(n <= 200 for a, b, n in got if a < b) and len(got) > 30
-    assert [(r.block, r.n) for r in sizes.collect() if not r.is_hot] == [(0, 90)]
-    assert blocks.sizes.agg(F.sum("n_rows")).first()[0] == 6501
-    assert cut_hot_sessions(df, "k", "t", session_bounds(df, "k", "t"), 10_000) is None
+def test_row_index_of_null_keys_and_ties(spark):
+    rows = [(None, 1.0, k % 3) for k in range(30)] + [("a", 1.0, 5)] * 4
+    df = spark.createDataFrame(rows, "k string, day double, o int").repartition(5)
+    got = sorted((str(r.k), r.row_idx) for r in row_index(df, "k", "day", ["o"]).collect())
+    assert got == sorted([("None", k) for k in range(30)] + [("a", k) for k in range(4)])
+
+
+def test_scope_clears_its_tables(spark):
+    df = spark.createDataFrame([(k % 3, float(k), k) for k in range(40)], "k int, day double, o int")
+    files = lambda folder: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    with table_scope(spark) as outer:
+        assert row_index(df, "k", "day", ["o"]).count() == 40
+        written = files(outer).count()
+        assert written
+        with pytest.raises(ZeroDivisionError), table_scope(spark) as inner:
+            number_rows(df, ["o"]).count()
+            assert files(inner).count()
+            raise ZeroDivisionError
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            files(inner).count()
+        assert files(outer).count() == written
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files(outer).count()
