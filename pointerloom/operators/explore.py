@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointerloom.operators.skew import materialise
 from pointerloom.schema import FEATURES, SOURCES
 
 GRID_POINTS = 200
 GRID_CUT = 3.0
+# Bandwidths beyond which a kernel adds nothing: exp(-40.5) is below 3e-18.
+KERNEL_CUT = 9.0
 
 
 def source_counts(samples: DataFrame) -> DataFrame:
@@ -35,29 +36,72 @@ def _unpivot(samples: DataFrame, *keys: str) -> DataFrame:
 def feature_corr(samples: DataFrame) -> DataFrame:
     """Pearson correlation of each pair of features, NULL where one is constant.
 
-    Rows with a missing value in either feature are left out of that pair. One
-    pass with a fixed set of groups, combined map-side.
+    Rows with a missing value in either feature are left out of that pair. Samples are
+    aggregated once, by which of their features are missing: counts, means, extremes and
+    central co-moments, all combined map-side. Pairs put together the few groups that have
+    both features, as moments can be merged.
     """
-    names = F.array(*[F.lit(f) for f in FEATURES])
-    moments = (
-        samples.select(F.array(*FEATURES).alias("x"))
-        .selectExpr("x", "posexplode(x) as (i, a)")
-        .where("not isnan(a)")
-        .selectExpr("i", "a", "posexplode(x) as (j, b)")
-        .where("j >= i and not isnan(b)")
-        .groupBy("i", "j")
-        .agg(
-            F.covar_pop("a", "b").alias("cov"),
-            F.stddev_pop("a").alias("sa"),
-            F.stddev_pop("b").alias("sb"),
+    names = list(FEATURES)
+    missing = " + ".join(f"if({f} is null or isnan({f}), {1 << i}, 0)" for i, f in enumerate(names))
+    moments = [F.count(F.lit(1)).alias("n")]
+    for i, a in enumerate(names):
+        moments += [F.expr(f"{e}({a})").alias(f"{e}_{i}") for e in ("avg", "min", "max")]
+        moments += [
+            F.covar_pop(a, b).alias(f"cov_{i}_{j}") for j, b in enumerate(names) if j >= i
+        ]
+    groups = samples.selectExpr(*names, f"{missing} as lacks").groupBy("lacks").agg(*moments)
+    side = lambda i: F.struct(
+        F.lit(names[i]).alias("feature"),
+        *[F.col(f"{e}_{i}").alias(e) for e in ("avg", "min", "max")],
+        F.col(f"cov_{i}_{i}").alias("var"),
+    )
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit((1 << i) | (1 << j)).alias("needs"),
+                side(i).alias("a"),
+                side(j).alias("b"),
+                F.col(f"cov_{i}_{j}").alias("cov"),
+            )
+            for i in range(len(names))
+            for j in range(i, len(names))
+        ]
+    )
+    keys = ["feature_a", "feature_b"]
+    parts = (
+        groups.select("n", "lacks", F.explode(pairs).alias("p"))
+        .select(
+            F.col("p.a.feature").alias("feature_a"),
+            F.col("p.b.feature").alias("feature_b"),
+            F.when(F.col("lacks").bitwiseAND(F.col("p.needs")) == 0, F.col("n")).alias("n"),
+            "p.a",
+            "p.b",
+            "p.cov",
         )
-        .withColumn("corr", F.try_divide("cov", F.col("sa") * F.col("sb")))
     )
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
-        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    pooled = Window.partitionBy(*keys)
+    mean = lambda c: F.sum(F.col("n") * F.col(f"{c}.avg")).over(pooled) / F.sum("n").over(pooled)
+    off = parts.withColumns(
+        {f"d{c}": F.col(f"{c}.avg") - mean(c) for c in "ab"}
+    )
+    # Co-moments inside the groups and of their means against those of all.
+    total = lambda inside, x, y: F.sum(F.col("n") * (F.col(inside) + F.col(x) * F.col(y)))
+    varies = lambda c: (
+        F.max(F.when(F.col("n") > 0, F.col(f"{c}.max"))) > F.min(F.when(F.col("n") > 0, F.col(f"{c}.min")))
     )
-    return moments.select(F.explode(both).alias("ij"), "corr").select(
-        names[F.col("ij.i")].alias("feature_a"), names[F.col("ij.j")].alias("feature_b"), "corr"
+    merged = off.groupBy(*keys).agg(
+        total("cov", "da", "db").alias("ab"),
+        total("a.var", "da", "da").alias("aa"),
+        total("b.var", "db", "db").alias("bb"),
+        (varies("a") & varies("b")).alias("varies"),
+    )
+    corr = F.when(F.col("varies"), F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")))
+    both = F.array(
+        F.struct(F.col("feature_a").alias("x"), F.col("feature_b").alias("y")),
+        F.struct(F.col("feature_b").alias("x"), F.col("feature_a").alias("y")),
+    )
+    return merged.select(F.explode(F.array_distinct(both)).alias("p"), corr.alias("corr")).select(
+        F.col("p.x").alias("feature_a"), F.col("p.y").alias("feature_b"), "corr"
     )
 
 
@@ -71,55 +115,61 @@ def feature_density(
     Each source is normalised on its own. Bandwidth is Scott's rule for one
     dimension, sample deviation times n^(-1/5) (Scott 1992); the grid runs three
     bandwidths past the extremes. Sources whose values are all alike have none.
-    Distinct values are counted once and written; moments come from the counts,
-    and each value adds to the grid map-side. Moments have one row per source
-    and feature.
+
+    Moments come from one pass, combined map-side, and are a row per source and
+    feature. In a second pass each value adds to the grid points within
+    ``KERNEL_CUT`` bandwidths, beyond which a kernel is below the last digit of a
+    double; as the bandwidth shrinks with n these become few. Sums per point are
+    combined map-side, so nothing but they is shuffled and nothing is written.
     """
-    values = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
-    )
     keys = ["source", "feature"]
-    counts = materialise(
-        samples.select("source", F.explode(values).alias("c"))
-        .select("source", "c.feature", "c.value")
-        .where("value is not null and not isnan(value)")
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    centre = counts.groupBy(*keys).agg(
-        F.sum("weight").alias("n"),
-        (F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean"),
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
-    )
-    spread = (
-        counts.join(F.broadcast(centre), keys)
-        .groupBy(*keys)
-        .agg(F.expr("sum(weight * (value - mean) * (value - mean))").alias("squares"))
+    usable = lambda f: F.when(~F.isnan(f), F.col(f))
+    moments = samples.groupBy("source").agg(
+        *[
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.count(usable(f)).alias("n"),
+                F.stddev_samp(usable(f)).alias("deviation"),
+                F.min(usable(f)).alias("lowest"),
+                F.max(usable(f)).alias("highest"),
+            ).alias(f"_{i}")
+            for i, f in enumerate(features)
+        ]
     )
     shape = (
-        centre.join(F.broadcast(spread), keys)
+        moments.select("source", F.explode(F.array(*[f"_{i}" for i in range(len(features))])).alias("m"))
+        .select("source", "m.*")
         .where("highest > lowest")
-        .withColumn("h", F.expr("sqrt(squares / (n - 1)) * pow(double(n), -0.2D)"))
+        .withColumn("h", F.expr("deviation * pow(double(n), -0.2D)"))
         .withColumn("start", F.col("lowest") - GRID_CUT * F.col("h"))
         .withColumn(
             "width", (F.col("highest") + GRID_CUT * F.col("h") - F.col("start")) / (points - 1)
         )
+        .select(*keys, "n", "h", "start", "width")
+    )
+    values = F.array(
+        *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
     )
+    place = lambda side, whole: whole(
+        (F.col("value") + side * KERNEL_CUT * F.col("h") - F.col("start")) / F.col("width")
+    ).cast("int")
+    first = F.greatest(place(-1, F.ceil), F.lit(0))
+    last = F.least(place(1, F.floor), F.lit(points - 1))
     at = F.col("start") + F.col("point") * F.col("width")
     z = (at - F.col("value")) / F.col("h")
-    kernel = F.exp(-0.5 * z * z)
-    return (
-        counts.join(F.broadcast(shape), keys)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    heights = (
+        samples.select("source", F.explode(values).alias("c"))
+        .select("source", "c.feature", "c.value")
+        .where("value is not null and not isnan(value)")
+        .join(F.broadcast(shape), keys)
+        .withColumn("point", F.explode(F.sequence(first, last)))
         .groupBy(*keys, "point")
-        .agg(
-            F.min(at).alias("x"),
-            (
-                F.sum(F.col("weight") * kernel)
-                / F.min(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
-            ).alias("density"),
-        )
+        .agg(F.sum(F.exp(-0.5 * z * z)).alias("height"))
+    )
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    mass = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
+    return grid.join(heights, [*keys, "point"], "left").select(
+        *keys, "point", at.alias("x"), (F.coalesce("height", F.lit(0.0)) / mass).alias("density")
     )
 
 
