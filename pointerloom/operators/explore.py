@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointerloom.schema import FEATURES, SOURCES
@@ -37,23 +37,29 @@ def feature_corr(samples: DataFrame) -> DataFrame:
     """Pearson correlation of each pair of features, NULL where one is constant.
 
     Rows with a missing value in either feature are left out of that pair. Samples are
-    aggregated once, by which of their features are missing: counts, means, extremes and
-    central co-moments, all combined map-side. Pairs put together the few groups that have
-    both features, as moments can be merged.
+    aggregated once, by which of their features are missing: means, extremes, central
+    second moments and sums of products, combined map-side and few enough for one
+    generated loop. Pairs put together the groups that have both features, as moments
+    can be merged. Products are taken off their means, so a pair whose deviations are
+    both below a thousandth of their means may lose its sixth digit.
     """
     names = list(FEATURES)
     missing = " + ".join(f"if({f} is null or isnan({f}), {1 << i}, 0)" for i, f in enumerate(names))
     moments = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(names):
-        moments += [F.expr(f"{e}({a})").alias(f"{e}_{i}") for e in ("avg", "min", "max")]
+        moments += [F.expr(f"{e}({a})").alias(f"{e}_{i}") for e in ("min", "max", "var_pop")]
         moments += [
-            F.covar_pop(a, b).alias(f"cov_{i}_{j}") for j, b in enumerate(names) if j >= i
+            F.sum(F.col(a) * F.col(b) if i != j else F.col(a)).alias(f"sum_{i}_{j}")
+            for j, b in enumerate(names)
+            if j >= i
         ]
     groups = samples.selectExpr(*names, f"{missing} as lacks").groupBy("lacks").agg(*moments)
+    mean = lambda i: F.col(f"sum_{i}_{i}") / F.col("n")
+    product = lambda i, j: F.col(f"sum_{i}_{j}") / F.col("n") - mean(i) * mean(j)
     side = lambda i: F.struct(
         F.lit(names[i]).alias("feature"),
-        *[F.col(f"{e}_{i}").alias(e) for e in ("avg", "min", "max")],
-        F.col(f"cov_{i}_{i}").alias("var"),
+        mean(i).alias("mean"),
+        *[F.col(f"{e}_{i}").alias(e) for e in ("min", "max", "var_pop")],
     )
     pairs = F.array(
         *[
@@ -61,47 +67,56 @@ def feature_corr(samples: DataFrame) -> DataFrame:
                 F.lit((1 << i) | (1 << j)).alias("needs"),
                 side(i).alias("a"),
                 side(j).alias("b"),
-                F.col(f"cov_{i}_{j}").alias("cov"),
+                (product(i, j) if i != j else F.col(f"var_pop_{i}")).alias("cov"),
             )
             for i in range(len(names))
             for j in range(i, len(names))
         ]
     )
     keys = ["feature_a", "feature_b"]
-    parts = (
-        groups.select("n", "lacks", F.explode(pairs).alias("p"))
-        .select(
-            F.col("p.a.feature").alias("feature_a"),
-            F.col("p.b.feature").alias("feature_b"),
-            F.when(F.col("lacks").bitwiseAND(F.col("p.needs")) == 0, F.col("n")).alias("n"),
-            "p.a",
-            "p.b",
-            "p.cov",
+    parts = groups.select("n", "lacks", F.explode(pairs).alias("p")).where("lacks & p.needs = 0").select(
+        "n",
+        F.col("p.a.feature").alias("feature_a"),
+        F.col("p.b.feature").alias("feature_b"),
+        "p.a",
+        "p.b",
+        "p.cov",
+    )
+    # At most a group for each set of missing features meets here.
+    held = parts.groupBy(*keys).agg(F.collect_list(F.struct("n", "a", "b", "cov")).alias("g"))
+    weighed = lambda what: f"aggregate(g, 0D, (s, x) -> s + x.n * ({what}))"
+    of_all = held.selectExpr(
+        "*",
+        *[f"{weighed(f'x.{c}.mean')} / {weighed('1')} as mean_{c}" for c in "ab"],
+        *[f"array_max(transform(g, x -> x.{c}.max)) > array_min(transform(g, x -> x.{c}.min)) as varies_{c}" for c in "ab"],
+    )
+    # Moments inside the groups and of the groups' means against those of all.
+    total = lambda inside, x, y: weighed(
+        f"x.{inside} + (x.{x}.mean - mean_{x}) * (x.{y}.mean - mean_{y})"
+    )
+    spread = f"sqrt({total('a.var_pop', 'a', 'a')}) * sqrt({total('b.var_pop', 'b', 'b')})"
+    corr = of_all.where("varies_a and varies_b").selectExpr(
+        *keys, f"try_divide({total('cov', 'a', 'b')}, {spread}) as corr"
+    )
+    ordered = F.array(
+        *[
+            F.struct(*[F.lit(names[k]).alias(c) for k, c in zip((i, j), keys)])
+            for i in range(len(names))
+            for j in range(i, len(names))
+        ]
+    )
+    both = F.array_distinct(
+        F.array(
+            F.struct(F.col("feature_a").alias("x"), F.col("feature_b").alias("y")),
+            F.struct(F.col("feature_b").alias("x"), F.col("feature_a").alias("y")),
         )
     )
-    pooled = Window.partitionBy(*keys)
-    mean = lambda c: F.sum(F.col("n") * F.col(f"{c}.avg")).over(pooled) / F.sum("n").over(pooled)
-    off = parts.withColumns(
-        {f"d{c}": F.col(f"{c}.avg") - mean(c) for c in "ab"}
-    )
-    # Co-moments inside the groups and of their means against those of all.
-    total = lambda inside, x, y: F.sum(F.col("n") * (F.col(inside) + F.col(x) * F.col(y)))
-    varies = lambda c: (
-        F.max(F.when(F.col("n") > 0, F.col(f"{c}.max"))) > F.min(F.when(F.col("n") > 0, F.col(f"{c}.min")))
-    )
-    merged = off.groupBy(*keys).agg(
-        total("cov", "da", "db").alias("ab"),
-        total("a.var", "da", "da").alias("aa"),
-        total("b.var", "db", "db").alias("bb"),
-        (varies("a") & varies("b")).alias("varies"),
-    )
-    corr = F.when(F.col("varies"), F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")))
-    both = F.array(
-        F.struct(F.col("feature_a").alias("x"), F.col("feature_b").alias("y")),
-        F.struct(F.col("feature_b").alias("x"), F.col("feature_a").alias("y")),
-    )
-    return merged.select(F.explode(F.array_distinct(both)).alias("p"), corr.alias("corr")).select(
-        F.col("p.x").alias("feature_a"), F.col("p.y").alias("feature_b"), "corr"
+    return (
+        samples.sparkSession.range(1)
+        .select(F.inline(ordered))
+        .join(corr, keys, "left")
+        .select(F.explode(both).alias("p"), "corr")
+        .select(F.col("p.x").alias("feature_a"), F.col("p.y").alias("feature_b"), "corr")
     )
 
 
