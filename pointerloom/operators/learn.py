@@ -5,18 +5,15 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.operators.skew import number_rows
+from pointerloom.operators.skew import materialise, number_rows, table_path
 from pointerloom.schema import FEATURES, LABELS, SEQ_LEN
 
 # Sizes and training settings of the model (fixed values).
@@ -25,7 +22,11 @@ LAYERS = 2
 CLASSES = len(LABELS)
 EPOCHS = 5
 BATCH_SIZE = 64
+LEARNING_RATE = 1e-3
+ADAM_MEAN, ADAM_SQUARE, ADAM_LEAST = 0.9, 0.999, 1e-8
 
+# Rows of sums that one task adds up.
+FAN_IN = 64
 # Bins a range of values is counted in when a rank is looked for.
 BINS = 1024
 MOST_DOUBLE = sys.float_info.max
@@ -215,46 +216,181 @@ def metric_gate(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
     )
 
 
+@dataclass
+class Perceptron:
+    """One hidden layer of rectified units on a flattened run, with a softmax on top.
+
+    ``parameters`` is one vector: weights and biases of both layers. ``history`` has
+    epoch, mean loss and accuracy in percent over the batches as they were trained on.
+    """
+
+    inputs: int
+    hidden: int
+    classes: int
+    parameters: np.ndarray
+    history: list[tuple[int, float, float]] = field(default_factory=list)
+
+    @classmethod
+    def drawn(cls, inputs: int, hidden: int, classes: int, seed: int) -> Perceptron:
+        draw = np.random.default_rng(seed)
+        first = draw.normal(0, math.sqrt(2 / inputs), inputs * hidden)
+        second = draw.normal(0, math.sqrt(1 / hidden), hidden * classes)
+        parts = [first, np.zeros(hidden), second, np.zeros(classes)]
+        return cls(inputs, hidden, classes, np.concatenate(parts))
+
+    def layers(self, vector: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Weights and biases as views of a vector of their size."""
+        shapes = [(self.inputs, self.hidden), (self.hidden,), (self.hidden, self.classes), (self.classes,)]
+        cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
+        return tuple(v.reshape(x) for v, x in zip(np.split(vector, cuts), shapes))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        w1, b1, w2, b2 = self.layers(self.parameters)
+        return np.maximum(x @ w1 + b1, 0) @ w2 + b2
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
+        """Summed gradient of the cross-entropy, summed loss, and how many are right."""
+        w1, b1, w2, b2 = self.layers(self.parameters)
+        inner = np.maximum(x @ w1 + b1, 0)
+        scores = inner @ w2 + b2
+        scores -= scores.max(axis=1, keepdims=True)
+        logs = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        rows = np.arange(len(y))
+        error = np.exp(logs)
+        error[rows, y] -= 1
+        back = (error @ w2.T) * (inner > 0)
+        parts = [x.T @ back, back.sum(axis=0), inner.T @ error, error.sum(axis=0)]
+        hits = int((scores.argmax(axis=1) == y).sum())
+        return np.concatenate([p.ravel() for p in parts]), float(-logs[rows, y].sum()), hits
+
+
+@dataclass
+class Adam:
+    """Steps by running means of gradients and of their squares."""
+
+    rate: float
+    first: np.ndarray
+    second: np.ndarray
+    steps: int = 0
+
+    def step(self, parameters: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        self.steps += 1
+        self.first = ADAM_MEAN * self.first + (1 - ADAM_MEAN) * gradient
+        self.second = ADAM_SQUARE * self.second + (1 - ADAM_SQUARE) * gradient**2
+        mean = self.first / (1 - ADAM_MEAN**self.steps)
+        square = self.second / (1 - ADAM_SQUARE**self.steps)
+        return parameters - self.rate * mean / (np.sqrt(square) + ADAM_LEAST)
+
+
+SUMS = "n long, loss double, hits long, gradient binary"
+SUM_FIELDS = pa.schema(
+    [("n", pa.int64()), ("loss", pa.float64()), ("hits", pa.int64()), ("gradient", pa.binary())]
+)
+
+
+def _sums(n: int, loss: float, hits: int, gradient: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(
+        [{"n": n, "loss": loss, "hits": hits, "gradient": gradient.tobytes()}], schema=SUM_FIELDS
+    )
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _gradients(model: Perceptron):
+    """One row per task: sums over its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, hits, total = 0, 0.0, 0, np.zeros_like(model.parameters)
+        for batch in batches:
+            if batch.num_rows:
+                y = batch.column("label").to_numpy()
+                gradient, more, right = model.gradient(_flat(batch.column("features"), model.inputs), y)
+                n, loss, hits, total = n + len(y), loss + more, hits + right, total + gradient
+        yield _sums(n, loss, hits, total)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if rows:
+        total = np.sum([np.frombuffer(r["gradient"]) for r in rows], axis=0)
+        yield _sums(*(sum(r[c] for r in rows) for c in ("n", "loss", "hits")), total)
+
+
+def _summed(runs: DataFrame, model: Perceptron) -> tuple[int, float, int, np.ndarray]:
+    """Sums over all runs: of a task's rows in the task, then of tasks in a tree."""
+    sums = runs.mapInArrow(_gradients(model), SUMS)
+    tasks = runs.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        sums = sums.repartition(tasks).mapInArrow(_added, SUMS)
+    rows = sums.collect()
+    total = np.sum([np.frombuffer(r.gradient) for r in rows], axis=0)
+    return sum(r.n for r in rows), sum(r.loss for r in rows), sum(r.hits for r in rows), total
+
+
 def fit_classifier(
     seqs: DataFrame,
     seq_len: int = SEQ_LEN,
     hidden: int = HIDDEN,
     epochs: int = EPOCHS,
     batch_size: int = BATCH_SIZE,
-    solver: str = "l-bfgs",
+    learning_rate: float = LEARNING_RATE,
     seed: int = 0,
-) -> MultilayerPerceptronClassificationModel:
-    """Fit a classifier of runs: a multilayer perceptron on the flattened run.
-
-    This is not a recurrent network: Spark trains a perceptron with one hidden
-    layer over the ``seq_len * 9`` values, data-parallel. ``epochs`` bounds the
-    solver's iterations, ``batch_size`` is how many rows it stacks into a block.
+) -> Perceptron:
+    """Train a classifier of runs by synchronous mini-batch gradient steps.
+
+    This is not a recurrent network but a perceptron on the ``seq_len * 9`` values. Each
+    epoch is dealt into the batches of ``shuffled_batches``, written a folder a batch.
+    A step sums the gradient of one batch where its rows lie and moves the parameters by
+    Adam; its state and the parameters, a few thousand numbers, are all the driver holds.
+    Results depend on the seed, not on partitions. A step is a job over its batch alone:
+    choose ``batch_size`` so that it is worth one. An empty table leaves the drawn
+    parameters and no history.
     """
-    vectors = seqs.select(
-        array_to_vector(F.flatten("features")).alias("features"), F.col("label").cast("double")
+    spark = seqs.sparkSession
+    model = Perceptron.drawn(seq_len * len(FEATURES), hidden, CLASSES, seed)
+    adam = Adam(learning_rate, np.zeros_like(model.parameters), np.zeros_like(model.parameters))
+    runs = materialise(seqs.select("seq_id", "features", F.col("label").cast("long").alias("label")))
+    for epoch in range(1, epochs + 1):
+        path = table_path(spark, "batches")
+        batches = shuffled_batches(runs, epoch=epoch, seed=seed, batch_size=batch_size)
+        batches.select("features", "label", "batch_id").write.partitionBy("batch_id").parquet(path)
+        last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0] if not runs.isEmpty() else None
+        seen, losses, right = 0, 0.0, 0
+        for batch in range(-1 if last is None else last + 1):
+            rows = spark.read.schema("features array<array<double>>, label long").parquet(
+                f"{path}/batch_id={batch}"
+            )
+            n, loss, hits, gradient = _summed(rows, model)
+            model.parameters = adam.step(model.parameters, gradient / n)
+            seen, losses, right = seen + n, losses + loss, right + hits
+        if seen:
+            model.history.append((epoch, losses / seen, 100.0 * right / seen))
+    return model
+
+
+def loss_history(model: Perceptron, like: DataFrame) -> DataFrame:
+    """Mean loss and accuracy in percent of each epoch (``iteration``, from 1)."""
+    return like.sparkSession.createDataFrame(
+        model.history, "iteration int, loss double, accuracy double"
     )
-    return MultilayerPerceptronClassifier(
-        layers=[seq_len * len(FEATURES), hidden, CLASSES],
-        maxIter=epochs,
-        blockSize=batch_size,
-        solver=solver,
-        seed=seed,
-    ).fit(vectors)
-
-
-def loss_history(model: MultilayerPerceptronClassificationModel, like: DataFrame) -> DataFrame:
-    """Loss per training iteration, from 0 (before the first step)."""
-    losses = [(i, float(v)) for i, v in enumerate(model.summary().objectiveHistory)]
-    return like.sparkSession.createDataFrame(losses, "iteration int, loss double")
-
-
-def predict(model: MultilayerPerceptronClassificationModel, seqs: DataFrame) -> DataFrame:
-    """Add ``probabilities`` and ``prediction`` of a fitted classifier to sequences."""
-    vectors = seqs.withColumn("_vector", array_to_vector(F.flatten("features")))
-    scored = (
-        model.copy({model.featuresCol: "_vector"})
-        .transform(vectors)
-        .withColumn("probabilities", vector_to_array("probability"))
-        .withColumn("prediction", F.col("prediction").cast("int"))
+
+
+def predict(model: Perceptron, seqs: DataFrame) -> DataFrame:
+    """Add ``scores``, ``probabilities`` and ``prediction`` of a trained classifier; map-only."""
+
+    @F.pandas_udf("array<double>")
+    def forward(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        flat = np.concatenate([np.concatenate(run) for run in features]).astype(np.float64)
+        return pd.Series(list(model.scores(flat.reshape(len(features), -1))))
+
+    scored = seqs.withColumn("scores", forward("features"))
+    return scored.withColumns(
+        {"probabilities": softmax(F.col("scores")), "prediction": argmax(F.col("scores"))}
     )
-    return scored.drop("_vector", "rawPrediction", "probability")

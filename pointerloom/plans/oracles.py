@@ -447,3 +447,70 @@ ORACLES |= {
     "sequences_small_buckets": ORACLES["sequences_global"],
     "sequences_session_all": _session_all(),
 }
+
+
+def _filled(rows: int, columns: int) -> str:
+    """SQL of a matrix, as a list of rows, by the formula of the queries' fixed weights."""
+    cell = f"((r * {columns} + c) * 7 % 23 - 11) / 50.0::DOUBLE"
+    return f"list_transform(range({rows}), lambda r: list_transform(range({columns}), lambda c: {cell}))"
+
+
+def _gates(layer: int, x: str, h: str) -> list[str]:
+    """Columns with what the input and the state give to the three gates of a layer."""
+    both = []
+    for name, matrix, vector in (("gi", f"w_ih_{layer}", x), ("gh", f"w_hh_{layer}", h)):
+        product = f"list_transform({matrix}, lambda w: list_dot_product(w, {vector}))"
+        both.append(f"list_transform(list_zip({product}, bias), lambda p: p[1] + p[2]) AS {name}")
+    return both
+
+
+def _state(h: str) -> str:
+    """The next state of a layer from ``gi``, ``gh`` and the state before."""
+    sigmoid = lambda k: f"(1.0 / (1.0 + exp(-(gi[i + {k}] + gh[i + {k}]))))"
+    candidate = f"tanh(gi[i + 64] + {sigmoid(0)} * gh[i + 64])"
+    return (
+        f"list_transform(range(1, 33), lambda i: {candidate} + {sigmoid(32)} * ({h}[i] - {candidate}))"
+    )
+
+
+_RUN_LISTS = f"""
+runs AS (
+  SELECT o.idx - 7 AS seq_id, any_value(o.label) AS label,
+         list([{", ".join(f"s.{f}" for f in FEATURES)}] ORDER BY s.rn) AS steps
+  FROM ordered o JOIN ordered s ON s.session_id = o.session_id AND s.rn BETWEEN o.rn - 7 AND o.rn
+  WHERE o.rn >= 8 GROUP BY o.idx)"""
+
+_GRU = f"""WITH RECURSIVE {SESSION_RUNS}, {_RUN_LISTS},
+weights AS (
+  SELECT {_filled(96, 9)} AS w_ih_0, {_filled(96, 32)} AS w_hh_0, {_filled(96, 32)} AS w_ih_1,
+         {_filled(96, 32)} AS w_hh_1, {_filled(1, 96)}[1] AS bias,
+         {_filled(6, 32)} AS w_out, {_filled(1, 6)}[1] AS b_out),
+walk AS (
+  SELECT seq_id, 0 AS step, list_transform(range(32), lambda i: 0.0::DOUBLE) AS h0,
+         list_transform(range(32), lambda i: 0.0::DOUBLE) AS h1
+  FROM runs
+  UNION ALL
+  SELECT seq_id, step + 1, h0, {_state("h1")}
+  FROM (
+    SELECT seq_id, step, h0, h1, {", ".join(_gates(1, "h0", "h1"))}
+    FROM (
+      SELECT * EXCLUDE (h0, gi, gh), {_state("h0")} AS h0
+      FROM (
+        SELECT k.seq_id, k.step, k.h0, k.h1, w_ih_1, w_hh_1, bias,
+               {", ".join(_gates(0, "steps[step + 1]", "h0"))}
+        FROM walk k JOIN runs r ON r.seq_id = k.seq_id, weights
+        WHERE step < 8)))),
+ends AS (
+  SELECT k.seq_id, label, list_transform(range(1, 7), lambda c: list_dot_product(w_out[c], h1) + b_out[c]) AS s
+  FROM walk k JOIN runs r ON r.seq_id = k.seq_id, weights WHERE step = 8)
+SELECT seq_id, label, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS prediction,
+       {", ".join(f"round(s[{c + 1}], 6) + 0.0 AS score_{c}" for c in range(6))}
+FROM ends"""
+
+ORACLES |= {
+    "gru_scores": _GRU,
+    "mlp_fit": f"""WITH {SESSION_RUNS}
+SELECT CAST(e AS INTEGER) AS iteration, (SELECT count(*) FROM ordered WHERE rn >= 8) AS n_runs,
+       e > 1 AS below_first, true AS beats_even_odds
+FROM generate_series(1, 5) g(e)""",
+}

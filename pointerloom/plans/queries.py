@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from pointerloom.operators.kinematics import (
 )
 from pointerloom.operators.records import ap_samples, hmi_samples, hvt_windows
 from pointerloom.operators.sequences import long_form, sequences, unite
-from pointerloom.operators.skew import row_index, shared_folder
+from pointerloom.operators.skew import materialise, row_index, shared_folder
 from pointerloom.plans import standins
 from pointerloom.plans.pipeline import SAMPLE_ORDER
 from pointerloom.schema import DATASET_DIRS, FEATURES, label_name
@@ -281,12 +282,22 @@ def formula_weights() -> dict[str, np.ndarray]:
 
 def gru_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = learn.score_sequences(_session_sequences(spark, folder), formula_weights())
-    return scored.select("seq_id", "label", "prediction", "scores")
+    scores = [F.col("scores")[c].alias(f"score_{c}") for c in range(learn.CLASSES)]
+    return rounded(scored.select("seq_id", "label", "prediction", *scores), STATISTIC_DIGITS)
 
 
 def mlp_fit(spark: SparkSession, folder: str) -> DataFrame:
-    runs = _session_sequences(spark, folder)
-    return learn.loss_history(learn.fit_classifier(runs), runs)
+    """Epochs of a training: losses below the first, and in the end below that of even odds."""
+    runs = materialise(_session_sequences(spark, folder))
+    model = learn.fit_classifier(runs, learning_rate=0.02)
+    final = learn.epoch_metrics(learn.predict(model, runs)).first()
+    first = model.history[0][1] if model.history else None
+    return learn.loss_history(model, runs).select(
+        "iteration",
+        F.lit(final.n).alias("n_runs"),
+        (F.col("loss") < F.lit(first)).alias("below_first"),
+        F.lit(final.loss < math.log(learn.CLASSES)).alias("beats_even_odds"),
+    )
 
 
 def _written(df: DataFrame, name: str, delimiter: str) -> str:

@@ -110,7 +110,7 @@ def test_shuffled_batches(runs):
 
 def test_fit_and_predict(runs):
     easy = runs.withColumn("label", F.when(F.element_at("features", -1)[0] > 0.5, 1).otherwise(0))
-    model = learn.fit_classifier(easy, epochs=40, seed=3)
+    model = learn.fit_classifier(easy, epochs=12, learning_rate=0.02, seed=3)
     losses = [r.loss for r in learn.loss_history(model, easy).orderBy("iteration").collect()]
     assert len(losses) > 2 and losses[-1] < losses[0]
     scored = learn.predict(model, easy)
@@ -119,6 +119,42 @@ def test_fit_and_predict(runs):
     assert all(len(r.probabilities) == 6 for r in scored.limit(3).collect())
 
 
+def test_steps_do_not_depend_on_partitions(runs):
+    def history(df, **given):
+        return learn.fit_classifier(df, epochs=2, batch_size=50, seed=5, **given).history
+
+    one, eight = history(runs.coalesce(1)), history(runs.repartition(8))
+    assert [e for e, *_ in one] == [1, 2]
+    assert one == [(e, pytest.approx(loss, abs=1e-9), pytest.approx(a)) for e, loss, a in eight]
+    assert abs(history(runs, learning_rate=0.05)[1][1] - one[1][1]) > 1e-3
+    assert learn.fit_classifier(runs.limit(0), epochs=1).history == []
+
+
+def test_gradient_like_differences():
+    draw = np.random.default_rng(4)
+    model = learn.Perceptron.drawn(12, 5, 6, seed=1)
+    x, y = draw.normal(size=(7, 12)), draw.integers(0, 6, 7)
+    gradient, loss, hits = model.gradient(x, y)
+    assert hits == int((model.scores(x).argmax(axis=1) == y).sum())
+    for k in draw.choice(len(gradient), 25, replace=False):
+        near = []
+        for step in (1e-6, -1e-6):
+            moved = learn.Perceptron(12, 5, 6, model.parameters.copy())
+            moved.parameters[k] += step
+            near.append(moved.gradient(x, y)[1])
+        assert gradient[k] == pytest.approx((near[0] - near[1]) / 2e-6, abs=1e-5)
+
+
+def test_sums_in_a_tree(runs, monkeypatch):
+    model = learn.Perceptron.drawn(72, 4, 6, seed=2)
+    rows = runs.select("features", F.col("label").cast("long").alias("label")).repartition(7)
+    flat = learn._summed(rows, model)
+    monkeypatch.setattr(learn, "FAN_IN", 2)
+    tree = learn._summed(rows, model)
+    assert flat[0] == tree[0] == 150 and flat[2] == tree[2]
+    assert np.allclose(flat[3], tree[3]) and flat[1] == pytest.approx(tree[1])
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     rng = np.random.default_rng(6)
