@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointerloom.functions.expr import clip01, python_float
@@ -29,6 +31,25 @@ def _number_or_null(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def last_emitted(windows: int, window_size_ms: int, stride_ms: int) -> int:
+    """Index of the ``windows``-th window with enough records, -1 for none.
+
+    Records are 50 ms apart from 0 on, so how many a window holds depends on its index
+    alone and repeats with it; a cap on windows is a cap on the index.
+    """
+    period = RECORD_STEP_MS // math.gcd(stride_ms, RECORD_STEP_MS)
+    first_at = lambda t: -(-t // RECORD_STEP_MS)
+    full = [
+        k
+        for k in range(period)
+        if first_at(k * stride_ms + window_size_ms) - first_at(k * stride_ms) >= MIN_RECORDS_PER_WINDOW
+    ]
+    if not full or windows < 1:
+        return -1
+    whole, part = divmod(windows - 1, len(full))
+    return whole * period + full[part]
+
+
 def hvt_windows(
     records: DataFrame,
     window_size_ms: int = WINDOW_SIZE_MS,
@@ -46,7 +67,8 @@ def hvt_windows(
     A record is copied into the windows that hold it and into those it closes,
     being the first record at or after their end. A window without a closing
     record runs past the session's last record and is not emitted, so session
-    lengths need no join. Copies are combined map-side before the one shuffle.
+    lengths need no join. Copies are combined map-side before the one shuffle. The
+    cap on windows is known from parameters, so what is beyond it is never copied.
     """
     velocity = "velocity" in records.columns
     distance = "distance" in records.columns
@@ -69,8 +91,11 @@ def hvt_windows(
         .withColumn("low", F.greatest(F.lit(0).cast("long"), low))
         .withColumn("high", F.floor(F.col("t") / F.lit(stride_ms)).cast("long"))
         .where("low <= high")
-        .withColumn("window_idx", F.explode(F.sequence("low", "high")))
     )
+    if max_windows is not None:
+        last = last_emitted(max_windows, window_size_ms, stride_ms)
+        copies = copies.withColumn("high", F.least("high", F.lit(last).cast("long"))).where("low <= high")
+    copies = copies.withColumn("window_idx", F.explode(F.sequence("low", "high")))
     inside = F.col("t") < F.col("window_idx") * stride_ms + window_size_ms
     windows = (
         copies.groupBy("session_id", "window_idx")
@@ -85,11 +110,6 @@ def hvt_windows(
         )
         .where(F.col("closed") & (F.col("n") >= MIN_RECORDS_PER_WINDOW))
     )
-    if max_windows is not None:
-        by_time = Window.partitionBy("session_id").orderBy("window_idx")
-        windows = windows.withColumn("nth", F.row_number().over(by_time)).where(
-            F.col("nth") <= max_windows
-        )
     measured = lambda flag, value, full: (
         f"if({flag}, {clip01(f'{value} / {full!r}D')}, 0D)"
     )
@@ -112,13 +132,14 @@ def hmi_samples(records: DataFrame, max_records: int | None = None) -> DataFrame
     """One click sample per HMI record of a session but the last.
 
     Samples of a session are alike, so their number decides the result: records
-    are counted (combined map-side) and the count is opened into rows.
+    are counted (combined map-side) and the count is opened into rows, a large one by
+    many tasks.
     """
     counts = records.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n") if max_records is None else F.least(F.col("n"), F.lit(max_records).cast("long"))
     counts = counts.select("session_id", (n - 1).alias("n"))
     return (
-        explode_range(counts, "n", "window_idx", spread=max_records is None)
+        explode_range(counts, "n", "window_idx", spread=True)
         .selectExpr(
             "session_id",
             "window_idx",

@@ -514,3 +514,59 @@ SELECT CAST(e AS INTEGER) AS iteration, (SELECT count(*) FROM ordered WHERE rn >
        e > 1 AS below_first, true AS beats_even_odds
 FROM generate_series(1, 5) g(e)""",
 }
+
+_SCORED = f"""{SESSION_RUNS},
+raw AS (SELECT label, {", ".join(f"({TWO_DECIMAL_SCORE[c]}) * 2000.0 AS s{c}" for c in range(6))}
+        FROM ordered WHERE rn >= 8),
+best AS (SELECT *, greatest({", ".join(f"s{c}" for c in range(6))}) AS top FROM raw),
+judged AS (
+  SELECT label, CASE {" ".join(f"WHEN s{c} = top THEN {c}" for c in range(6))} END AS prediction,
+         -(CASE label {" ".join(f"WHEN {c} THEN s{c}" for c in range(6))} END - top
+           - ln({" + ".join(f"exp(s{c} - top)" for c in range(6))})) AS loss
+  FROM best)"""
+
+ORACLES |= {
+    "read_ck_order": f"""WITH {EVENTS}
+SELECT session_id, t AS timestamp, row_number() OVER (PARTITION BY session_id ORDER BY tie) - 1 AS tie,
+       event, x AS xpos, y AS ypos FROM ev""",
+    "read_hvt_order": f"""WITH {hvt()}
+SELECT session_id, r AS row_idx, velocity, distance FROM hvt_rows""",
+    "hmi_delimiters": """
+SELECT CAST(month(o_orderdate) AS BIGINT) AS month, strftime(o_orderdate, '%Y-%m-%d') AS epoch
+FROM orders WHERE month(o_orderdate) % 6 <> 2""",
+    "read_ap_files": f"""
+SELECT 'AP' AS source, conv_id AS session_id,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS window_idx, {NO_BOUNDS},
+       {_record_features(dwellTimeMs="round(" + clip("length(text) / 1000.0 * 1000.0 / 500.0") + ", 9)")},
+       CASE WHEN turn > 0 THEN 3 ELSE 0 END AS label
+FROM conversations""",
+    "sink_round_trip": _with(
+        ALL,
+        f"""SELECT source, session_id, window_idx,
+                   {", ".join(f"round({f}::FLOAT::DOUBLE, 9) + 0.0 AS {f}" for f in FEATURES)}, label
+            FROM samples""",
+    ),
+    "chosen_files": """
+WITH files AS (
+  SELECT DISTINCT CAST(month(o_orderdate) AS BIGINT) AS month,
+         CASE WHEN month(o_orderdate) % 2 = 0 THEN 'raw_interactions' ELSE 'other' END AS folder FROM orders)
+SELECT 'named' AS choice, folder, month FROM files
+UNION ALL
+SELECT * FROM (SELECT 'capped', folder, month FROM files ORDER BY folder, month::VARCHAR LIMIT 5)""",
+    "files_to_samples": _with(
+        f"{ck()}, {hvt()}",
+        f"""SELECT {SAMPLE}, label FROM (
+              SELECT source, session_id, {PLAIN} FROM ck
+              UNION ALL SELECT source, session_id, {PLAIN} FROM hvt)""",
+    ),
+    "size_gate": """
+WITH m AS (SELECT unnest(['file_size_mb', 'large_size_mb']) AS metric,
+                  unnest([count(*) / 1000.0::DOUBLE, count(*)::DOUBLE]) AS value FROM orders)
+SELECT metric, round(value, 6) AS value, 20.0::DOUBLE AS "limit", value < 20 AS passed FROM m""",
+    "epoch_metrics_far": _with(
+        _SCORED,
+        """SELECT prediction, count(*) AS n, round(avg(loss), 6) + 0.0 AS loss,
+                  round(avg(CASE WHEN prediction = label THEN 100.0 ELSE 0 END), 6) AS accuracy
+           FROM judged GROUP BY prediction""",
+    ),
+}

@@ -20,12 +20,13 @@ from pointerloom.operators.kinematics import (
 )
 from pointerloom.operators.records import ap_samples, hmi_samples, hvt_windows
 from pointerloom.operators.sequences import long_form, sequences, unite
-from pointerloom.operators.skew import materialise, row_index, shared_folder
+from pointerloom.operators.skew import materialise, row_index, shared_folder, table_path
 from pointerloom.plans import standins
-from pointerloom.plans.pipeline import SAMPLE_ORDER
+from pointerloom.plans.pipeline import SAMPLE_ORDER, read_samples
 from pointerloom.schema import DATASET_DIRS, FEATURES, label_name
-from pointerloom.sources.catalogue import source_catalogue, source_presence
+from pointerloom.sources.catalogue import select_files, source_catalogue, source_presence
 from pointerloom.sources.delimited import read_ck, read_hmi, read_hvt
+from pointerloom.sources.sink import write_samples
 from pointerloom.sources.viewport import parse_sidecars
 
 # Sample values have up to 8 decimals by construction, so 9 never split a tie.
@@ -326,6 +327,108 @@ def read_hmi_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_hmi(spark, _written(log, "hmi", ","), max_records=None).select("epoch")
 
 
+def _file_number(column: str) -> Column:
+    """Number in the folder ``part=N`` that a table written by partition has in its paths."""
+    return F.regexp_extract(column, r"part=(\d+)", 1).cast("long")
+
+
+def _in_files(df: DataFrame, name: str, delimiter: str, order: list[str]) -> str:
+    """A table as a file per ``part``, each with a header and its rows in order."""
+    root = f"{table_path(df.sparkSession, 'logs')}/{name}"
+    spread = df.repartition("part").sortWithinPartitions("part", *order)
+    spread.write.option("header", True).option("sep", delimiter).partitionBy("part").csv(root)
+    return root
+
+
+def read_ck_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A pointer file per user: sessions and the order of lines come back from the files."""
+    log = standins.ck_events(spark, folder).select(
+        F.col("session_id").alias("part"), F.col("tie").alias("cursor"), "timestamp", "xpos", "ypos", "event"
+    )
+    events = read_ck(spark, _in_files(log, "ck", " ", ["cursor"]))
+    return events.withColumn("session_id", _file_number("session_id"))
+
+
+def read_hvt_order(spark: SparkSession, folder: str) -> DataFrame:
+    log = standins.hvt_log(spark, folder).withColumnRenamed("session_id", "part")
+    records = read_hvt(spark, _in_files(log, "hvt", ";", ["day", *standins.HVT_ORDER]))
+    return records.select(
+        _file_number("session_id").alias("session_id"), "row_idx", "velocity", "distance"
+    )
+
+
+def hmi_delimiters(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with every delimiter and time column: by month, and a file without a time."""
+    records = standins.hmi_records(spark, folder).select(
+        F.month("epoch").cast("long").alias("part"), F.date_format("epoch", "yyyy-MM-dd").alias("at"), "session_id"
+    )
+    root, parts = table_path(spark, "logs"), []
+    forms = [("epoch", ";"), ("initepoch", ";"), ("timestamp", ";"), ("epoch", ","), ("initepoch", ","), ("timestamp", ",")]
+    for k, (column, delimiter) in enumerate(forms):
+        chosen = records.where(F.col("part") % len(forms) == k).withColumnRenamed("at", column)
+        _ = chosen.repartition("part").write.option("header", True).option("sep", delimiter).partitionBy("part").csv(
+            f"{root}/form{k}"
+        )
+        parts.append(f"{root}/form{k}")
+    read = read_hmi(spark, parts)
+    return read.select(_file_number("session_id").alias("month"), "epoch")
+
+
+def read_ap_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat messages as JSON files of a conversation each, read back as whole documents."""
+    documents = standins.conversation_documents(spark, folder)
+    root = table_path(spark, "logs")
+    documents.withColumnRenamed("session_id", "part").repartition("part").write.option(
+        "lineSep", "\n"
+    ).partitionBy("part").text(root)
+    # Spark writes .txt; the family's files end in .json.
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    read = texts.select(F.col("_metadata.file_path").alias("session_id"), F.rtrim("value").alias("value"))
+    return _samples(ap_samples(read).withColumn("session_id", _file_number("session_id")))
+
+
+def sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All samples written by source with 32-bit features, and read back."""
+    path = table_path(spark, "sink")
+    write_samples(_all(spark, folder), path)
+    back = spark.read.parquet(path)
+    return _samples(back.select("source", "session_id", "window_idx", *[F.col(f).cast("double") for f in FEATURES], "label"))
+
+
+def chosen_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a family by path, with a cap and by preferred names."""
+    root = table_path(spark, "logs")
+    log = standins.hmi_records(spark, folder).select(F.month("epoch").cast("long").alias("part"), "epoch")
+    for k, name in enumerate(("raw_interactions", "other")):
+        some = log.where(F.col("part") % 2 == k).repartition("part").sortWithinPartitions("part")
+        some.write.option("header", True).partitionBy("part").csv(f"{root}/{DATASET_DIRS['HMI']}/{name}")
+    catalogue = source_catalogue(spark, root)
+    capped = select_files(catalogue, "HMI", 5).select(F.lit("capped").alias("choice"), "path")
+    # No file name has a preferred part, as Spark names files; all are taken then.
+    named = select_files(catalogue, "HMI", None, preferred=True).select(F.lit("named").alias("choice"), "path")
+    both = capped.unionByName(named)
+    kind = F.when(F.contains("path", F.lit("raw_interactions")), "raw_interactions").otherwise("other")
+    return both.select("choice", kind.alias("folder"), _file_number("path").alias("month"))
+
+
+def files_to_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """From files of two families, sidecars among them, to the samples of all."""
+    root = table_path(spark, "store")
+    log = standins.ck_events(spark, folder).select(
+        F.col("session_id").alias("part"), F.col("tie").alias("cursor"), "timestamp", "xpos", "ypos", "event"
+    )
+    ck = f"{root}/raw/{DATASET_DIRS['CK']}"
+    log.repartition("part").sortWithinPartitions("part", "cursor").write.option("header", True).option(
+        "sep", " "
+    ).partitionBy("part").csv(ck)
+    hvt_log = standins.hvt_log(spark, folder).withColumnRenamed("session_id", "part")
+    hvt_log.repartition("part").sortWithinPartitions("part", "day", *standins.HVT_ORDER).write.option(
+        "header", True
+    ).option("sep", ";").partitionBy("part").csv(f"{root}/raw/deep/{DATASET_DIRS['HVT']}")
+    samples = read_samples(spark, root)
+    return _samples(samples.withColumn("session_id", _file_number("session_id")).drop("source_rank"))
+
+
 def resolve_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Presence of log families under a root that holds two of the four."""
     root = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
@@ -337,6 +440,22 @@ def resolve_sources(spark: SparkSession, folder: str) -> DataFrame:
     return presence.select("source", "present", (F.col("bytes") > 0).alias("has_bytes"))
 
 
+def size_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of stored tables, in MB, against the limit of a deployed model and a failing one."""
+    sizes = standins.table(spark, folder, "orders").agg(
+        (F.count(F.lit(1)) / 1000.0).alias("file_size_mb"), (F.count(F.lit(1)) * 1.0).alias("large_size_mb")
+    )
+    metrics = sizes.select(F.expr("stack(2, 'file_size_mb', file_size_mb, 'large_size_mb', large_size_mb) as (metric, value)"))
+    limits = {"file_size_mb": learn.SIZE_LIMIT_MB, "large_size_mb": learn.SIZE_LIMIT_MB}
+    return rounded(learn.metric_gate(metrics, limits), STATISTIC_DIGITS)
+
+
+def epoch_metrics_far(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores 2,000 times as far apart: losses of probabilities that vanish."""
+    far = _scored(spark, folder).withColumn("scores", F.transform("scores", lambda s: s * 2000.0))
+    return rounded(learn.epoch_metrics(far, ["prediction"]), STATISTIC_DIGITS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ck_events": ck_events,
     "ck_windows": ck_windows,
@@ -375,4 +494,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_hvt_files": read_hvt_files,
     "read_hmi_files": read_hmi_files,
     "resolve_sources": resolve_sources,
+    "read_ck_order": read_ck_order,
+    "read_hvt_order": read_hvt_order,
+    "hmi_delimiters": hmi_delimiters,
+    "read_ap_files": read_ap_files,
+    "sink_round_trip": sink_round_trip,
+    "chosen_files": chosen_files,
+    "files_to_samples": files_to_samples,
+    "size_gate": size_gate,
+    "epoch_metrics_far": epoch_metrics_far,
 }

@@ -152,6 +152,20 @@ def action_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def conversation_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON document per conversation: a list of its messages, a dwell time of each."""
+    back = F.when(F.col("turn") > 0, F.lit(',"previous_url":null')).otherwise(F.lit(""))
+    item = F.concat(
+        F.lit('{"stay_seconds":"'), (F.length("text") / 1000).cast("string"), F.lit('"'), back, F.lit("}")
+    )
+    return (
+        table(spark, folder, "conversations")
+        .groupBy(F.col("conv_id").alias("session_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("item")))).alias("items"))
+        .select("session_id", F.concat(F.lit("["), F.array_join("items.item", ","), F.lit("]")).alias("value"))
+    )
+
+
 def timings(spark: SparkSession, folder: str) -> DataFrame:
     """Latencies of a model: prices in millions."""
     return table(spark, folder, "lineitem").select((F.col("l_extendedprice") / 1e6).alias("latency_ms"))

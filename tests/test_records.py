@@ -166,3 +166,11 @@ def test_scope_clears_its_tables(spark):
         assert files(outer).count() == written
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files(outer).count()
+
+
+@pytest.mark.parametrize("size,stride,most", [(500, 250, 3), (75, 25, 7), (60, 70, 4), (100, 30, 1), (40, 250, 5), (500, 250, 0)])
+def test_window_cap_by_index(spark, size, stride, most):
+    df = trajectory(spark, [(float(i), 1.0) for i in range(90)])
+    every = sorted(r.window_idx for r in hvt_windows(df, size, stride).collect())
+    capped = sorted(r.window_idx for r in hvt_windows(df, size, stride, max_windows=most).collect())
+    assert capped == every[:most]
