@@ -280,6 +280,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = contiguous(tokens)
     lists_of: dict[int, list] = defaultdict(list)
     rows: list[dict] = []
+    long_lists: dict[int, tuple] = {}
     long = np.flatnonzero(np.diff(edges) > 1)
     for k in long.tolist():
         low, high = int(edges[k]), int(edges[k + 1])
@@ -288,11 +289,18 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, code in enumerate(members[:-1]):
                 lists_of[code].append(members[i + 1 :])
             continue
-        members = docs[low:high].tolist()
-        name = int(tokens[low].astype(np.int64))
+        # Lists with the same members are one, with each member's least place.
+        who = xxhash.xxh3_64_intdigest(docs[low:high].tobytes() + sizes[low:high].tobytes())
+        if who in long_lists:
+            at, least, times = long_lists[who]
+            long_lists[who] = at, np.minimum(least, places[low:high]), times + 1
+        else:
+            long_lists[who] = slice(low, high), places[low:high], 1
+    for who, (at, least, times) in long_lists.items():
+        name = int(np.uint64(who).astype(np.int64))
         rows += [
-            {"list": name, "doc": d, "size": n, "place": p}
-            for d, n, p in zip(members, sizes[low:high].tolist(), places[low:high].tolist())
+            {"list": name, "doc": d, "size": n, "place": p, "times": times}
+            for d, n, p in zip(docs[at].tolist(), sizes[at].tolist(), least.tolist())
         ]
         if len(rows) > 100_000:
             yield _batch(FOUND, rows)
@@ -348,12 +356,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
 
+def _other_copies(sets: DataFrame, same: DataFrame) -> DataFrame:
+    """``doc_id`` of documents all of whose sets a smaller id has too.
+
+    ``same`` links equal sets ``a`` with their smallest id ``b``. An id with several texts
+    counts only if each of them is such a copy.
+    """
+    later = same.where("a > b").groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("copied"))
+    rows = sets.join(later, "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("all"), F.min("copied").alias("copied")
+    )
+    return written(rows.where("copied >= all").select("doc_id"), "other")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast where there are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(_sized(ids), "doc_id", "left_anti")
+
+
 def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` that are alike enough."""
     ids = written(
         pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates"
     )
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = _sized(ids)
     sets = rows.join(chosen, "doc_id", "left_semi").mapInArrow(
         _set_rows, "doc long, shingles binary"
     )
@@ -575,7 +605,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     values = np.array([r.value for r in common], dtype=np.int64)
     ranks = np.log2(np.array([r.times for r in common], dtype=np.float64) + 1).astype(np.int64)
     blocks = max(COUNT_BLOCKS, 8 * tasks)
-    postings = known.mapInArrow(_short_lists(values, ranks, blocks), "block int, postings binary")
+    sets = described.where("set_id is not null and doc_id is not null")
+    copies = sets.groupBy("set_id").agg(F.min("doc_id").alias("b"), F.count("*").alias("n"))
+    same = written(
+        sets.join(copies.where("n > 1"), "set_id").select(F.col("doc_id").alias("a"), "b"), "copies"
+    )
+    postings = _without(known, _other_copies(sets, same)).mapInArrow(
+        _short_lists(values, ranks, blocks), "block int, postings binary"
+    )
     found = written(
         postings.repartition("block").mapInArrow(
             _merge_lists,
@@ -583,13 +620,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         ),
         "lists",
     )
-    sets = described.where("set_id is not null and doc_id is not null")
-    copies = sets.groupBy("set_id").agg(F.min("doc_id").alias("b"), F.count("*").alias("n"))
-    same = sets.join(copies.where("n > 1"), "set_id").select(F.col("doc_id").alias("a"), "b")
-    lists = found.where("list is not null").select("list", "doc", "size", "place")
+    # The same members can meet in lists of many partitions.
+    lists = written(
+        found.where("list is not null")
+        .groupBy("list", "doc", "size")
+        .agg(F.min("place").alias("place"), F.sum("times").alias("times")),
+        "members",
+    )
     counted = found.where("a is not null").groupBy("a", "b", "n", "m")
     short = counted.agg(F.sum("times").alias("times"))
-    in_long = lists.groupBy("doc").agg(F.count(F.lit(1)).alias("unseen"))
+    in_long = lists.groupBy("doc").agg(F.sum("times").alias("unseen"))
     near = _enough(
         short.join(in_long.withColumnRenamed("doc", "a"), "a", "left")
         .withColumnRenamed("unseen", "of_a")
@@ -598,15 +638,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     edges = written(same.union(_linked(known, written(near, "pairs"))), "links")
     comps = components(edges)
-    # At most one list for LIST_ROWS rows.
-    hot = written(lists.groupBy("list").count().where(F.col("count") > LIST_ROWS), "hot")
-    any_hot = not hot.isEmpty()
-    hot = F.broadcast(hot.select("list"))
-    for turn in range(0 if lists.isEmpty() else STAR_ROUNDS + 1):
-        placed = lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "list", "doc", "size", "place", F.coalesce("component", "doc").alias("component")
+    for turn in range(STAR_ROUNDS + 1):
+        placed = written(
+            lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select(
+                "list", "doc", "size", "place", F.coalesce("component", "doc").alias("component")
+            ),
+            "placed",
+        )
+        # A list whose members are all connected has nothing more to give, in any round.
+        open_lists = placed.groupBy("list").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
         )
+        open_lists = written(open_lists.where("low < high").select("list", "rows"), "open")
+        if open_lists.isEmpty():
+            break
         last = turn == STAR_ROUNDS
+        # At most one list for LIST_ROWS rows.
+        hot = F.broadcast(open_lists.where(F.col("rows") > LIST_ROWS).select("list"))
+        any_hot = not hot.isEmpty()
+        placed = placed.join(open_lists.select("list"), "list", "left_semi")
         opened = (
             (placed.join(hot, "list", "left_anti") if any_hot else placed)
             .repartition("list")
@@ -616,6 +668,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         if any_hot:
             dealt = written(placed.join(hot, "list", "left_semi"), "placed")
             opened = opened.union(_open_hot_lists(dealt, last))
+        lists = placed.select("list", "doc", "size", "place")
         pairs = written(opened.distinct(), "pairs")
         if pairs.isEmpty():
             continue
