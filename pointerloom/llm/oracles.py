@@ -2,6 +2,57 @@
 
 from __future__ import annotations
 
+def _components(links: str, nodes: str) -> str:
+    """CTEs up to ``comps(node, component)`` of ``links(a, b)``, given in both directions."""
+    return f"""
+reach(node, component) AS (
+  SELECT node, node FROM {nodes}
+  UNION
+  SELECT l.b, r.component FROM reach r JOIN {links} l ON l.a = r.node WHERE r.component < l.b),
+comps AS (SELECT node, min(component) AS component FROM reach GROUP BY node)"""
+
+
+OP3 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND list_dot_product(x, x) > 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q
+    ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+   AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.95),
+nodes AS (SELECT DISTINCT vec_id AS node FROM v),
+{_components("links", "nodes")},
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = component AS kept
+FROM v JOIN comps ON node = vec_id LEFT JOIN degrees ON a = vec_id"""
+
+OP8 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+sets AS (
+  SELECT doc_id, unnest(list_distinct(
+    CASE WHEN len(words) = 0 THEN []
+         WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    END)) AS shingle
+  FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared
+  FROM sets p JOIN sets q ON p.shingle = q.shingle AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * shared >= 80 * (s.n + t.n - shared)),
+nodes AS (SELECT doc_id AS node FROM documents),
+{_components("links", "nodes")}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component AS component_id
+FROM documents d JOIN comps ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
+
 OP12 = r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -105,6 +156,8 @@ FROM nodes n JOIN sums USING (path) LEFT JOIN births USING (path)
 LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, 32 * (n.depth - 1))"""
 
 ORACLES: dict[str, str] = {
+    "op3_vector_forest": OP3,
+    "op8_ngram_join": OP8,
     "op12_filter_audit": OP12,
     "op13_prefix_trie": OP13,
 }

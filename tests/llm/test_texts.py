@@ -4,12 +4,14 @@ import hashlib
 import random
 import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
 
+from pointerloom.llm.oracles import OP8
 from pointerloom.llm import fingerprints, html_text, ngram_join, pieces, quality, toxicity
 from pointerloom.llm.common import Memo
 
@@ -334,3 +336,25 @@ def test_document_logit_is_the_mean_of_words():
     logit = 0.3 + float(model.logits[ids] @ np.array(weights))
     assert abs(model.score(text, model.scorer()) - 1 / (1 + np.exp(-logit))) < 1e-12
     assert abs(sum(weights) - 1) < 1e-9
+
+
+def test_join_like_sql_with_long_lists(spark):
+    """A family of 200 near copies, in lists far longer than are merged, and copies of it."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = f"x{k}"
+        rows.append((k * 2, " ".join(words)))
+    rows += [(1001 + k, rows[k % 5][1]) for k in range(40)]
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows += [(2001 + k, passage + " " + " ".join(f"u{k}x{i}" for i in range(60))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    names = "doc_id, n_shingles, component_id"
+    want = sorted(db.sql(f"SELECT {names} FROM ({OP8})").fetchall())
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(docs).select(*names.split(", ")).collect())
+    assert got == want and len({c for *_, c in got}) > 60
