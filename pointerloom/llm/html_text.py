@@ -1,16 +1,21 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
-A page is cut at block tags into flat runs of text. Each has its words, the share
-of them in links, the same of its neighbours, and what stands around it. A
-decision tree says which blocks are main text. It is grown from a small labelled
-table below, by the usual Gini splits.
+A page is cut at block tags into flat runs of text. A block has its words and the share
+of them in links, the same of two neighbours on each side, how much plain text these
+hold, where it stands, and what kind of element it is in. Tags and names that pages use
+for what is around their text count by how little of the page's text their element
+holds: a form around a whole page, or a column that is called "with-sidebar", says
+nothing. A decision tree tells which blocks are main text. It is grown from the small
+labelled pages below, by the usual Gini splits.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,83 +23,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = (
-    "words", "links", "words_before", "links_before", "words_after", "links_after",
-    "in_article", "in_frame", "named_frame", "heading",
+    "words", "links", "words_before", "links_before", "words_two_before", "links_two_before",
+    "words_after", "links_after", "words_two_after", "links_two_after", "plain_around",
+    "position", "article", "framed", "named", "heading",
 )
 
-# The labelled table: features as above and whether the block is main text.
-# in_article: inside article or main; in_frame: inside nav, footer, form and the like;
-# named_frame: a class or id says so.
+# The labelled table: a page a line, its blocks in order. + is main text; then what the
+# block is in: a article, h heading, f an element for a page's frame (F one around it
+# all), n an element named so (N one around it all); then words, and after / the percent
+# of them in links.
 LABELLED = """
-60 0 8 0 45 0 1 0 0 0 | 1
-45 0 60 0 3 0 1 0 0 0 | 1
-3 0 45 0 80 0 1 0 0 0 | 1
-1 0 30 0 12 0 1 0 0 0 | 1
-2 0 0 0 2 0 1 0 0 0 | 1
-8 0 10 0 60 0 1 0 0 1 | 1
-3 0 1 1 40 0 1 0 0 1 | 1
-25 .2 40 0 30 0 1 0 0 0 | 1
-12 .9 40 0 30 0 1 0 0 0 | 1
-4 1 30 0 25 0 1 0 0 0 | 1
-6 .5 9 0 9 0 1 0 0 0 | 1
-120 .02 50 0 20 1 1 0 0 0 | 1
-3 0 40 0 4 1 1 0 0 0 | 1
-5 0 30 0 1 1 1 0 0 0 | 1
-2 0 6 0 1 1 1 0 0 0 | 1
-9 0 3 1 2 1 1 0 0 0 | 1
-1 0 1 1 1 1 1 0 0 0 | 1
-14 0 50 0 3 1 1 0 0 0 | 1
-2 1 12 0 1 1 1 0 0 0 | 1
-200 0 3 1 6 0 0 0 0 0 | 1
-80 .03 5 1 70 0 0 0 0 0 | 1
-40 .1 80 0 4 0 0 0 0 0 | 1
-35 0 2 0 50 0 0 0 0 0 | 1
-6 0 50 0 45 0 0 0 0 0 | 1
-4 0 60 0 60 0 0 0 0 1 | 1
-9 0 1 1 70 0 0 0 0 1 | 1
-7 0 0 0 55 0 0 0 0 1 | 1
-22 .15 40 0 35 0 0 0 0 0 | 1
-15 0 30 0 20 0 0 0 0 0 | 1
-11 0 20 0 18 0 0 0 0 0 | 1
-5 0 40 .05 30 0 0 0 0 0 | 1
-18 0 0 0 0 0 0 0 0 0 | 1
-90 0 0 0 0 0 0 0 0 0 | 1
-30 .3 60 0 50 .1 0 0 0 0 | 1
-1 1 1 1 1 1 0 1 0 0 | 0
-2 1 0 0 1 1 0 1 0 0 | 0
-1 1 1 1 9 0 0 1 0 0 | 0
-14 0 90 0 0 0 0 1 0 0 | 0
-60 0 70 0 0 0 0 1 0 0 | 0
-130 0 40 0 30 0 0 1 0 0 | 0
-25 .1 3 1 4 1 0 1 0 0 | 0
-5 0 0 0 8 0 0 1 0 1 | 0
-3 0 40 0 5 0 0 1 0 1 | 0
-40 0 60 0 50 0 1 1 0 0 | 0
-2 0 60 0 50 0 1 1 0 0 | 0
-4 1 50 0 50 0 1 1 0 0 | 0
-10 0 1 1 9 0 0 0 1 0 | 0
-12 0 1 1 80 0 0 0 1 0 | 0
-70 0 50 0 40 0 0 0 1 0 | 0
-150 0 80 0 60 0 0 0 1 0 | 0
-33 0 60 0 0 0 0 0 1 0 | 0
-2 0 30 0 30 0 0 0 1 1 | 0
-6 1 5 1 6 1 0 0 1 0 | 0
-20 0 50 0 40 0 1 0 1 0 | 0
-60 0 50 0 40 0 1 0 1 0 | 0
-3 1 40 0 40 0 1 0 1 0 | 0
-4 0 90 0 20 0 1 0 1 1 | 0
-30 0 14 0 10 0 0 1 1 0 | 0
-45 0 60 0 30 0 1 1 1 0 | 0
-1 1 1 1 1 1 0 0 0 0 | 0
-2 1 1 1 2 1 0 0 0 0 | 0
-4 1 5 1 60 0 0 0 0 0 | 0
-6 1 60 0 5 1 0 0 0 0 | 0
-9 .8 7 .9 8 .9 0 0 0 0 | 0
-20 .9 10 1 12 1 0 0 0 0 | 0
-3 0 1 1 2 1 0 0 0 0 | 0
-2 0 2 1 3 1 0 0 0 1 | 0
-1 0 0 0 1 1 0 0 0 0 | 0
-5 .6 4 1 4 1 0 0 0 0 | 0
+-f1/100 -f1/100 -f1/100 -f1/100 -n11 +ah9 +a9 +a40 +a25 +a3 +a60 +a12 -f12
+-f1/100 -f1/100 -f1/100 -n12 +ah2 +a2 -f9
+-f1/100 -f1/100 -n20 +ah1 +a1 +a6 -f16
+-f1/100 -f1/100 -n9 +ah10 +a10 +a30 +a2 +a1 -f7
+-f2/100 -f1/100 -n14 +ah4 +a160 -f12
+-f1/100 -f1/100 -n4 +ah6 +a6 -f3
+-f1/100 -n8 +ah7 +a40 +a2 +a48 +a7 -f12
+-f1/100 -n9 +ah5 +a123 +a1 +a9 -f11
+-f1/100 -f1/100 -n9 +ah5 +a15 +a43 +a4 +a9 -f9
+-f1/100 -n10 +ah11 +a138 +a7 +a79 +a3 +a2 -f16
+-f1/100 -f1/100 -f1/100 -n7 +ah3 +a3 +a1 +a30 +a90 +a60 +a25 +a70 +a44 +a1 +a2 +a4 -f6
+-f1/100 +ah3 +a2 -af1 -f7
+-f1/100 +ah6 +a40 -af20 +a50 -af8 -f7
+-1/100 +ah4 +a70 -af60 -af30/10 -f7
+-f1/100 -n13 +ah6 +a19 +a34 -f10
+-f1/100 -n9 +ah8 +a27 +a36 -f15
+-f1/100 -n8 +ah5 +a11 +a37 -f7
+-f1/100 -n7 +ah5 +a25 +a35 -f8
+-1/100 -1/100 -2/100 -4 +h8 +45 +60 +6 +38 +70 -2/100 -3/100 -7
+-1/100 -2/100 -1/100 -9 -3/100 +h7 +80 +22/10 +5 +50 +44 -2/100 -11 -1/100 -1/100
+-1/100 -1/100 -5 +h5 +120 +3 +90 +35/20 -1/100 -6 -2/100
+-4 -1/100 -1/100 -1/100 +h9 +30 +28 +41 +33 -1/100 -1/100 -1/100 -12 -1/100
+-2 -1/100 -2/100 -3 -1/100 +25 +60 +4 +55 +31 -3/100 -2/100 -9 -2/100
+-f1/100 -f2/100 +Nh6 +N60 +N45 +N30 +N52 -f10
+-f1/100 -n6 +Nh8 +N70 +N12 +N44 +N2 +N61 -f8
+-n1/100 -n2/100 +Nh4 +N64 +N50 -n9 -n1/100
+-1/100 -1/100 +h5 +50 +70 +40 +35 -n3 -n40 -n30 -1/100
+-f1/100 +ah8 +a70 +a55 +a40 -nh2 -n2 -n35 -n2 -n60 -n1/100 -f8
+-1/100 -1/100 +h8 +70 +55 +40 +90 -nh2 -n2 -n35 -n2 -n60 -n45 -n1/100 -8
+-f1/100 +ah3 +a20 -nh1 -n2 -n40 -n25 -f5
++ah7 +a50 -an25 +a60 -an1/100 -an1/100 +a45 -an2 -an12/100 -an9/100 -f7
+-Ff1/100 -Ff1/100 +Fh6 +F60 +F40 +F30 +F20 -Ff5 -Ff2/100
+-f3 -f2 -f1 +h6 +50 +44 +38 -f20 -f4
+-14/10 -1/100 -1/100 +h6 +66 +40 +52 -1/100 -8
+-f30 -f25 +ah6 +a40 +a33 -f130 -f40
+-f1/100 -n9 -f4
+-1/100 -2/100 -1/100 -3 -1/100 -1/100
+-n10 -n1/100 -f2
+-n12/100 -f6
+-5 +60 +60
+-5 +60 +50 -3
+-4 +h6 +60 +30 -6
+-3 +45 +70 +4 +52 +33 -4
++h5 +60 +5 +70 +3 +44
++18
++90
++h4 +30
++h6 +22 +35 +4
++ah5 +a40 +a3 +a4 +a2 +a30 +a1/100 +a28
++ah5 +a20 +a1/100 +a2/100 +a4/100 +a30 -f9
+-f1/100 +ah4 +a50 +a12/90 +a6/50 +a120/2 +a3 -f6
 """
 
 # Fixed values of HTML.
@@ -151,32 +140,93 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return named, header
 
 
+@dataclass
+class Block:
+    """A flat run of text and the elements it stands in."""
+
+    words: int
+    links: float
+    article: bool
+    heading: bool
+    frame: int
+    name: int
+
+
+@dataclass
+class Elements:
+    """Elements that may be a page's frame, each with the nearest one around it and its plain words."""
+
+    around: list[int] = field(default_factory=list)
+    plain: list[float] = field(default_factory=list)
+
+    def open(self, around: int) -> int:
+        self.around.append(around)
+        self.plain.append(0.0)
+        return len(self.plain) - 1
+
+    def weights(self, total: float) -> list[float]:
+        """How little of a page's plain words each holds; the last is that of no element."""
+        for x in range(len(self.plain) - 1, -1, -1):
+            if self.around[x] >= 0:
+                self.plain[self.around[x]] += self.plain[x]
+        return [1 - p / max(total, 1) for p in self.plain] + [0.0]
+
+
+def features(blocks: list[Block], frames: Elements, names: Elements) -> list[list[float]]:
+    """FEATURES of every block of a page."""
+    plain = [b.words * (1 - b.links) for b in blocks]
+    for b, words in zip(blocks, plain):
+        for kind, at in ((frames, b.frame), (names, b.name)):
+            if at >= 0:
+                kind.plain[at] += words
+    framed, named = frames.weights(sum(plain)), names.weights(sum(plain))
+    any_article = any(b.article for b in blocks)
+    out = []
+    for k, b in enumerate(blocks):
+        row = [float(b.words), b.links]
+        around = 0.0
+        for at in (k - 1, k - 2, k + 1, k + 2):
+            inside = 0 <= at < len(blocks)
+            row += [float(blocks[at].words), blocks[at].links] if inside else [0.0, 0.0]
+            around += plain[at] if inside else 0.0
+        row += [around, k / len(blocks), float(b.article) - float(any_article and not b.article)]
+        out.append([*row, framed[b.frame], named[b.name], float(b.heading)])
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[str, list[float]]]:
     """Flat text blocks of a page in order, with their features."""
-    stack: list[tuple[str, bool, bool, bool]] = []
-    found: list[tuple[str, list[float]]] = []
+    stack: list[tuple[str, bool, int, int]] = []
+    on_stack: Counter = Counter()
+    found: list[str] = []
+    blocks: list[Block] = []
+    frames, names = Elements(), Elements()
     text: list[str] = []
     linked = 0
     in_link = False
-    article = frame = named = heading = 0
+    article = heading = 0
+    frame = name = -1
 
     def close() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
             n = joined.count(" ") + 1
-            flags = [article > 0, frame > 0, named > 0, heading > 0]
-            found.append((joined, [n, min(1.0, linked / n), 0, 0, 0, 0, *map(float, flags)]))
+            found.append(joined)
+            blocks.append(Block(n, min(1.0, linked / n), article > 0, heading > 0, frame, name))
         text.clear()
         linked = 0
 
-    def leave(entry: tuple[str, bool, bool, bool]) -> None:
-        nonlocal article, frame, named, heading
-        tag, is_article, is_frame, is_named = entry
-        article -= is_article
-        frame -= is_frame
-        named -= is_named
-        heading -= tag in HEADINGS
+    def leave(tag: str) -> None:
+        """End the innermost open element of a tag, and all inside it."""
+        nonlocal article, heading, frame, name
+        while True:
+            inner, is_article, frame, name = stack.pop()
+            on_stack[inner] -= 1
+            article -= is_article
+            heading -= inner in HEADINGS
+            if inner == tag:
+                return
 
     at = 0
     while True:
@@ -210,12 +260,8 @@ def blocks_of(page: str) -> list[tuple[str, list[float]]]:
             close()
             in_link = in_link and not closing
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for entry in stack[k:]:
-                        leave(entry)
-                    del stack[k:]
-                    break
+            if on_stack[tag]:
+                leave(tag)
             continue
         if tag in VOID or (not is_block and not attributes):
             continue
@@ -223,39 +269,48 @@ def blocks_of(page: str) -> list[tuple[str, list[float]]]:
         if tag in ("html", "body", "main", "article"):
             is_named = is_header = False
         is_frame = tag in FRAME or ((tag == "header" or is_header) and not article)
-        is_article = tag in ("article", "main")
         if not is_block and not is_named:
             continue
-        if tag == "p" or tag == "li" or tag in HEADINGS:
+        if (tag == "p" or tag == "li" or tag in HEADINGS) and on_stack[tag]:
             # These end an open one of their kind.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for entry in stack[k:]:
-                        leave(entry)
-                    del stack[k:]
+            for entry in reversed(stack):
+                if entry[0] == tag:
+                    leave(tag)
                     break
-                if stack[k][0] in BLOCK:
+                if entry[0] in BLOCK:
                     break
-        stack.append((tag, is_article, is_frame, is_named))
+        is_article = tag in ("article", "main")
+        stack.append((tag, is_article, frame, name))
+        on_stack[tag] += 1
+        frame = frames.open(frame) if is_frame else frame
+        name = names.open(name) if is_named else name
         article += is_article
-        frame += is_frame
-        named += is_named
         heading += tag in HEADINGS
     close()
-    for k, (_, x) in enumerate(found):
-        if k:
-            x[2], x[3] = found[k - 1][1][:2]
-        if k + 1 < len(found):
-            x[4], x[5] = found[k + 1][1][:2]
-    return found
+    return list(zip(found, features(blocks, frames, names)))
 
 
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    rows = [line.split("|") for line in LABELLED.strip().splitlines()]
-    return (
-        np.array([[float(v) for v in x.split()] for x, _ in rows]),
-        np.array([int(y) for _, y in rows]),
-    )
+    """Features and labels of the blocks of the labelled pages."""
+    rows, labels = [], []
+    for line in LABELLED.strip().splitlines():
+        blocks, frames, names, last = [], Elements(), Elements(), ""
+        whole = {k: e.open(-1) if k in line else -1 for k, e in (("F", frames), ("N", names))}
+        open_ = {"f": -1, "n": -1}
+        for token in line.split():
+            label, kinds, words, links = re.fullmatch(r"([+-])([a-zFN]*)(\d+)(?:/(\d+))?", token).groups()
+            for kind, outer, elements in (("f", "F", frames), ("n", "N", names)):
+                if kind in kinds and kind not in last:
+                    open_[kind] = elements.open(whole[outer] if outer in kinds else -1)
+            inside = lambda kind, outer: (
+                open_[kind] if kind in kinds else whole[outer] if outer in kinds else -1
+            )
+            share = int(links or 0) / 100
+            blocks.append(Block(int(words), share, "a" in kinds, "h" in kinds, inside("f", "F"), inside("n", "N")))
+            labels.append(int(label == "+"))
+            last = kinds
+        rows += features(blocks, frames, names)
+    return np.array(rows), np.array(labels)
 
 
 def grow(x: np.ndarray, y: np.ndarray, least: int = 2) -> tuple:
@@ -285,7 +340,7 @@ def is_text(tree: tuple, x: list[float]) -> bool:
     while len(tree) > 1:
         k, limit, below, above = tree
         tree = below if x[k] < limit else above
-    return tree[0] >= 0.5
+    return tree[0] > 0.5
 
 
 def main_text(page: str, tree: tuple) -> str:

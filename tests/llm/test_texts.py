@@ -208,6 +208,45 @@ def test_pages(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("element", [
+    '<div class="content with-sidebar">', '<div id="main" class="col no-comments">',
+    '<div class="article-body share-enabled">', '<section class="search-results-page article">', "<form>",
+])
+def test_names_of_the_whole_page_say_nothing(element):
+    tree = html_text.grow(*html_text.labelled_blocks())
+    page = f"<nav><a href=x>Home</a></nav>{element}<h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p>"
+    assert html_text.main_text(page + "</div></section></form><footer>Imprint here</footer>", tree) == (
+        f"Title of it\n\n{LONG}\n\n{LONG}"
+    )
+
+
+def test_neighbours_decide_without_tags():
+    tree = html_text.grow(*html_text.labelled_blocks())
+    among = lambda *texts: html_text.main_text("".join(f"<div>{t}</div>" for t in texts), tree)
+    link = "<a href=x>More here</a>"
+    assert "few words only" in among("<h2>Some title</h2>", LONG, "few words only", LONG, link)
+    assert "few words only" not in among(link, link, "few words only", link, link)
+    assert among("Menu one two three four", LONG, LONG) == f"{LONG}\n\n{LONG}"
+    used = {k for k, *_ in nodes(tree)}
+    assert used & set(range(2, 11))
+
+
+def nodes(tree):
+    if len(tree) > 1:
+        yield tree
+        yield from nodes(tree[2])
+        yield from nodes(tree[3])
+
+
+def test_deep_pages_in_linear_time():
+    start = time.perf_counter()
+    html_text.blocks_of("<div>" * 100_000 + "</b>" * 100_000 + "<p class=ad>x" * 20_000)
+    assert time.perf_counter() - start < 20
+
+
 def test_tree_learns_its_table():
     x, y = html_text.labelled_blocks()
     tree = html_text.grow(x, y)
