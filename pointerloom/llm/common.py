@@ -44,6 +44,11 @@ def kept(key, make):
     return _kept[key]
 
 
+def release() -> None:
+    """Give up what the worker process held for another operator."""
+    _kept.clear()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8, null as the empty text."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import portions, texts_of, written
+from pointerloom.llm.common import portions, release, texts_of, written
 from pointerloom.llm.graph import components, contiguous
 
 WORDS = 5
@@ -46,7 +46,7 @@ SHORT_LIST = 24
 STAR_ROUNDS = 2
 #: Lists above this many rows are compared on Spark, in blocks of as many rows.
 LIST_ROWS = 10_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 COUNT_BLOCKS = 256
 #: Ids of candidates are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
@@ -107,6 +107,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Counts go by the upper 32 bits of the hashes, which bounds their table. Sets
     met before in the partition are not counted again.
     """
+    release()
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -183,6 +184,7 @@ def _short_lists(values: np.ndarray, ranks: np.ndarray, blocks: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[bytes] = set()
         held: list[tuple] = []
         size = 0
@@ -257,6 +259,7 @@ LISTS = ("list", "doc", "size", "place", "component")
 
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from the short lists of a partition; long lists as they are."""
+    release()
     parts = []
     for batch in batches:
         for data in batch.column("postings").to_pylist():
@@ -318,6 +321,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in portions(batches):
         data = [shingles(t).tobytes() for t in texts_of(batch, "text")]
         yield pa.RecordBatch.from_arrays(
@@ -347,6 +351,7 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         # Sets are compared where Arrow holds them, without copies.
         pairs = zip(batch.column("left"), batch.column("right"))

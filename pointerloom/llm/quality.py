@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import Memo, labelled_sample, portions, texts_of
+from pointerloom.llm.common import Memo, labelled_sample, portions, release, texts_of
 
 # At most this many labelled documents are learned from.
 SAMPLE_ROWS = 2_500
@@ -179,6 +179,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             scores = [model.score(t, memo) for t in texts_of(batch, "text")]
@@ -195,6 +196,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -
     """Rows whose score is at least ``threshold``, all columns as they were; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             keep = [model.score(t, memo) >= threshold for t in texts_of(batch, "text")]

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import Memo, labelled_sample, portions, texts_of
+from pointerloom.llm.common import Memo, labelled_sample, portions, release, texts_of
 
 # At most this many labelled documents are learned from.
 SAMPLE_ROWS = 24_000
@@ -219,6 +219,7 @@ def _calibrate(model: ToxicModel, sample: DataFrame) -> ToxicModel:
     """Fit the law of clean segments, then the curve from evidence to probability."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             rows = []
@@ -277,6 +278,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             scores = [model.score(t, memo) for t in texts_of(batch, "text")]
@@ -295,6 +297,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             rows = []
@@ -316,6 +319,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
     """Rows whose score is below ``threshold``, all columns as they were; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = model.scorer()
         for batch in portions(batches):
             keep = [model.score(t, memo) < threshold for t in texts_of(batch, "text")]
