@@ -142,51 +142,63 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Edited: the last third of the characters gives way to the first as many of
     the next document in descending ``doc_id``, after the last the first.
 
-    Texts are shuffled once, by id; only the beginnings that edits need and the
-    fingerprints travel again. ``doc_id`` names a row: of rows that repeat one
-    the least text counts. Null ids are left out, null texts are empty, a single
-    document is its own next one, other columns are ignored.
+    Every row counts: texts are shuffled once, by a hash of id and text, so rows of
+    one id and rows without id are spread; only the beginnings that edits need and
+    the fingerprints travel again. Rows of one id go in the order of that hash, and
+    null ids are the last. Equal rows are read once and returned as often as they
+    occur: each but the last has its own text as the next one. Null texts are empty,
+    a single document is its own next one, other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = (
-        docs.where("doc_id is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        .withColumn("_order", F.xxhash64("text"))
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # No id has a blank, so the key tells ids and texts apart.
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text")
+    rows = rows.withColumn("key", F.md5(name.cast("binary")))
     # The numbering moves lengths only.
     lengths = (
-        rows.select("doc_id", "_order", F.char_length("text").cast("long").alias("n_chars"))
-        .groupBy("doc_id")
-        .agg(F.min_by("n_chars", "_order").alias("n_chars"))
+        rows.select("key", "doc_id", F.char_length("text").cast("long").alias("n_chars"))
+        .groupBy("key")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.first("n_chars").alias("n_chars"),
+            F.count(F.lit(1)).alias("copies"),
+        )
     )
-    rows = rows.groupBy("doc_id").agg(F.min_by("text", "_order").alias("text"))
-    numbered = number_rows(lengths, ["doc_id"])
+    rows = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    numbered = number_rows(lengths, ["doc_id", "key"])
     total = numbered.count()
+    third = F.expr("n_chars div 3").alias("asked")
     # Descending: the next document has the number before, the first one the last.
     before = numbered.select(
-        F.col("doc_id").alias("asker"),
-        F.expr("n_chars div 3").alias("asked"),
+        F.col("key").alias("asker"),
+        third,
         F.pmod(F.col("idx") - 1, F.lit(max(total, 1))).alias("idx"),
     )
-    asked = numbered.join(before, "idx").select("doc_id", "asker", "asked")
+    asked = numbered.join(before, "idx").select(
+        "key", "asker", "asked", F.lit(1).cast("long").alias("times")
+    )
+    again = numbered.where("copies > 1").select(
+        "key", F.col("key").alias("asker"), third, (F.col("copies") - 1).alias("times")
+    )
     printed = with_fingerprint(rows, "text", "fingerprint")
-    given = printed.join(asked, "doc_id").select(
-        F.col("asker").alias("doc_id"),
+    given = printed.join(asked.unionByName(again), "key").select(
+        F.col("asker").alias("key"),
         F.substring("text", F.lit(1), F.col("asked").cast("int")).alias("beginning"),
         F.col("fingerprint").alias("next_fingerprint"),
+        "times",
     )
     n, third = F.char_length("text"), F.expr("char_length(text) div 3")
     edited = (
-        printed.join(given, "doc_id")
+        printed.join(given, "key")
         .withColumn("n_chars", n.cast("long"))
         .withColumn(
             "edited",
             F.concat(F.substring("text", F.lit(1), n - third.cast("int")), "beginning"),
         )
-        .drop("text", "beginning")
+        .drop("key", "text", "beginning")
     )
     both = with_fingerprint(edited, "edited", "edited_fingerprint")
-    return both.select(
+    shown = both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -194,4 +206,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "times",
     )
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return shown.select("*", repeated.alias("_time")).drop("times", "_time")
