@@ -8,7 +8,14 @@ is checked, not assumed.
 Where no piece has the marker behind another character, merges never cross the
 beginning of a word, so a text is the sequence of its words and a word met
 before need not be encoded again. This does not hold for a model with a
-character map; it gets whole texts.
+character map; it gets whole texts, and so does a unigram model.
+
+In a unigram model a user-defined piece gets the bonus by which sentencepiece always
+takes it; pieces that no text may match (controls, bytes, unused ones) are under
+names that no text has, and characters without a piece are turned into bytes here.
+Sums of scores are in double precision: of ways with equal scores another one than
+sentencepiece's, which sums in single precision, may be taken; parity tells such rows.
+User-defined pieces of a BPE model, and such as a character map would change, are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.llm.common import texts_of
+from pointerloom.llm.common import kept, texts_of
 
 MARKER = "▁"
 # Fixed values of the model format.
@@ -34,6 +41,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 MEMO_LIMIT = 800_000
 BLOCK = 1_000
+# A noncharacter: what no text begins with.
+NO_TEXT = "\ufdd0"
+# Of the user-defined bonus, and the least value of the best score (fixed values).
+BONUS_OFF, LEAST_BEST = 0.1, float(np.finfo(np.float32).tiny)
 CHUNK = re.compile(rb" ( *[^ ]*)")
 
 
@@ -114,16 +125,37 @@ def merges_of(model: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def unigram_scores(model: PieceModel) -> list[tuple[str, float]]:
+    """Pieces as a text may match them, with the scores the best path is made of."""
+    best = max([s for _, s, kind in model.pieces if kind == NORMAL], default=0.0)
+    bonus = max(best, LEAST_BEST)
+    rows = []
+    for at, (piece, score, kind) in enumerate(model.pieces):
+        if kind == USER_DEFINED:
+            shown = piece.replace(" ", MARKER) if model.escape_spaces else piece
+            rows.append((shown, bonus * len(shown.encode()) - BONUS_OFF))
+        elif kind == NORMAL:
+            rows.append((piece, score))
+        else:
+            # Zero leaves the least score, which that of unknown characters rests on.
+            rows.append((f"{NO_TEXT}{at}", 0.0))
+    return rows
+
+
 def build_tokenizer(model: PieceModel):
     """The tokenizers library's form of the model, with its decoder."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+    own = [p for p, _, kind in model.pieces if kind == USER_DEFINED]
+    if own and model.kind == BPE:
+        raise ValueError("user-defined pieces of a BPE model are not supported")
+    if own and model.charsmap:
+        mapped = normalizers.Precompiled(model.charsmap).normalize_str
+        changed = [p for p in own if mapped(p) != p]
+        if changed:
+            raise ValueError(f"the character map changes user-defined pieces: {changed}")
     if model.kind == UNIGRAM:
-        core = models.Unigram(
-            [(p, s) for p, s, _ in model.pieces],
-            unk_id=model.unk,
-            byte_fallback=model.byte_fallback,
-        )
+        core = models.Unigram(unigram_scores(model), unk_id=model.unk, byte_fallback=False)
     elif model.kind == BPE:
         core = models.BPE(
             vocab={p: i for i, (p, _, _) in enumerate(model.pieces)},
@@ -178,6 +210,10 @@ class PieceEncoder:
             [names.index(MARKER)] if MARKER in names else [], dtype=self.dtype
         ).tobytes()
         self.table = [self._surface(p, kind) for p, _, kind in self.model.pieces]
+        self.bytes = {}
+        if self.model.kind == UNIGRAM and self.model.byte_fallback:
+            kinds = [kind for *_, kind in self.model.pieces]
+            self.bytes = {self.table[i][0]: i for i, kind in enumerate(kinds) if kind == BYTE}
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -187,9 +223,23 @@ class PieceEncoder:
         text = self.model.unk_surface if kind == UNKNOWN else piece
         return text.replace(MARKER, " ").encode()
 
+    def _with_bytes(self, ids: list[int], parts: list[str]) -> list[int]:
+        """Ids with the bytes of what no piece stands for."""
+        out = []
+        for i, part in zip(ids, parts):
+            out += [self.bytes[b] for b in part.encode()] if i == self.model.unk else [i]
+        return out
+
     def _coded(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = [c.ids for c in coded]
+        if self.bytes:
+            unk = self.model.unk
+            odd = [k for k, i in enumerate(ids) if unk in i]
+            # Only the slower way tells what an unknown piece was.
+            full = self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False)
+            for k, c in zip(odd, full):
+                ids[k] = self._with_bytes(c.ids, c.tokens)
         same = [True] * len(ids)
         if self.other is not None:
             same = [a == b for a, b in zip(ids, self.other.encode(texts, num_threads=self.threads))]
@@ -268,7 +318,8 @@ def piece_tokens(
     schema += "parity boolean" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = PieceEncoder(path, threads, verify)
+        make = lambda: PieceEncoder(path, threads, verify)
+        code = kept(("pieces", path, threads, verify), make)
         for batch in batches:
             texts = texts_of(batch, "text")
             coded, same = code.encode(texts)

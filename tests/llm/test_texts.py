@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import struct
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -148,26 +150,30 @@ def test_merge_counts_occurrences():
 
 
 def test_fingerprints(make):
-    rows = [*family(), (900, "é" * 7), (900, "zz"), (None, "x")]
-    once = {}
-    for k, t in rows:
-        once.setdefault(k, []).append(t or "")
-    got = fingerprints.edited_fingerprints(make(rows, extra=True)).orderBy("doc_id").collect()
-    assert [r.doc_id for r in got] == sorted(k for k in once if k is not None)
+    rows = [*family(), (900, "é" * 7), (900, "zz"), (None, "x"), (None, None), (None, "x y " * 9)]
+    rows += [(901, "a b c d e f g"), (901, "a b c d e f g"), (901, "a b c d e f g"), (5, "4 5")]
+    got = fingerprints.edited_fingerprints(make(rows, extra=True)).collect()
+    place = lambda k, t: (k is not None, k or 0, hashlib.md5(f"{'' if k is None else k} {t}".encode()).digest())
+    texts = sorted(((k, t or "") for k, t in rows), key=lambda r: place(*r))
+    want, values = Counter(), {}
+    for at, (key, text) in enumerate(texts):
+        other, third = texts[at - 1][1], len(text) // 3
+        edited = text[: len(text) - third] + other[:third]
+        row = (key, len(text), hashlib.sha256(edited.encode()).hexdigest())
+        want[row] += 1
+        values.setdefault(row, []).append((text, edited, other))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     prints, errors = {}, []
-    for at, r in enumerate(got):
-        following = got[at - 1].doc_id
-        if 900 in (r.doc_id, following):
+    for r in got:
+        found = values[r.doc_id, r.n_chars, r.edited_sha256]
+        if len(set(found)) > 1:
             continue
-        text, other = once[r.doc_id][0], once[following][0]
-        third = len(text) // 3
-        edited = text[: len(text) - third] + other[:third]
-        assert r.n_chars == len(text)
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        text, edited, other = found[0]
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
         for value, like in ((r.near_edited, edited), (r.near_next, other)):
             x, y = plain_shingles(text), plain_shingles(like)
             errors.append(value - (len(x & y) / len(x | y) if x | y else 1.0))
+    assert len(errors) > len(rows)
     assert max(map(abs, errors)) < 0.2 and abs(np.mean(errors)) < 0.02
     lengths = {len(r.fingerprint) for r in got}
     assert lengths == {0, fingerprints.BINS}
@@ -278,6 +284,112 @@ def test_pieces_like_sentencepiece(make):
     assert pieces.piece_tokens(make([]), MODEL).collect() == []
 
 
+def wire(fields):
+    """A protobuf message of (number, value): texts and bytes, floats, whole numbers."""
+    out = b""
+
+    def varint(n):
+        parts = []
+        while n > 127:
+            parts.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*parts, n])
+
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(data)) + data
+    return out
+
+
+def unigram_model(path, byte_fallback, charsmap, trim, prefix, seed=6, step=8):
+    """A model file written by hand: letters, parts of words, pieces of every kind.
+
+    Scores are whole eighths, whose sums are exact in single precision too, or any if ``step`` is 0.
+    """
+    rng = random.Random(seed)
+    words = [f"{pieces.MARKER}{w}" for w in "the text other word ein und noch Das ist mississippi".split()]
+    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 2, len(w) + 1)}
+    normal = sorted(set("abcdefghijklmnoprstuwxyD,.!<0x41>") | {pieces.MARKER} | set(rng.sample(sorted(parts), 120)))
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("<sep>", 0.0, 4), ("[x]", 0.0, 4)]
+    rows += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    score = lambda: -rng.randrange(2 * step, 14 * step) / step if step else -rng.uniform(2, 14)
+    rows += [(w, score(), 1) for w in normal] + [("zzunusedzz", -1.0, 5), ("q", -3.0, 5)]
+    trainer = [(3, 1), (4, len(rows)), (35, int(byte_fallback))]
+    normaliser = [(2, charsmap)] if charsmap else []
+    normaliser += [(3, int(prefix)), (4, int(trim)), (5, 1)]
+    message = [(1, wire([(1, w), (2, score), (3, kind)])) for w, score, kind in rows]
+    with open(path, "wb") as f:
+        f.write(wire([*message, (2, wire(trainer)), (3, wire(normaliser))]))
+    return str(path)
+
+
+UNIGRAM_TEXTS = [
+    "", " ", "the text", "  the  other   word ", "a<sep>b [x][x]c <sep>", "zzunusedzz q", "<s> </s> <unk>",
+    "<0x41> A <0x00>", "mississippi " * 300, "日本 é ü\x00 e\u0301 Das", "ｆｕｌｌ ﬁ ½ ①\u3000x\ty\nz", "thetextqq日otherword",
+]
+
+
+@pytest.mark.parametrize("trim,prefix", [(True, True), (False, True), (True, False)])
+@pytest.mark.parametrize("mapped", [False, True])
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_like_sentencepiece(tmp_path, byte_fallback, mapped, trim, prefix):
+    charsmap = b""
+    if mapped:
+        rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        charsmap = pieces.parse_model(rule).charsmap
+        assert charsmap
+    path = unigram_model(tmp_path / "u.model", byte_fallback, charsmap, trim, prefix)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    code = pieces.PieceEncoder(path, verify=True)
+    rng = random.Random(1)
+    texts = UNIGRAM_TEXTS + ["".join(rng.choices("the xo<sep>qwü,. 日", k=rng.randrange(60))) for _ in range(400)]
+    coded, same = code.encode([t.encode() for t in texts])
+    for text, ids, equal in zip(texts, coded, same):
+        want = other.encode(text)
+        assert np.frombuffer(ids, code.dtype).tolist() == want, text
+        assert equal and code.decode(ids).decode() == other.decode(want), text
+
+
+def test_unigram_ties_are_told_by_parity(tmp_path):
+    """sentencepiece sums in single precision: ways of equal score may differ, and parity says so."""
+    path = unigram_model(tmp_path / "u.model", True, b"", True, True, step=0)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    code = pieces.PieceEncoder(path, verify=True)
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("the xopw,. ", k=rng.randrange(60))) for _ in range(600)]
+    coded, same = code.encode([t.encode() for t in texts])
+    ids = [np.frombuffer(i, code.dtype).tolist() for i in coded]
+    assert same == [a == other.encode(t) for a, t in zip(ids, texts)] and sum(same) > 550
+    total = lambda seq: sum(other.get_score(int(i)) for i in seq)
+    for a, t in zip(ids, texts):
+        assert total(a) == pytest.approx(total(other.encode(t)), abs=1e-4)
+
+
+def test_unigram_query_rows(make, tmp_path):
+    path = unigram_model(tmp_path / "u.model", True, b"", True, True)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = pieces.piece_tokens(make([*enumerate(UNIGRAM_TEXTS), (99, None)]), path).collect()
+    assert len(got) == len(UNIGRAM_TEXTS) + 1
+    for r in got:
+        assert r.parity and r.ids == other.encode("" if r.doc_id == 99 else UNIGRAM_TEXTS[r.doc_id])
+
+
+def test_pieces_that_cannot_be_kept_whole_are_refused(tmp_path):
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    model = pieces.PieceModel([("<unk>", 0.0, 2), ("ﬁ", 0.0, 4), ("a", -1.0, 1)])
+    model.charsmap = pieces.parse_model(rule).charsmap
+    with pytest.raises(ValueError, match="character map"):
+        pieces.build_tokenizer(model)
+    model = pieces.PieceModel([("<unk>", 0.0, 2), ("<sep>", 0.0, 4), ("a", -1.0, 1)], kind=pieces.BPE)
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.build_tokenizer(model)
+
+
 def plain_segments(scores):
     """Maximal segments by their definition: the best first, then on both sides of it."""
     if not len(scores) or max(scores) <= 0:
