@@ -164,25 +164,28 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("copies"),
         )
     )
-    rows = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # Both uses below read the same two columns, hence the same shuffle.
+    rows = rows.groupBy("key").agg(F.first("text").alias("text"))
     numbered = number_rows(lengths, ["doc_id", "key"])
     total = numbered.count()
     third = F.expr("n_chars div 3").alias("asked")
     # Descending: the next document has the number before, the first one the last.
     before = numbered.select(
         F.col("key").alias("asker"),
+        "doc_id",
         third,
         F.pmod(F.col("idx") - 1, F.lit(max(total, 1))).alias("idx"),
     )
-    asked = numbered.join(before, "idx").select(
-        "key", "asker", "asked", F.lit(1).cast("long").alias("times")
+    asked = numbered.select("idx", "key").join(before, "idx").select(
+        "key", "asker", "doc_id", "asked", F.lit(1).cast("long").alias("times")
     )
     again = numbered.where("copies > 1").select(
-        "key", F.col("key").alias("asker"), third, (F.col("copies") - 1).alias("times")
+        "key", F.col("key").alias("asker"), "doc_id", third, (F.col("copies") - 1).alias("times")
     )
     printed = with_fingerprint(rows, "text", "fingerprint")
     given = printed.join(asked.unionByName(again), "key").select(
         F.col("asker").alias("key"),
+        "doc_id",
         F.substring("text", F.lit(1), F.col("asked").cast("int")).alias("beginning"),
         F.col("fingerprint").alias("next_fingerprint"),
         "times",
