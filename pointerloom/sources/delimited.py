@@ -17,6 +17,9 @@ from pointerloom.sources.listing import refuse_ignored
 # Columns that hold the time of an HMI record, the first present one counts (fixed values).
 HMI_TIME_COLUMNS = ("epoch", "initepoch", "timestamp")
 
+# A noncharacter: what no text holds.
+HIDDEN = "\uffff"
+
 
 def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Lines that are not empty, with the file, the split and a number rising in the split."""
@@ -36,22 +39,29 @@ def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
 
 
 def _cells(line: Column, delimiter: Column) -> Column:
-    """Fields of a line; a delimiter inside double quotes does not split."""
-    quoted = F.concat(delimiter, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    plain = F.split(line, delimiter)
-    return F.when(
-        F.contains(line, F.lit('"')),
-        F.transform(
-            F.split(line, quoted),
-            lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')),
+    """Fields of a line; a delimiter inside double quotes does not split.
+
+    Every second part between quotes is inside; its delimiters are hidden while the
+    line is split, so the work grows with the length of the line.
+    """
+    parts = F.transform(
+        F.split(line, '"'),
+        lambda part, i: F.when(i % 2 == 1, F.replace(part, delimiter, F.lit(HIDDEN))).otherwise(part),
+    )
+    cells = F.split(F.array_join(parts, '"'), delimiter)
+    bare = F.transform(
+        cells,
+        lambda c: F.replace(
+            F.regexp_replace(F.replace(c, F.lit(HIDDEN), delimiter), '^"|"$', ""), F.lit('""'), F.lit('"')
         ),
-    ).otherwise(plain)
+    )
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.split(line, delimiter))
 
 
 def _files(lines: DataFrame) -> DataFrame:
     """Header line per file and the line counts and first line of each split.
 
-    One row per split of a file: far fewer than lines, and combined map-side.
+    One row per split of a file: far fewer than lines.
     """
     splits = lines.groupBy("session_id", "split_start").agg(
         F.min("line_id").alias("first_id"),
@@ -75,23 +85,21 @@ def read_delimited(
     """Data lines as ``session_id, row_idx, names, cells``.
 
     ``row_idx`` counts the data lines of a file from 0. It comes from the line
-    counts of earlier splits, so lines are numbered without being sorted or
-    shuffled. ``delimiter`` may depend on the column ``header``.
+    counts of earlier splits, so lines are not sorted. The text is scanned once: its
+    lines are exchanged by file and split, and the table of splits, which holds
+    each header split once, is made from the same exchange. ``delimiter`` may
+    depend on the column ``header``.
     """
-    lines = _lines(spark, folder)
+    lines = _lines(spark, folder).repartition("session_id", "split_start")
     sep = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
+    files = _files(lines).withColumn("sep", sep).withColumn("names", _cells(F.col("header"), F.col("sep")))
     return (
-        lines.join(_files(lines), ["session_id", "split_start"])
+        lines.join(files.drop("header"), ["session_id", "split_start"])
         .withColumn(
             "row_idx", F.col("lines_before") + F.col("line_id") - F.col("first_id") - F.lit(1)
         )
         .where("row_idx >= 0")
-        .select(
-            "session_id",
-            "row_idx",
-            _cells(F.col("header"), sep).alias("names"),
-            _cells(F.col("line"), sep).alias("cells"),
-        )
+        .select("session_id", "row_idx", "names", _cells(F.col("line"), F.col("sep")).alias("cells"))
     )
 
 

@@ -1,4 +1,4 @@
-"""Files that Spark's readers pass over without a word.
+"""Which places exist, and which files Spark's readers pass over without a word.
 
 A listing by Spark leaves out names that begin with ``_``, also where such a file
 is given by its path, and all below a folder of such a name. Names that begin
@@ -11,21 +11,47 @@ from fnmatch import fnmatchcase
 
 from pyspark.sql import SparkSession
 
-# What may be left out besides hidden names; Spark itself decides.
+# Names worth a look; ``left_out`` decides.
 _SUSPECT = "{_*,*._COPYING_}"
+# Names of summary files that Spark reads, and of unfinished copies (fixed values).
+_SUMMARIES = ("_metadata", "_common_metadata")
+_UNFINISHED = "._COPYING_"
+
+
+def left_out(name: str) -> bool:
+    """Whether Spark passes over a file or folder of this name, hidden ones included.
+
+    A partition folder such as ``_k=1`` is read.
+    """
+    if name.startswith(_SUMMARIES):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith(_UNFINISHED)
+
+
+def _located(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def existing(spark: SparkSession, places: list[str]) -> dict[str, str]:
+    """Full names, with the scheme of their file system, of the places that exist."""
+    found = {}
+    for place in places:
+        fs, path = _located(spark, place)
+        if fs.exists(path):
+            found[place] = fs.makeQualified(path).toString()
+    return found
 
 
 def ignored_files(
     spark: SparkSession, folder: str | list[str], patterns: str | tuple[str, ...]
 ) -> list[str]:
-    """Paths at or below ``folder`` that match and that Spark would leave out, in order.
+    """Full names of files at or below ``folder`` that match and that Spark would leave out, in order.
 
     Folders are listed level by level in the JVM; only suspect names come to Python.
     """
     wanted = (patterns,) if isinstance(patterns, str) else patterns
-    jvm = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    filtered = jvm.org.apache.spark.util.HadoopFSUtils.shouldFilterOutPathName
+    make = spark._jvm.org.apache.hadoop.fs.Path
     found: set[str] = set()
 
     def take(path, start: int) -> None:
@@ -33,13 +59,12 @@ def ignored_files(
         if any(p.startswith(".") for p in parts):
             return
         if any(fnmatchcase(parts[-1], p) for p in wanted):
-            found.add(path.toUri().toString())
+            found.add(path.toString())
 
     def below(fs, base, depth: int) -> None:
-        suspects = fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, _SUSPECT)) or []
-        for status in suspects:
+        for status in fs.globStatus(make(base, _SUSPECT)) or []:
             path = status.getPath()
-            if not filtered(path.getName()):
+            if not left_out(path.getName()):
                 continue
             start = path.depth() - depth
             if status.isFile():
@@ -50,25 +75,28 @@ def ignored_files(
                 take(files.next().getPath(), start)
 
     for place in [folder] if isinstance(folder, str) else folder:
-        root = jvm.org.apache.hadoop.fs.Path(place)
-        fs = root.getFileSystem(conf)
+        fs, root = _located(spark, place)
         for status in fs.globStatus(root) or []:
             path = status.getPath()
-            if status.isFile() and filtered(path.getName()):
+            if status.isFile() and left_out(path.getName()):
                 take(path, path.depth())
         base, depth = root, 0
         # An empty level ends it; files have nothing below them.
         while len(fs.globStatus(base) or []):
             below(fs, base, depth)
-            base, depth = jvm.org.apache.hadoop.fs.Path(base, "*"), depth + 1
+            base, depth = make(base, "*"), depth + 1
     return sorted(found)
 
 
-def refuse_ignored(spark: SparkSession, folder: str | list[str], pattern: str) -> None:
-    """Stop if Spark would leave out matching files, and name them all."""
-    names = ignored_files(spark, folder, pattern)
+def refuse(names: list[str]) -> None:
+    """Stop if there are such files, and name them all."""
     if names:
         raise ValueError(
             "Spark does not read files or folders whose names begin with '_'; rename: "
             + ", ".join(names)
         )
+
+
+def refuse_ignored(spark: SparkSession, folder: str | list[str], pattern: str) -> None:
+    """Stop if Spark would leave out matching files, and name them all."""
+    refuse(ignored_files(spark, folder, pattern))
