@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointerloom.operators.records import hvt_windows
+from pointerloom.plans import queries
 from pointerloom.plans.pipeline import explore_root, read_samples, read_sequences
 from pointerloom.schema import DATASET_DIRS
 from pointerloom.sources import catalogue as cat
 from pointerloom.sources.delimited import read_ck, read_hmi, read_hvt
 from pointerloom.sources.documents import read_documents
-from pointerloom.sources.sink import write_samples, write_sequences
+from pointerloom.sources.sink import write_files, write_samples, write_sequences
 from pointerloom.sources.viewport import parse_sidecars, read_viewports
 
 
@@ -250,3 +251,17 @@ def test_family_below_a_folder_that_spark_leaves_out(spark, tmp_path):
     put(tmp_path, f"raw/_old/{DATASET_DIRS['HVT']}/h1.csv", "velocity;distance\n" + "1;2\n" * 21)
     put(tmp_path, f"raw/{DATASET_DIRS['AP']}/p.json", "[]")
     assert read_samples(spark, str(tmp_path)).where("source = 'HVT'").count() == 3
+
+
+def test_many_files_in_few_folders(spark, tmp_path):
+    """A file per part, not a folder each: listing and committing folders took most of the time."""
+    rows = [(k, float(t), "a;b" if t else None) for k in range(60) for t in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "part long, velocity double, distance string")
+    root = queries._in_files(df, str(tmp_path / "hvt"), ";", ["velocity"])
+    files = sorted(tmp_path.rglob("*.csv"))
+    assert len(files) == 60 and len({f.parent for f in files}) <= spark.sparkContext.defaultParallelism
+    assert not [f for f in tmp_path.rglob("*") if f.is_file() and f not in files]
+    assert next(f for f in files if f.name == "part=7.csv").read_text() == 'velocity;distance\n0.0;\n1.0;"a;b"\n2.0;"a;b"\n'
+    got = read_hvt(spark, root).select(queries._file_number("session_id").alias("part"), "row_idx", "velocity")
+    assert sorted(map(tuple, got.collect())) == [(k, t, float(t)) for k in range(60) for t in range(3)]
+    assert write_files(df.selectExpr("part", "distance as line").limit(0), f"{tmp_path}/none") == 0
