@@ -90,3 +90,8 @@ def test_shared_folder():
     assert skew.shared_folder(local) == skew.shared_folder(local) != ""
     with pytest.raises(RuntimeError):
         skew.shared_folder(Session(master="yarn"))
+
+
+def test_number_parsing_stays_short():
+    """Each use of a text is written out in the generated code, and a long method is never compiled."""
+    assert str(python_float(F.col("the_text"))).count("the_text") <= 4
