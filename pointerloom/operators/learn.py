@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointerloom.operators.skew import materialise, number_rows, table_path
+from pointerloom.operators.skew import materialise, number_rows, table_path, table_scope
 from pointerloom.schema import FEATURES, LABELS, SEQ_LEN
 
 # Sizes and training settings of the model (fixed values).
@@ -25,6 +25,8 @@ BATCH_SIZE = 64
 LEARNING_RATE = 1e-3
 ADAM_MEAN, ADAM_SQUARE, ADAM_LEAST = 0.9, 0.999, 1e-8
 
+# Rows of consecutive batches that one task takes its steps over, larger batches aside.
+STEP_ROWS = 65_536
 # Rows of sums that one task adds up.
 FAN_IN = 64
 # Bins a range of values is counted in when a rank is looked for.
@@ -332,6 +334,52 @@ def _summed(runs: DataFrame, model: Perceptron) -> tuple[int, float, int, np.nda
     return sum(r.n for r in rows), sum(r.loss for r in rows), sum(r.hits for r in rows), total
 
 
+STATE = "parameters binary, first binary, second binary, steps long, n long, loss double, hits long"
+
+
+def _walked(model: Perceptron, adam: Adam, batch_size: int):
+    """Steps over rows that come batch by batch; one row of what they lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, losses, right = 0, 0.0, 0
+        x, y = np.empty((0, model.inputs)), np.empty(0, dtype=np.int64)
+
+        def step(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal n, losses, right
+            gradient, loss, hits = model.gradient(x, y)
+            model.parameters = adam.step(model.parameters, gradient / len(y))
+            n, losses, right = n + len(y), losses + loss, right + hits
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.concatenate([x, _flat(batch.column("features"), model.inputs)])
+                y = np.concatenate([y, batch.column("label").to_numpy()])
+                whole = len(y) - len(y) % batch_size
+                for at in range(0, whole, batch_size):
+                    step(x[at : at + batch_size], y[at : at + batch_size])
+                x, y = x[whole:], y[whole:]
+        if len(y):
+            step(x, y)
+        vectors = {"parameters": model.parameters, "first": adam.first, "second": adam.second}
+        state = {name: [v.tobytes()] for name, v in vectors.items()}
+        yield pa.RecordBatch.from_pydict(
+            {**state, "steps": [adam.steps], "n": [n], "loss": [losses], "hits": [right]}
+        )
+
+    return run
+
+
+def _walk(rows: DataFrame, model: Perceptron, adam: Adam, batch_size: int) -> tuple[int, float, int]:
+    """Steps over a slice of an epoch where it lies; the state goes on to the next slice."""
+    ordered = rows.coalesce(1).sortWithinPartitions("batch_id", "batch_pos").select("features", "label")
+    end = ordered.mapInArrow(_walked(model, adam, batch_size), STATE).first()
+    model.parameters, adam.first, adam.second = (
+        np.frombuffer(v) for v in (end.parameters, end.first, end.second)
+    )
+    adam.steps = end.steps
+    return end.n, end.loss, end.hits
+
+
 def fit_classifier(
     seqs: DataFrame,
     seq_len: int = SEQ_LEN,
@@ -344,30 +392,39 @@ def fit_classifier(
     """Train a classifier of runs by synchronous mini-batch gradient steps.
 
     This is not a recurrent network but a perceptron on the ``seq_len * 9`` values. Each
-    epoch is dealt into the batches of ``shuffled_batches``, written a folder a batch.
-    A step sums the gradient of one batch where its rows lie and moves the parameters by
-    Adam; its state and the parameters, a few thousand numbers, are all the driver holds.
-    Results depend on the seed, not on partitions. A step is a job over its batch alone:
-    choose ``batch_size`` so that it is worth one. An empty table leaves the drawn
-    parameters and no history.
+    epoch is dealt into the batches of ``shuffled_batches``, written in slices of whole
+    batches, ``STEP_ROWS`` rows or one batch. Steps follow each other by nature: a task takes
+    those over its slice and hands parameters and Adam's state, a few thousand numbers, on to
+    the next by way of the driver. A batch of more rows is a slice, and a step then sums its
+    gradient where the rows lie. Results depend on the seed, not on partitions. The tables of an
+    epoch go when it ends. An empty table leaves the drawn parameters and no history.
     """
     spark = seqs.sparkSession
     model = Perceptron.drawn(seq_len * len(FEATURES), hidden, CLASSES, seed)
     adam = Adam(learning_rate, np.zeros_like(model.parameters), np.zeros_like(model.parameters))
     runs = materialise(seqs.select("seq_id", "features", F.col("label").cast("long").alias("label")))
+    per_slice = max(1, STEP_ROWS // batch_size)
     for epoch in range(1, epochs + 1):
-        path = table_path(spark, "batches")
-        batches = shuffled_batches(runs, epoch=epoch, seed=seed, batch_size=batch_size)
-        batches.select("features", "label", "batch_id").write.partitionBy("batch_id").parquet(path)
-        last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0] if not runs.isEmpty() else None
         seen, losses, right = 0, 0.0, 0
-        for batch in range(-1 if last is None else last + 1):
-            rows = spark.read.schema("features array<array<double>>, label long").parquet(
-                f"{path}/batch_id={batch}"
-            )
-            n, loss, hits, gradient = _summed(rows, model)
-            model.parameters = adam.step(model.parameters, gradient / n)
-            seen, losses, right = seen + n, losses + loss, right + hits
+        with table_scope(spark):
+            path = table_path(spark, "batches")
+            batches = shuffled_batches(runs, epoch=epoch, seed=seed, batch_size=batch_size)
+            sliced = batches.withColumn("slice", F.floor(F.col("batch_id") / per_slice).cast("long"))
+            if batch_size <= STEP_ROWS:
+                sliced = sliced.repartition("slice")
+            columns = ["features", "label", "batch_id", "batch_pos", "slice"]
+            sliced.select(*columns).write.partitionBy("slice").parquet(path)
+            last = spark.read.parquet(path).agg(F.max("slice")).first()[0] if not runs.isEmpty() else None
+            for k in range(-1 if last is None else last + 1):
+                rows = spark.read.schema(
+                    "features array<array<double>>, label long, batch_id long, batch_pos int"
+                ).parquet(f"{path}/slice={k}")
+                if batch_size <= STEP_ROWS:
+                    n, loss, hits = _walk(rows, model, adam, batch_size)
+                else:
+                    n, loss, hits, gradient = _summed(rows.select("features", "label"), model)
+                    model.parameters = adam.step(model.parameters, gradient / n)
+                seen, losses, right = seen + n, losses + loss, right + hits
         if seen:
             model.history.append((epoch, losses / seen, 100.0 * right / seen))
     return model

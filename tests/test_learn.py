@@ -130,6 +130,19 @@ def test_steps_do_not_depend_on_partitions(runs):
     assert learn.fit_classifier(runs.limit(0), epochs=1).history == []
 
 
+def test_many_steps_in_few_jobs(spark, runs, monkeypatch):
+    """A job per slice of batches, not per batch; slices and large batches give the same steps."""
+    history = lambda: learn.fit_classifier(runs, epochs=2, batch_size=10, seed=5).history
+    spark.sparkContext.setJobGroup("fit", "fit")
+    one = history()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 2 * 15
+    for rows in (20, 5):  # two batches a slice; a batch is more than a slice
+        monkeypatch.setattr(learn, "STEP_ROWS", rows)
+        assert one == [(e, pytest.approx(loss, abs=1e-9), pytest.approx(a)) for e, loss, a in history()]
+
+
 def test_gradient_like_differences():
     draw = np.random.default_rng(4)
     model = learn.Perceptron.drawn(12, 5, 6, seed=1)
