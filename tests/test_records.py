@@ -174,3 +174,22 @@ def test_window_cap_by_index(spark, size, stride, most):
     every = sorted(r.window_idx for r in hvt_windows(df, size, stride).collect())
     capped = sorted(r.window_idx for r in hvt_windows(df, size, stride, max_windows=most).collect())
     assert capped == every[:most]
+
+
+def test_one_key_and_short_ranges_take_many_tasks(spark):
+    """Neither the rows of one key nor all opened rows are those of one task."""
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20_000).selectExpr("0L as session_id", "id % 7 as day", "id as nth")
+        numbered = row_index(rows, "session_id", "day", ["nth"], slices=8)
+        assert numbered.agg(F.count_distinct("row_idx"), F.max("row_idx")).first() == (20_000, 19_999)
+        assert most(numbered) < 15_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = spark.range(100).selectExpr("id", "50L as n")
+    opened = explode_range(counts, "n", "k", spread=True)
+    assert opened.count() == 5_000 and most(opened) < 2_500
