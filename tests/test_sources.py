@@ -8,6 +8,7 @@ from pointerloom.plans import queries
 from pointerloom.plans.pipeline import explore_root, read_samples, read_sequences
 from pointerloom.schema import DATASET_DIRS
 from pointerloom.sources import catalogue as cat
+from pointerloom.sources import listing, texts
 from pointerloom.sources.delimited import read_ck, read_hmi, read_hvt
 from pointerloom.sources.documents import read_documents
 from pointerloom.sources.sink import write_files, write_samples, write_sequences
@@ -265,3 +266,88 @@ def test_many_files_in_few_folders(spark, tmp_path):
     got = read_hvt(spark, root).select(queries._file_number("session_id").alias("part"), "row_idx", "velocity")
     assert sorted(map(tuple, got.collect())) == [(k, t, float(t)) for k in range(60) for t in range(3)]
     assert write_files(df.selectExpr("part", "distance as line").limit(0), f"{tmp_path}/none") == 0
+
+
+def test_lists_of_files_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """Spark's readers hold every file in the driver, which ran out of memory; here tasks list and open them."""
+    monkeypatch.setattr(listing, "NEAR", 3)
+    root = tmp_path / "store" / "raw"
+    for k in range(40):
+        put(root, f"{DATASET_DIRS['CK']}/d{k % 5}/e/s{k}.csv", "cursor timestamp xpos ypos event\n0 1 2 3 click\n0 9999 2 3 click\n")
+        put(root, f"deep/{DATASET_DIRS['HVT']}/d{k % 5}/h{k}.csv", "velocity;distance\n" + "1;2\n" * 11)
+        put(root, f"{DATASET_DIRS['AP']}/d{k % 5}/p{k}.json", '[{"stay_seconds":1}]')
+    put(root, f"{DATASET_DIRS['CK']}/d0/e/s0.xml", "<d><window>640x480</window></d>")
+    put(root, f"{DATASET_DIRS['CK']}/.d/s.csv", S1)
+    store = str(root.parent)
+    files, samples = cat.source_catalogue(spark, store), read_samples(spark, store)
+    ck, ap = f"{root}/{DATASET_DIRS['CK']}", f"{root}/{DATASET_DIRS['AP']}"
+    sessions = files.selectExpr("file_path session_id")
+    for df in (files, samples, read_ck(spark, ck), read_documents(spark, ap), read_viewports(spark, ck, sessions)):
+        assert not [f for f in df.inputFiles() if f.endswith((".csv", ".json", ".xml"))]
+    assert {r.source: r["count"] for r in files.groupBy("source").count().collect()} == {"CK": 40, "HVT": 40, "AP": 40}
+    assert read_ck(spark, ck).select("session_id").distinct().count() == 40
+    assert read_viewports(spark, ck, sessions).count() == 1
+    assert {r.source: r["count"] for r in samples.groupBy("source").count().collect()} == {"HVT": 40, "AP": 40}
+
+
+def test_what_is_read_from_files_is_not_taken_for_small(spark, tmp_path, monkeypatch):
+    """By the size of a list of files Spark would broadcast their lines, through the driver."""
+    monkeypatch.setattr(texts, "SMALL_BYTES", 0)
+    put(tmp_path, "a/s1.csv", S1)
+    put(tmp_path, "b/p.json", "[]")
+    for df in (read_ck(spark, f"{tmp_path}/a"), read_documents(spark, f"{tmp_path}/b")):
+        assert "BroadcastHashJoin" not in df.join(df, "session_id")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_names_are_those_of_sparks_readers(spark, tmp_path):
+    names = ["plain-1_~.csv", "a b#é.csv", "s%20[2]{x}.csv", "q?|^`\\.csv", "(!$&'*+,;=:@).csv", "  x.csv"]
+    for k, name in enumerate(names):
+        put(tmp_path, f"d {k}/{name}", S1)
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select(
+        "path", "_metadata.file_path", "length", F.col("modificationTime").alias("modified")
+    ).collect()
+    assert len(want) == len(names)
+    assert sorted(cat.list_files(spark, [str(tmp_path)]).collect()) == sorted(want)
+    assert {r.session_id for r in read_ck(spark, str(tmp_path)).collect()} == {r.file_path for r in want}
+    assert read_ck(spark, [r.path for r in want]).count() == 3 * len(names)
+
+
+TEXTS = [b"", b"\n", b"one", b"h x\r\n1 2\r\n\r\n3 4", b"\xef\xbb\xbfh\n1\n\n\n22\n", b"h\r1\r22\r333\r", b"\n\nh\n" + b"long" * 9 + b"\n\xff\n1"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+@pytest.mark.parametrize("read_bytes", [1, 2, 7, 1000])
+def test_each_line_is_in_one_piece(monkeypatch, tmp_path, text, read_bytes):
+    monkeypatch.setattr(texts, "READ_BYTES", read_bytes)
+    (tmp_path / "t").write_bytes(text)
+    want = [x for x in text.removeprefix(b"\xef\xbb\xbf").replace(b"\r", b"\n").split(b"\n") if x]
+    for size in range(1, len(text) + 2):
+        pieces = [(a, min(a + size, len(text))) for a in range(0, len(text), size)]
+        got = [line for a, b in pieces for lines in texts._lines(str(tmp_path / "t"), a, b) for line in lines]
+        assert got == want, size
+
+
+def test_lines_are_those_of_sparks_reader(spark, tmp_path):
+    for k, text in enumerate(TEXTS):
+        (tmp_path / f"t{k}.csv").write_bytes(text)
+    lines = spark.read.text(str(tmp_path)).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("f"), F.hex("value").alias("x"))
+    want = {(r.f, r.x) for r in lines.where("x != ''").collect()}
+    blocks = texts.line_blocks(listing.walk(spark, listing.full_names(spark, str(tmp_path))))
+    rows = blocks.select(F.element_at(F.split("session_id", "/"), -1).alias("f"), F.hex("header").alias("h"), F.explode("lines").alias("x")).collect()
+    headers = {(r.f, r.h) for r in blocks.select(F.element_at(F.split("session_id", "/"), -1).alias("f"), F.hex("header").alias("h")).collect()}
+    assert {(r.f, r.x.hex().upper()) for r in rows} | headers == {w for w in want if w[0] in {h[0] for h in headers}}
+    assert {h[0] for h in headers} == {"t3.csv", "t4.csv", "t5.csv", "t6.csv"}
+
+
+def test_files_in_a_store_that_only_spark_reads(spark, data_root):
+    """The same samples as by tasks, with Spark's own readers."""
+    mount = f"fs.viewfs.mounttable.logs{data_root.parent.parent.name.replace('_', '')}.link./in"
+    spark.sparkContext._jsc.hadoopConfiguration().set(mount, f"file://{data_root.parent}")
+    root = f"viewfs://{mount.split('.')[3]}/in"
+    plain = lambda df: sorted(
+        map(str, df.withColumn("session_id", F.element_at(F.split("session_id", "/"), -1)).collect())
+    )
+    assert plain(read_samples(spark, root)) == plain(read_samples(spark, str(data_root.parent)))
+    put(data_root, f"{DATASET_DIRS['CK']}/_s3.csv", S1)
+    with pytest.raises(ValueError, match="/_s3.csv"):
+        read_samples(spark, root)
